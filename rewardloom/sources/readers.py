@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rewardloom.functions.domains import as_identifier, contains_any, gt_key_domain
 from rewardloom.schema import GENERALIZATION_SETS, NODE, QUERY, ROLLOUT_ARRAY, STANDARD_EXCLUDED
@@ -59,12 +60,18 @@ def explode_rollouts(raw: DataFrame) -> DataFrame:
     ).withColumn("resp_idx", F.col("resp_idx").cast("bigint"))
 
 
-def read_nodes(spark: SparkSession, candidates: list[str]) -> DataFrame:
-    """Node table from the first candidate path that exists."""
+def read_first(spark: SparkSession, candidates: list[str], schema: StructType | None = None) -> DataFrame:
+    """Parquet table at the first candidate path that exists."""
     found = existing_paths(spark, candidates)
     if not found:
-        raise FileNotFoundError(f"no node table at {candidates}")
-    return spark.read.schema(NODE).parquet(found[0])
+        raise FileNotFoundError(f"no table at {candidates}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(found[0])
+
+
+def read_nodes(spark: SparkSession, candidates: list[str]) -> DataFrame:
+    """Node table under either of its file names, the first one found."""
+    return read_first(spark, candidates, NODE)
 
 
 def read_gt_ids(spark: SparkSession, path: str) -> DataFrame:
