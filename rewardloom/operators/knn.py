@@ -152,6 +152,11 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return located.select(*df.columns, "_at.cell", "_at.away")
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """Fresh column identities, so that a table can be cogrouped with its relative."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _splits(size, block_rows: int):
     return F.greatest(F.lit(1), F.ceil(size / F.lit(block_rows))).cast("int")
 
@@ -223,7 +228,7 @@ def _block_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, confi
     visits = located.mapInPandas(visit, visit_schema).withColumn(
         "cand_block", F.explode("blocks")).drop("blocks")
     pairs = visits.select("src_block", "cand_block").distinct()
-    sent = cand_blocks.join(pairs, "cand_block")
+    sent = _renewed(cand_blocks.join(pairs, "cand_block"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -353,6 +358,7 @@ def knn_within_groups(nodes: DataFrame, group: str, k: int, config: EngineConfig
     every = F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)
     left = large.select("grp", F.col("part").alias("a"), F.explode(every).alias("b"), "id", "vec")
     right = large.select("grp", F.explode(every).alias("a"), F.col("part").alias("b"), "id", "vec")
+    right = _renewed(right)
     keys = ["grp", "a", "b"]
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:

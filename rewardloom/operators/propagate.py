@@ -50,7 +50,9 @@ def propagate(new: DataFrame, memory: DataFrame, edges: DataFrame, length: int,
     joined = new.join(weighted.withColumnRenamed("src", query), query, "left")
     top = F.col("r") + dot(F.col("features"), F.col("v"))
     bottom = F.col("n") + dot(F.col("features"), F.col("u"))
-    prob = F.when(bottom > 0, top / bottom)
+    # Nine decimals: sums come in any order, and equal ones must meet the
+    # threshold alike.
+    prob = F.when(bottom > 0, F.round(top / bottom, 9))
     return joined.withColumn("prob", prob).drop("n", "r", "u", "v").withColumn(
         "reward", F.when(F.col("prob") > threshold, 1.0).when(F.col("prob").isNotNull(), 0.0)
     )
