@@ -29,19 +29,25 @@ def build_session(app: str = "rewardloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, read from ``spark.checkpoint.dir``.
 
-    The folder is read from ``spark.checkpoint.dir``. A folder of our own is set
-    only where the session runs inside one JVM and names none, as in tests.
+    A folder of our own is used only where the session runs inside one JVM and
+    names none, as in tests.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="rewardloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder; lost executors then recompute nothing above it."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="rewardloom-checkpoint-")
-        sc.setCheckpointDir(shared)
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

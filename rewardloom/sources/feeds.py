@@ -64,7 +64,11 @@ def queries(spark: SparkSession, root: str) -> DataFrame:
 
 def rollouts(spark: SparkSession, root: str) -> DataFrame:
     """One row per order line, joined to its query's ground truth."""
-    lines = spread(table(spark, root, "lineitem"))
+    return shape_rollouts(spread(table(spark, root, "lineitem")), queries(spark, root))
+
+
+def shape_rollouts(lines: DataFrame, owners: DataFrame) -> DataFrame:
+    """Order lines, from a table or a stream, as rollouts."""
     agrees = F.col("l_partkey") % 7 < 4  # these rows repeat their query's answer
     picked = lines.select(
         F.col("l_orderkey").alias("query_id"),
@@ -94,13 +98,17 @@ def rollouts(spark: SparkSession, root: str) -> DataFrame:
         .when(f == 3, F.concat(F.lit("#### \\frac{"), (q * 2).cast("string"), F.lit("}{2}")))
         .otherwise(F.concat(F.lit("I get "), text))
     )
-    return picked.join(queries(spark, root), "query_id").select(
+    return picked.join(owners, "query_id").select(
         "data_source", "query_id", "resp_idx", "ground_truth",
         F.when(F.col("data_source").isin("mmlu", "arc_c"), worded).otherwise(numeric).alias("response"),
     )
 
 
 def rollouts_with_extra(spark: SparkSession, root: str) -> DataFrame:
+    return with_extra(rollouts(spark, root))
+
+
+def with_extra(rows: DataFrame) -> DataFrame:
     """Rollouts with a JSON ``extra_info`` in its three usual shapes."""
     key = F.col("query_id")
     is_train = F.when(key % 1000 == 7, "false").otherwise("true")
@@ -115,7 +123,7 @@ def rollouts_with_extra(spark: SparkSession, root: str) -> DataFrame:
         F.lit('{"index":'), key.cast("string"), F.lit(","), middle,
         F.lit('"is_train":'), is_train, F.lit("}"),
     )
-    return rollouts(spark, root).withColumn("extra_info", extra).withColumn(
+    return rows.withColumn("extra_info", extra).withColumn(
         "batch_id", F.floor(key / 100)
     )
 
@@ -244,12 +252,11 @@ def epoch_history(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of rollouts from a folder of parquet parts written from events."""
-    schema = spark.read.parquet(folder).schema
-    return shape_events(
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    )
+def stream_of(spark: SparkSession, folder: str, name: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
+    """Stream over the parquet files of a folder whose names match a pattern."""
+    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def shape_events(events: DataFrame) -> DataFrame:
