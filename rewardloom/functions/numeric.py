@@ -7,6 +7,8 @@ depends on how an engine prints them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ HASH_NUMBER = r"####\s*(-?[\d,]+\.?\d*)"
 ANY_NUMBER = r"-?[\d,]+\.?\d*"
 # --- end of fixed values -----------------------------------------------------
 
+PLAIN_NUMBER = r"^-?\d+(?:\.\d+)?\z"
 FLOAT_TEXT = r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"
 
 
@@ -50,21 +53,41 @@ def _as_answer(text: Column) -> Column:
 
 
 def _unwrap(text: Column) -> Column:
-    plain = F.regexp_replace(text, WRAPPERS, "$1")
-    return F.replace(F.regexp_replace(plain, FRACTION, "$1/$2"), F.lit("\\"), F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(text, WRAPPERS, "$1"), FRACTION, "$1/$2")
+    return F.when(
+        F.contains(text, F.lit("\\")), F.replace(plain, F.lit("\\"), F.lit(""))
+    ).otherwise(text)
+
+
+def _unless_number(text: Column, full: Callable[[Column], Column]) -> Column:
+    """Answers that are plain numbers already skip the clean-up, which keeps them."""
+
+    def choose(t: Column) -> Column:
+        done = F.struct(t.try_cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+        return F.when(t.rlike(PLAIN_NUMBER), done).otherwise(full(t))
+
+    return let(text, choose)
 
 
 def normalise(text: Column) -> Column:
     """Strict form: commas dropped, one trailing unit dropped."""
-    plain = strip(F.replace(_unwrap(text), F.lit("$"), F.lit("")))
-    plain = F.lower(F.translate(plain, ", ", ""))
-    return _as_answer(F.regexp_replace(plain, TRAILING_UNIT, ""))
+
+    def full(t: Column) -> Column:
+        plain = strip(F.replace(_unwrap(t), F.lit("$"), F.lit("")))
+        plain = F.lower(F.translate(plain, ", ", ""))
+        return _as_answer(F.regexp_replace(plain, TRAILING_UNIT, ""))
+
+    return _unless_number(text, full)
 
 
 def normalise_generalization(text: Column) -> Column:
     """Units dropped anywhere, commas kept, so ``1,000`` reads as 1."""
-    plain = F.lower(F.replace(_unwrap(text), F.lit(" "), F.lit("")))
-    return _as_answer(F.regexp_replace(plain, ANY_UNIT, ""))
+
+    def full(t: Column) -> Column:
+        plain = F.lower(F.replace(_unwrap(t), F.lit(" "), F.lit("")))
+        return _as_answer(F.regexp_replace(plain, ANY_UNIT, ""))
+
+    return _unless_number(text, full)
 
 
 def normalise_legacy(text: Column) -> Column:

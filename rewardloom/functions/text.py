@@ -81,7 +81,8 @@ def math_answer(text: Column, later_segments: bool = True) -> Column:
 
 
 def unwrap_ground_truth(truth: Column) -> Column:
-    return F.coalesce(group(truth, BOXED_SIMPLE), truth)
+    boxed = F.contains(truth, F.lit("\\boxed{"))
+    return F.when(boxed, F.coalesce(group(truth, BOXED_SIMPLE), truth)).otherwise(truth)
 
 
 def last_boxed(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rewardloom.functions.let import let
+
 
 def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -17,18 +19,36 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
+    return let(vector, lambda v: F.sqrt(dot(v, v)))
 
 
 def unit(vector: Column) -> Column:
     """L2-normalised vector; a zero vector stays zero."""
-    size = norm(vector)
-    return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector)
+
+    def divide(v: Column) -> Column:
+        return let(F.sqrt(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return let(vector, divide)
 
 
 def cosine(left: Column, right: Column) -> Column:
-    size = norm(left) * norm(right)
-    return F.when(size > 0, dot(left, right) / size).otherwise(F.lit(0.0))
+    return let(norm(left) * norm(right), lambda n: F.when(n > 0, dot(left, right) / n).otherwise(F.lit(0.0)))
+
+
+def short_dot(left: Column, right: Column, length: int) -> Column:
+    """Dot product written out, for vectors of a few known elements."""
+    products = [F.get(left, i) * F.get(right, i) for i in range(length)]
+    return sum(products[1:], products[0])
+
+
+def short_unit(vector: Column, length: int) -> Column:
+    """Unit vector written out, for vectors of a few known elements."""
+
+    def divide(v: Column) -> Column:
+        size = F.sqrt(short_dot(v, v, length))
+        return let(size, lambda n: F.array(*[F.when(n > 0, F.get(v, i) / n).otherwise(0.0) for i in range(length)]))
+
+    return let(vector, divide)
 
 
 def relu(vector: Column) -> Column:
@@ -52,6 +72,7 @@ def fingerprint(vector: Column) -> Column:
     )
 
 
-def sum_vectors(vector: Column, length: int) -> Column:
-    """Element-wise sum as one aggregate column, for short vectors."""
-    return F.array(*[F.sum(F.get(vector, i)) for i in range(length)])
+def sum_vectors(vector: Column, length: int, weight: Column | None = None) -> Column:
+    """Element-wise (weighted) sum as one aggregate column, for short vectors."""
+    factor = F.lit(1.0) if weight is None else weight
+    return F.array(*[F.sum(F.get(vector, i) * factor) for i in range(length)])

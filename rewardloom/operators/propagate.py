@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions.numeric import sigmoid
-from rewardloom.functions.vectors import dot, relu, sum_vectors
+from rewardloom.functions.vectors import dot, relu, short_dot, sum_vectors
 from rewardloom.session import cut_lineage
 
 
@@ -22,10 +22,33 @@ def memory_sums(memory: DataFrame, query: str, length: int) -> DataFrame:
         F.count("*").cast("double").alias("n"),
         F.sum(reward).alias("r"),
         sum_vectors(vec, length).alias("u"),
-        sum_vectors(F.transform(vec, lambda x: x * reward), length).alias("v"),
+        sum_vectors(vec, length, reward).alias("v"),
     )
 
 
+def neighbour_sums(memory: DataFrame, edges: DataFrame, length: int, query: str = "query_id") -> DataFrame:
+    """Similarity-weighted sums over the labelled neighbours of each query."""
+    sums = memory_sums(memory, query, length)
+    w = F.greatest(F.col("sim"), F.lit(0.0))
+    return edges.join(sums.withColumnRenamed(query, "dst"), "dst").groupBy(F.col("src").alias(query)).agg(
+        F.sum(w * F.col("n")).alias("n"),
+        F.sum(w * F.col("r")).alias("r"),
+        sum_vectors(F.col("u"), length, w).alias("u"),
+        sum_vectors(F.col("v"), length, w).alias("v"),
+    )
+
+
+def probability(features: Column, length: int) -> Column:
+    """Probability of a rollout from its query's neighbour sums.
+
+    Nine decimals: sums come in any order, and equal ones must meet the threshold
+    alike. Null without a usable neighbour.
+    """
+    top = F.col("r") + short_dot(features, F.col("v"), length)
+    bottom = F.col("n") + short_dot(features, F.col("u"), length)
+    return F.when(bottom > 0, F.round(top / bottom, 9))
+
+
 def propagate(new: DataFrame, memory: DataFrame, edges: DataFrame, length: int, query: str = "query_id",
               threshold: float = 0.5) -> DataFrame:
     """Probability and reward of unlabelled rollouts from labelled neighbours.
@@ -39,21 +62,9 @@ def propagate(new: DataFrame, memory: DataFrame, edges: DataFrame, length: int,
 
     Rollouts without a usable neighbour keep a null probability.
     """
-    sums = memory_sums(memory, query, length)
-    w = F.greatest(F.col("sim"), F.lit(0.0))
-    weighted = edges.join(sums.withColumnRenamed(query, "dst"), "dst").groupBy("src").agg(
-        F.sum(w * F.col("n")).alias("n"),
-        F.sum(w * F.col("r")).alias("r"),
-        sum_vectors(F.transform(F.col("u"), lambda x: x * w), length).alias("u"),
-        sum_vectors(F.transform(F.col("v"), lambda x: x * w), length).alias("v"),
-    )
-    joined = new.join(weighted.withColumnRenamed("src", query), query, "left")
-    top = F.col("r") + dot(F.col("features"), F.col("v"))
-    bottom = F.col("n") + dot(F.col("features"), F.col("u"))
-    # Nine decimals: sums come in any order, and equal ones must meet the
-    # threshold alike.
-    prob = F.when(bottom > 0, F.round(top / bottom, 9))
-    return joined.withColumn("prob", prob).drop("n", "r", "u", "v").withColumn(
+    joined = new.join(neighbour_sums(memory, edges, length, query), query, "left")
+    inferred = joined.withColumn("prob", probability(F.col("features"), length)).drop("n", "r", "u", "v")
+    return inferred.withColumn(
         "reward", F.when(F.col("prob") > threshold, 1.0).when(F.col("prob").isNotNull(), 0.0)
     )
 

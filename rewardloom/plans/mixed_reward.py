@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.config import EngineConfig
-from rewardloom.functions.domains import scoring_domain
+from rewardloom.functions.domains import dataset_name, query_identifier, route_family, scoring_domain
 from rewardloom.functions.numeric import numeric_answer
-from rewardloom.functions.vectors import unit
+from rewardloom.functions.vectors import short_unit
 from rewardloom.operators.features import feature_vector
 from rewardloom.operators.knn import knn_edges
-from rewardloom.operators.propagate import propagate
-from rewardloom.operators.routing import (
-    answer_or, gate_batches, identified, is_train, parse_extra, prompt_key, with_gt_flag,
-)
+from rewardloom.operators.propagate import neighbour_sums, probability
+from rewardloom.operators.routing import answer_or, entry, gate_batches, is_train, parse_extra, prompt_key, with_gt_flag
 from rewardloom.operators.scoring import gt_reward
 from rewardloom.session import cut_lineage
 
@@ -23,60 +21,66 @@ GROUP = ["batch_id", "prompt_key"]
 
 
 def scored_rollouts(rollouts: DataFrame) -> DataFrame:
-    """Rollouts with everything that needs no neighbour.
+    """Rollouts with everything that needs no other row.
 
-    One row per input row: ground-truth reward, numeric answer, routing key and
-    the validation flag of its batch. ``extra_info`` is JSON text.
+    One projection: ground-truth reward, numeric answer, prompt key and the raw
+    routing fields. ``extra_info`` is JSON text and is parsed once.
     """
-    parsed = rollouts.withColumn("extra", parse_extra(F.col("extra_info")))
-    keyed = identified(parsed, F.col("extra")).withColumns({
+    keyed = rollouts.withColumn("extra", parse_extra(F.col("extra_info"))).withColumns({
         "prompt_key": prompt_key(F.col("extra"), F.col("data_source"), F.col("resp_idx")),
         "domain": scoring_domain(F.col("data_source")),
         "is_train": is_train(F.col("extra")),
+        "index": entry(F.col("extra"), "index"),
+        "problem_id": entry(F.col("extra"), "problem_id"),
         "truth": answer_or(F.col("extra"), F.col("ground_truth")),
     })
     passed = F.col("all_passed") if "all_passed" in rollouts.columns else None
-    scored = keyed.withColumns({
-        "gt_reward": gt_reward(F.col("domain"), F.col("response"), F.col("truth"), passed),
-        "answer": F.when(F.col("domain") == "math", numeric_answer(F.col("response"))),
-    })
-    return gate_batches(scored, "batch_id").select(
-        *GROUP, "query_id", "resp_idx", "data_source", "dataset", "identifier", "family", "domain",
-        "gt_reward", "answer", "validation",
+    return keyed.select(
+        *GROUP, "query_id", "resp_idx", "data_source", "domain", "is_train", "index", "problem_id",
+        gt_reward(F.col("domain"), F.col("response"), F.col("truth"), passed).alias("gt_reward"),
+        F.when(F.col("domain") == "math", numeric_answer(F.col("response"))).alias("answer"),
     )
 
 
 def prompt_table(scored: DataFrame, gt_ids: DataFrame, reference_families: bool = True) -> DataFrame:
     """One row per prompt group: route, representative query and consensus.
 
-    Both come from one two-step aggregation, first by (group, rounded answer).
+    The first step counts equal answers with a hash aggregate over plain keys, so
+    only distinct answers reach the later steps. Routing, the validation gate and
+    the id join then run on prompts, not on rollouts.
     """
-    order = F.struct("query_id", "resp_idx")
-    answered = scored.withColumn("_rounded", F.round("answer", 2))
-    votes = answered.groupBy(*GROUP, "_rounded").agg(
-        F.count("*").alias("_votes"), F.min(order).alias("_first"),
-        F.min(F.struct("query_id", "resp_idx", "dataset", "identifier", "family", "validation")).alias("head"),
+    votes = scored.withColumn("_rounded", F.round("answer", 2)).groupBy(
+        *GROUP, "_rounded", "query_id", "data_source", "index", "problem_id", "is_train"
+    ).agg(F.count("*").alias("_votes"), F.min("resp_idx").alias("_first"))
+    per_answer = votes.groupBy(*GROUP, "_rounded").agg(
+        F.sum("_votes").alias("_votes"),
+        F.min(F.struct("query_id", "_first", "data_source", "index", "problem_id")).alias("head"),
+        F.bool_and("is_train").alias("is_train"),
     )
     rank = F.when(F.col("_rounded").isNotNull(), F.struct(
-        F.col("_votes"), -F.col("_first.query_id"), -F.col("_first.resp_idx")))
-    prompts = votes.groupBy(*GROUP).agg(
-        F.min("head").alias("head"), F.max_by("_rounded", rank).alias("consensus")
-    ).select(
-        *GROUP, F.col("head.query_id").alias("node"), "head.dataset", "head.identifier",
-        "head.family", "head.validation", "consensus",
+        F.col("_votes"), -F.col("head.query_id"), -F.col("head._first")))
+    prompts = per_answer.groupBy(*GROUP).agg(
+        F.min("head").alias("head"), F.max_by("_rounded", rank).alias("consensus"),
+        F.bool_and("is_train").alias("is_train"),
+    )
+    source = F.col("head.data_source")
+    named = prompts.select(
+        *GROUP, F.col("head.query_id").alias("node"), "consensus", "is_train",
+        dataset_name(source).alias("dataset"), route_family(source).alias("family"),
+        query_identifier(source, F.col("head.index"), F.col("head.problem_id")).alias("identifier"),
     )
+    gated = gate_batches(with_gt_flag(named, gt_ids, ["dataset", "identifier"]), "batch_id")
     use_gt = F.col("in_gt")
     if reference_families:
         use_gt = use_gt & F.col("family").isNotNull()
-    routed = with_gt_flag(prompts, gt_ids, ["dataset", "identifier"])
     route = F.when(F.col("validation"), "validation").when(use_gt, "gt").otherwise("graph")
-    return routed.select(*GROUP, "node", "consensus", route.alias("route"))
+    return gated.select(*GROUP, "node", "consensus", route.alias("route"))
 
 
 def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
                  config: EngineConfig = EngineConfig(), memory: DataFrame | None = None,
                  reference_families: bool = True) -> DataFrame:
-    """Reward per rollout with its source: ``gt``, ``graph`` or ``gt_fallback``.
+    """Reward per rollout with its source: ``gt``, ``graph``, ``validation``, ``gt_fallback``.
 
     ``vectors`` are (query_id, data_source, embedding). The memory of the graph
     branch is the ground-truth-routed part of the input unless a table of
@@ -85,19 +89,18 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
     """
     # Both tables feed several branches; the scored one is narrow (no texts), so
     # writing it once is cheaper than parsing every response per branch.
-    scored = cut_lineage(scored_rollouts(rollouts))
-    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families))
-    full = scored.drop("validation").join(prompts, GROUP)
-    features = unit(feature_vector(F.col("answer"), F.col("consensus"), F.col("domain"), config.strict_zero))
-    full = full.withColumn("features", features)
+    scored = cut_lineage(scored_rollouts(rollouts), "scored")
+    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
+    raw = feature_vector(F.col("answer"), F.col("consensus"), F.col("domain"), config.strict_zero)
+    features = short_unit(raw, FEATURES)
 
     nodes = prompts.select(F.col("node").alias("query_id"), "route").join(
         vectors.select("query_id", "data_source", "embedding"), "query_id"
     ).select(F.col("query_id").alias("id"), "route", "embedding",
              scoring_domain(F.col("data_source")).alias("domain"))
     if memory is None:
-        remembered = full.where(F.col("route") == "gt").select(
-            F.col("node").alias("query_id"), "features", F.col("gt_reward").alias("reward"))
+        remembered = scored.join(prompts.where(F.col("route") == "gt"), GROUP).select(
+            F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
         memory_nodes = nodes.where(F.col("route") == "gt")
     else:
         remembered = memory.select(F.col("id").alias("query_id"), "features", "reward")
@@ -107,17 +110,20 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
         nodes.where(F.col("route") == "graph"), memory_nodes, config.k,
         domain="domain" if config.domain_filter else None, config=config,
     )
-    inferred = propagate(
-        full.withColumnRenamed("query_id", "own_id").withColumnRenamed("node", "query_id"),
-        remembered, edges, FEATURES, threshold=config.threshold,
+    # Neighbour sums join the prompts first: the rollouts then meet one table once.
+    sums = neighbour_sums(remembered, edges, FEATURES).withColumnRenamed("query_id", "node")
+    informed = prompts.join(sums, "node", "left")
+    inferred = scored.join(informed, GROUP).withColumn("features", features).withColumn(
+        "prob", F.when(F.col("route") == "graph", probability(F.col("features"), FEATURES))
     )
-    on_graph = (F.col("route") == "graph") & F.col("prob").isNotNull()
+    on_graph = F.col("prob").isNotNull()
+    graph_reward = F.when(F.col("prob") > config.threshold, 1.0).otherwise(0.0)
     return inferred.select(
-        "data_source", F.col("own_id").alias("query_id"), "resp_idx",
-        F.when(on_graph, F.col("reward")).otherwise(F.col("gt_reward")).alias("reward"),
+        "data_source", "query_id", "resp_idx",
+        F.when(on_graph, graph_reward).otherwise(F.col("gt_reward")).alias("reward"),
         F.when(on_graph, "graph").when(F.col("route") == "graph", "gt_fallback").otherwise(F.col("route"))
         .alias("reward_source"),
-        F.when(on_graph, F.col("prob")).alias("prob"),
+        "prob",
     )
 
 
