@@ -28,6 +28,7 @@ from rewardloom.functions.vectors import dot, fingerprint, unit
 from rewardloom.operators.ranking import first_rows
 
 PIVOTS = 64
+MAX_DOMAINS = 256  # domains are a handful of task families
 CHUNK_CELLS = 4_000_000
 SLACK = 1e-9
 
@@ -164,17 +165,21 @@ def _splits(size, block_rows: int):
 def _block_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, config: EngineConfig,
                   probes: int | None) -> DataFrame:
     """Pivot cells, bounded blocks, and a merge of the per-block top k."""
-    picked = first_rows(cand.where(F.exists("vec", lambda x: x != 0)).withColumn("_all", F.lit(0)),
-                        ["_all"], [F.xxhash64("id"), F.col("id")], PIVOTS)
-    pivots = np.vstack([row["vec"] for row in picked.select("vec").collect()])
+    usable = cand.where(F.exists("vec", lambda x: x != 0))
+    picked = usable.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()
+    pivots = np.vstack([row["vec"] for row in picked])
 
     cells = _with_cell(cand, pivots)
     nearest = first_rows(cells, ["dom", "cell"], [F.col("away"), F.col("id")], k)
     shape = cells.groupBy("dom", "cell").agg(
         F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")
     ).join(nearest.groupBy("dom", "cell").agg(F.collect_list("away").alias("near")), ["dom", "cell"])
-    # At most PIVOTS rows per domain, each with at most k numbers.
-    stats = {dom: part.reset_index(drop=True) for dom, part in shape.toPandas().groupby("dom")}
+    # At most PIVOTS + 1 rows per domain, each with at most k numbers.
+    bound = MAX_DOMAINS * (PIVOTS + 1)
+    cell_rows = shape.limit(bound + 1).toPandas()
+    if len(cell_rows) > bound:
+        raise ValueError("too many domains for a cell search; use knn_within_groups")
+    stats = {dom: part.reset_index(drop=True) for dom, part in cell_rows.groupby("dom")}
     block_rows = config.block_rows
 
     cand_blocks = cells.join(shape.select("dom", "cell", _splits(F.col("n"), block_rows).alias("parts")),

@@ -69,18 +69,19 @@ def gate_batches(df: DataFrame, batch: str, train: str = "is_train") -> DataFram
     return df.join(gated, batch, "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
 
 
-def route_prompts(df: DataFrame, gt_ids: DataFrame, keys: list[str], order: list[str],
+def route_prompts(df: DataFrame, gt_ids: DataFrame, keys: list[str], order: str,
                   reference_families: bool = True) -> DataFrame:
     """One row per prompt group: does its first item use ground truth?
 
-    The first item is found by an aggregate with map-side combine rather than by
-    a window, so a prompt with very many rollouts is not gathered in one task.
+    Equal identifiers of a group are merged by a hash aggregate first, so a prompt
+    with very many rollouts reaches the second step as a few rows.
     With ``reference_families=False`` every listed data set can match, which also
     routes the sets that the published family lists leave out.
     """
-    first = df.groupBy(*keys).agg(
-        F.min_by(F.struct("dataset", "identifier", "family"), F.struct(*order)).alias("first"),
-        F.count("*").alias("items"),
+    merged = df.groupBy(*keys, "dataset", "identifier", "family").agg(
+        F.min(order).alias("_first"), F.count("*").alias("_n"))
+    first = merged.groupBy(*keys).agg(
+        F.min_by(F.struct("dataset", "identifier", "family"), "_first").alias("first"), F.sum("_n").alias("items"),
     ).select(*keys, "items", "first.*")
     flagged = with_gt_flag(first, gt_ids, ["dataset", "identifier"])
     use = F.col("in_gt")

@@ -138,7 +138,7 @@ def _(spark, root):
     rows = feeds.rollouts_with_extra(spark, root).withColumn("extra", routing.parse_extra(F.col("extra_info")))
     keyed = routing.identified(rows, F.col("extra")).withColumn(
         "prompt_key", routing.prompt_key(F.col("extra"), F.col("data_source"), F.col("resp_idx")))
-    return routing.route_prompts(keyed, feeds.gt_ids(spark, root), ["prompt_key"], ["resp_idx"]).select(
+    return routing.route_prompts(keyed, feeds.gt_ids(spark, root), ["prompt_key"], "resp_idx").select(
         "prompt_key", "items", "use_gt")
 
 
@@ -155,7 +155,7 @@ def _(spark, root):
         "doc_id", picked.alias("data_source"), F.create_map(F.lit("index"), F.col("doc_id").cast("string")).alias("extra"))
     rows = routing.identified(rows, F.col("extra"))
     ids = rows.where((F.col("doc_id") % 3 == 0) & (F.col("data_source") != "apps_x")).select("dataset", "identifier")
-    order, keys = ["doc_id"], ["doc_id", "data_source"]
+    order, keys = "doc_id", ["doc_id", "data_source"]
     published = routing.route_prompts(rows, ids, keys, order)
     fixed = routing.route_prompts(rows, ids, keys, order, reference_families=False)
     return published.select("doc_id", F.col("data_source").alias("name"), "use_gt").join(
