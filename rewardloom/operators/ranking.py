@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rewardloom.functions.let import let
+
 HASH_DIGITS = 3
-VALUE_BUCKETS = 64
+VALUE_BUCKETS = 1024
+FANOUT = 32
 
 
 def sample_key(seed: int, *keys: str) -> Column:
@@ -66,10 +69,24 @@ def value_edges(df: DataFrame, column: str, buckets: int = VALUE_BUCKETS) -> lis
 
 
 def value_bucket(column: Column, edges: list[float]) -> Column:
-    """Number of edges at or below a value."""
+    """Number of edges at or below a value, found in two short steps."""
     if not edges:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= column))
+    groups = [edges[i:i + FANOUT] for i in range(0, len(edges), FANOUT)]
+
+    def numbers(values: list[float]) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def at_or_below(values: Column, x: Column) -> Column:
+        return F.size(F.filter(values, lambda edge: edge <= x))
+
+    coarse, fine = numbers([g[0] for g in groups]), F.array(*[numbers(g) for g in groups])
+
+    def locate(x: Column) -> Column:
+        return let(at_or_below(coarse, x), lambda g: F.when(g == 0, 0).otherwise(
+            (g - 1) * FANOUT + at_or_below(F.get(fine, g - 1), x)))
+
+    return let(column, locate)
 
 
 def ordered_rank(df: DataFrame, groups: list[str], column: str, ties: list[str] | None = None,

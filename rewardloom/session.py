@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Everything here may be overridden by the cluster; none of it changes a result.
-DEFAULTS = {
-    "spark.sql.session.timeZone": "UTC",
+# Settings a running session may take on; none of them changes a result. A hot
+# join key is split at run time even where an aggregate on the same key follows.
+RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+DEFAULTS = {
+    **RUNTIME,
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
@@ -30,6 +35,13 @@ def build_session(app: str = "rewardloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Applies the run-time settings to a session that somebody else built."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, read from ``spark.checkpoint.dir``.
 
