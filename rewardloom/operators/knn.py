@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from rewardloom.config import EngineConfig
 from rewardloom.functions.vectors import dot, fingerprint, unit
 from rewardloom.operators.ranking import first_rows
+from rewardloom.session import cut_lineage
 
-PIVOTS = 64
+MAX_PIVOTS = 256  # cells grow with the square root of the candidates, up to this
 MAX_DOMAINS = 256  # domains are a handful of task families
 CHUNK_CELLS = 4_000_000
 SLACK = 1e-9
@@ -166,16 +167,22 @@ def _block_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, confi
                   probes: int | None) -> DataFrame:
     """Pivot cells, bounded blocks, and a merge of the per-block top k."""
     usable = cand.where(F.exists("vec", lambda x: x != 0))
-    picked = usable.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()
-    pivots = np.vstack([row["vec"] for row in picked])
-
-    cells = _with_cell(cand, pivots)
+    wanted = int(min(MAX_PIVOTS, max(1, round(usable.count() ** 0.5))))
+    picked = usable.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
+    if picked:
+        pivots = np.vstack([row["vec"] for row in picked])
+    else:  # no candidate points anywhere: one arbitrary pivot will do
+        first = src.select(F.size("vec").alias("d")).head(1)
+        pivots = np.ones((1, first[0]["d"] if first else 1))
+
+    # Read by several branches below: located once, then stored.
+    cells = cut_lineage(_with_cell(cand, pivots), "cells")
     nearest = first_rows(cells, ["dom", "cell"], [F.col("away"), F.col("id")], k)
     shape = cells.groupBy("dom", "cell").agg(
         F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")
     ).join(nearest.groupBy("dom", "cell").agg(F.collect_list("away").alias("near")), ["dom", "cell"])
-    # At most PIVOTS + 1 rows per domain, each with at most k numbers.
-    bound = MAX_DOMAINS * (PIVOTS + 1)
+    # At most MAX_PIVOTS + 1 rows per domain, each with at most k numbers.
+    bound = MAX_DOMAINS * (MAX_PIVOTS + 1)
     cell_rows = shape.limit(bound + 1).toPandas()
     if len(cell_rows) > bound:
         raise ValueError("too many domains for a cell search; use knn_within_groups")

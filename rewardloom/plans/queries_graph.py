@@ -172,7 +172,7 @@ def _(spark, root):
     nodes = nodes_of(spark, root)
     memory, new = nodes.where("is_memory"), nodes.where(~F.col("is_memory"))
     exact = knn.knn_edges(new, memory, 7)
-    found = knn.approximate_edges(new, memory, 7, probes=24)
+    found = knn.approximate_edges(new, memory, 7, probes=8)
     return knn.recall(exact, found)
 
 

@@ -58,10 +58,18 @@ def test_matches_brute_force(spark, config, rule):
 
 def test_all_probes_make_approximate_exact(spark):
     rows, nodes = make_nodes(spark, n=80)
-    found = knn.approximate_edges(nodes, nodes, 4, probes=knn.PIVOTS, exclude="self", config=BLOCKS)
+    found = knn.approximate_edges(nodes, nodes, 4, probes=knn.MAX_PIVOTS, exclude="self", config=BLOCKS)
     same(got(found), brute(rows, rows, 4, lambda s, c: s[0] != c[0]))
 
 
+def test_candidates_without_direction(spark):
+    _, nodes = make_nodes(spark, n=6)
+    zeros = spark.createDataFrame([(i, [0.0] * 6) for i in range(3)], "id bigint, embedding array<double>")
+    found = got(knn.knn_edges(nodes, zeros, 2, config=BLOCKS))
+    assert {(a, b) for a, b, _ in found} == {(i, j) for i in range(6) for j in range(2)}
+    assert knn.approximate_edges(nodes, zeros.limit(0), 2).count() == 0
+
+
 @pytest.mark.parametrize("small", [64, 3])
 def test_within_groups_large_and_small(spark, monkeypatch, small):
     monkeypatch.setattr(knn, "SMALL_GROUP", small)
