@@ -73,21 +73,27 @@ def route_prompts(df: DataFrame, gt_ids: DataFrame, keys: list[str], order: str,
                   reference_families: bool = True) -> DataFrame:
     """One row per prompt group: does its first item use ground truth?
 
-    Equal identifiers of a group are merged by a hash aggregate first, so a prompt
-    with very many rollouts reaches the second step as a few rows.
+    Rows carry ``data_source``, ``index`` and ``problem_id`` as text. Equal fields
+    of a group are merged by a hash aggregate first, so a prompt with very many
+    rollouts reaches the second step as a few rows; names are only then resolved.
     With ``reference_families=False`` every listed data set can match, which also
     routes the sets that the published family lists leave out.
     """
-    merged = df.groupBy(*keys, "dataset", "identifier", "family").agg(
-        F.min(order).alias("_first"), F.count("*").alias("_n"))
+    raw = ["data_source", "index", "problem_id"]
+    merged = df.groupBy(*keys, *raw).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
     first = merged.groupBy(*keys).agg(
-        F.min_by(F.struct("dataset", "identifier", "family"), "_first").alias("first"), F.sum("_n").alias("items"),
+        F.min_by(F.struct(*raw), "_first").alias("first"), F.sum("_n").alias("items"),
     ).select(*keys, "items", "first.*")
-    flagged = with_gt_flag(first, gt_ids, ["dataset", "identifier"])
+    named = first.withColumns({
+        "dataset": dataset_name(F.col("data_source")),
+        "identifier": query_identifier(F.col("data_source"), F.col("index"), F.col("problem_id")),
+        "family": route_family(F.col("data_source")),
+    })
+    flagged = with_gt_flag(named, gt_ids, ["dataset", "identifier"])
     use = F.col("in_gt")
     if reference_families:
         use = use & F.col("family").isNotNull()
-    return flagged.withColumn("use_gt", use).drop("in_gt")
+    return flagged.withColumn("use_gt", use).drop("in_gt", "index", "problem_id")
 
 
 def routing_stats(df: DataFrame, use_gt: Column) -> DataFrame:

@@ -136,8 +136,11 @@ SELECT prompt_key, count(*) AS items, CASE WHEN min_by(query_id, resp_idx) % 5 =
 FROM extra GROUP BY 1""")
 def _(spark, root):
     rows = feeds.rollouts_with_extra(spark, root).withColumn("extra", routing.parse_extra(F.col("extra_info")))
-    keyed = routing.identified(rows, F.col("extra")).withColumn(
-        "prompt_key", routing.prompt_key(F.col("extra"), F.col("data_source"), F.col("resp_idx")))
+    extra = F.col("extra")
+    keyed = rows.select(
+        "data_source", "resp_idx", routing.entry(extra, "index").alias("index"),
+        routing.entry(extra, "problem_id").alias("problem_id"),
+        routing.prompt_key(extra, F.col("data_source"), F.col("resp_idx")).alias("prompt_key"))
     return routing.route_prompts(keyed, feeds.gt_ids(spark, root), ["prompt_key"], "resp_idx").select(
         "prompt_key", "items", "use_gt")
 
@@ -153,9 +156,11 @@ def _(spark, root):
     picked = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 4 + 1).cast("int"))
     rows = feeds.table(spark, root, "documents").select(
         "doc_id", picked.alias("data_source"), F.create_map(F.lit("index"), F.col("doc_id").cast("string")).alias("extra"))
-    rows = routing.identified(rows, F.col("extra"))
-    ids = rows.where((F.col("doc_id") % 3 == 0) & (F.col("data_source") != "apps_x")).select("dataset", "identifier")
-    order, keys = "doc_id", ["doc_id", "data_source"]
+    listed = rows.where((F.col("doc_id") % 3 == 0) & (F.col("data_source") != "apps_x"))
+    ids = routing.identified(listed, F.col("extra")).select("dataset", "identifier")
+    rows = rows.select("doc_id", "data_source", routing.entry(F.col("extra"), "index").alias("index"),
+                       F.lit(None).cast("string").alias("problem_id"))
+    order, keys = "doc_id", ["doc_id"]
     published = routing.route_prompts(rows, ids, keys, order)
     fixed = routing.route_prompts(rows, ids, keys, order, reference_families=False)
     return published.select("doc_id", F.col("data_source").alias("name"), "use_gt").join(
