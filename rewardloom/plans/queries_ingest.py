@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from rewardloom.operators import ingest
 from rewardloom.operators.routing import entry
 from rewardloom.plans.registry import ROLLOUTS, ctes, query
 from rewardloom.schema import ROLLOUT_ARRAY
+from rewardloom.session import shared_folder
 from rewardloom.sources import feeds, readers, writers
 
 NL = "chr(10)"
@@ -140,6 +142,18 @@ def _(spark, root):
         counts.withColumn("accuracy", F.round(100 * F.col("correct") / F.col("total"), 2)))
 
 
+@query("snk3_node_table", ctes("query_nodes") + """
+SELECT id AS query_id, domain, is_memory, CAST(len(embedding) AS INTEGER) AS dim FROM query_nodes""")
+def _(spark, root):
+    nodes = feeds.query_nodes(spark, root).select(
+        F.lit("query").alias("node_type"), "query_id", F.lit(None).cast("bigint").alias("resp_idx"), "domain", "is_memory",
+        F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("array<double>").alias("answer_features"))
+    path = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    writers.write_nodes(nodes, path)
+    return readers.read_nodes(spark, [f"{path}_train", path]).select(
+        "query_id", "domain", "is_memory", F.size("embedding").alias("dim"))
+
+
 @query("ing1_gsm8k", f"""
 SELECT doc_id AS idx, 'gsm8k' AS data_source, 'math' AS ability, {duck_fill(prompts.TEMPLATES['gsm8k'], question='text')} AS user_text,
   'system' AS first_role, a AS ground_truth, a AS answer, f AS full_answer
