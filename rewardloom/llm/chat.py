@@ -13,9 +13,12 @@ def _hash(seed: int, *parts: Column) -> Column:
 
 
 def _turns(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """The four columns under fixed names, with two 64-bit hashes of role and text."""
+    """The four columns under fixed names, with two 64-bit hashes of role and text.
+
+    A struct around the id makes null ids equal to each other in joins.
+    """
     named = conversations.select(
-        F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
+        F.struct(F.col(conv).alias("id")).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
     # A null is skipped by the hash, so its absence is hashed as well.
     parts = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
@@ -72,12 +75,9 @@ def format_conversations(
     conversation; other columns are not read. An empty table gives an empty one.
     """
     turns = _turns(conversations, conv, turn, role, text)
-    kept = maximal_conversations(turns).withColumnRenamed("conv", "kept")
-    gathered = (
-        turns.join(kept, F.col("conv").eqNullSafe(F.col("kept")))
-        .groupBy("conv", "n_turns", "n_copies")
-        .agg(F.array_sort(F.collect_set(F.struct("turn", "h1", "h2", "role", "text"))).alias("turns"))
-    )
+    gathered = turns.join(maximal_conversations(turns), "conv").groupBy("conv").agg(
+        F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"),
+        F.array_sort(F.collect_set(F.struct("turn", "h1", "h2", "role", "text"))).alias("turns"))
     return gathered.select(
-        F.col("conv").alias("conv_id"), F.col("n_turns").cast("long"), "n_copies", rendered(F.col("turns")).alias("text")
-    )
+        F.col("conv.id").alias("conv_id"), F.col("n_turns").cast("long"), "n_copies",
+        rendered(F.col("turns")).alias("text"))
