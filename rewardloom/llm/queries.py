@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, quality, spans
+from rewardloom.llm import chat, decontaminate, near, quality, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return near.near_duplicates(table(spark, root, "documents").select("doc_id", "text"))
+
+
 def op8_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
     return chat.format_conversations(table(spark, root, "conversations"))
 
@@ -44,6 +48,7 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
