@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, near, quality, spans
+from rewardloom.llm import chat, decontaminate, language, near, quality, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.fit_languages(documents.filter(~held_out))
+    judged = language.identified(documents.select("doc_id", "text"), model)
+    return judged.select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score",
+        (~F.col("language.accepted")).alias("rejected"))
+
+
 def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents").select("doc_id", "text")
     rules = quality.fit_quality_rules(documents, table(spark, root, "labels"))
@@ -47,6 +57,7 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
