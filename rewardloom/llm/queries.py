@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, language, near, quality, spans
+from rewardloom.llm import chat, counts, decontaminate, language, lines, near, pieces, quality, spans, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+# The rules of the filter, and host words that mark a URL as rejected for training.
+URL_RULES = [
+    urls.Rule("org", "/", urls.ALLOW), urls.Rule("example.org", "/es/", urls.BLOCK),
+    urls.Rule("example.org", "/en/1", urls.BLOCK), urls.Rule("com", "/fr/", urls.ALLOW),
+    urls.Rule("com", "/de/", urls.BLOCK),
+]
+REJECTED_HOST_WORDS = r"(^|[.-])(ads?|bets?|casino|pills|poker|porn|spam|xxx)([.-]|$)"
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -26,6 +36,48 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
         (~F.col("language.accepted")).alias("rejected"))
 
 
+def op2_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "source", "text")
+    judged = lines.without_boilerplate(documents)
+    return judged.select(
+        "doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.col("lines.text"), 256).alias("text_sha256"))
+
+
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """Training labels: a word in the host rejects; of the rest, what no rule blocks is accepted.
+
+    Blocking rules state a policy on sites and languages, not how a bad URL reads,
+    so the URLs that they block teach neither model.
+    """
+    host, path = urls.host_and_path(F.col("url"))
+    blocked = F.coalesce(urls.longest_rule(URL_RULES, host, path)["verdict"] == urls.BLOCK, F.lit(False))
+    good = F.when(host.rlike(REJECTED_HOST_WORDS), False).when(~blocked, True)
+    return pages.select("url", good.alias("good")).filter("good is not null")
+
+
+def op3_url_filters(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages").select("page_id", "url")
+    models = urls.fit_url_models(labelled_urls(pages))
+    return urls.judged_urls(pages, URL_RULES, models).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def piece_model(path: str = PIECE_MODEL) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def op5_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    done = pieces.encoded(documents, piece_model())
+    return done.select(
+        "doc_id", F.size("pieces.ids").cast("long").alias("n_tokens"), "pieces.ids", "pieces.round_trip")
+
+
+def op6_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    return counts.token_counts(documents, piece_model()).select("doc_id", "n_tokens")
+
+
 def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents").select("doc_id", "text")
     rules = quality.fit_quality_rules(documents, table(spark, root, "labels"))
@@ -58,7 +110,11 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
@@ -70,6 +126,20 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": """
+WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS w FROM documents),
+numbered AS (SELECT doc_id, source, w, unnest(range(1, len(w) + 1)) AS i FROM parts),
+each_line AS (SELECT doc_id, source, i, w[i] AS raw, trim(w[i]) AS line FROM numbered),
+spread AS (SELECT line, min(doc_id) AS least FROM each_line WHERE line <> ''
+           GROUP BY line HAVING count(DISTINCT source) >= 10),
+judged AS (
+  SELECT l.doc_id, i, raw,
+    s.line IS NULL OR (l.doc_id = least AND i = min(i) OVER (PARTITION BY l.doc_id, l.line)) AS stays
+  FROM each_line l LEFT JOIN spread s USING (line))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (stays), '')) AS text_sha256
+FROM judged GROUP BY doc_id
+""",
     "op8_chat_formatting": """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 logged AS (
