@@ -150,7 +150,7 @@ def fit_languages(
     counted = F.arrow_udf(count, "rows array<int>, counts array<int>", F.ArrowUDFType.SCALAR_ITER)
     sample = training_rows(documents, key, text, lang, rows).withColumn("s", counted(F.col("text")))
     found = sample.select("lang", "draw", "s.rows", "s.counts").orderBy("lang", "draw").toPandas()
-    found = found[[len(r) > 0 for r in found["rows"]]]
+    found = found[found["rows"].map(len) > 0]
     languages = tuple(sorted(found["lang"].unique()))
     if not languages:
         return LanguageModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, longest)
