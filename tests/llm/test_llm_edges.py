@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from brute_force import brute_classes
 from pyspark.sql import functions as F
 
 from rewardloom.llm import (
@@ -104,8 +105,6 @@ def test_near_duplicates_in_small_buckets_and_blocks(spark, none):
     rows += [(100 + k, " ".join(f"u{k}_{i}" for i in range(30))) for k in range(20)]
     rows += [(200, None), (201, ""), (202, "a b"), (203, "a b"), (204, "a c"), (205, " a  b ")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    from tests.llm.test_llm_queries import brute_classes
-
     want = brute_classes(dict(rows))
     for options in ({}, {"bucket_rows": 4, "block_shingles": 500, "deepest": 3}):
         got = near.near_duplicates(frame, **options).collect()
