@@ -179,15 +179,16 @@ def split_generated(text: Column, domain: Column) -> Column:
     )
 
 
-def split_scored(text: Column) -> Column:
-    """Think/answer struct used when scoring: at the marker, else a short prefix.
+def split_scored(text: Column, answer_chars: int | None = None) -> Column:
+    """Think/answer struct used when scoring: at the marker, else the whole text for both.
 
-    The 100-character answer of an unmarked response is the reference's rule; the
-    think part keeps the whole text.
+    ``answer_chars`` limits the answer of an unmarked response for an encoder that
+    takes short inputs; by default nothing is cut.
     """
     parts = segments(text, "####")
     marked = F.struct(strip(F.get(parts, 0)).alias("think"), strip(F.get(parts, 1)).alias("answer"))
-    plain = F.struct(text.alias("think"), F.substr(text, F.lit(1), F.lit(100)).alias("answer"))
+    answer = text if answer_chars is None else F.substr(text, F.lit(1), F.lit(answer_chars))
+    plain = F.struct(text.alias("think"), answer.alias("answer"))
     return F.when(F.contains(text, F.lit("####")), marked).otherwise(plain)
 
 

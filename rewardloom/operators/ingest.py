@@ -217,16 +217,13 @@ def resolved_extra(extra: Column, answer: Column, answer_key: Column) -> Column:
                                                 F.expr("map()").cast("map<string,string>"))).otherwise(built)
 
 
-def encoder_inputs(query: Column, think: Column, answer: Column) -> list[Column]:
-    """Texts as the encoder takes them: 1000, 1000 and 500 characters.
-
-    The lengths belong to the encoder's input format; the tables keep whole texts.
-    """
-    return [
-        F.substr(query, F.lit(1), F.lit(1000)).alias("query_text"),
-        F.substr(think, F.lit(1), F.lit(1000)).alias("think_text"),
-        F.substr(answer, F.lit(1), F.lit(500)).alias("answer_text"),
-    ]
+def encoder_inputs(query: Column, think: Column, answer: Column, lengths: tuple[int, int, int] | None = None
+                   ) -> list[Column]:
+    """Texts as the encoder takes them, whole unless ``lengths`` states its input limits."""
+    texts = [query, think, answer]
+    if lengths is not None:
+        texts = [F.substr(t, F.lit(1), F.lit(n)) for t, n in zip(texts, lengths, strict=True)]
+    return [t.alias(n) for t, n in zip(texts, ("query_text", "think_text", "answer_text"), strict=True)]
 
 
 def encode_text(df: DataFrame, column: str, size: int = 256, idf: bool = True) -> DataFrame:

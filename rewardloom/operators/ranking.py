@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.let import let
 
-HASH_DIGITS = 3
+HASH_DIGITS = 4
 VALUE_BUCKETS = 1024
 FANOUT = 32
 
@@ -24,7 +24,9 @@ def sample_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def _rank(df: DataFrame, groups: list[str], order: list[Column], rank: str, size: str) -> DataFrame:
+def _rank(df: DataFrame, groups: list[str], order: list[Column], rank: str, size: str,
+          limit: int | None = None) -> DataFrame:
+    """With ``limit`` only the buckets that hold the first ranks are sorted."""
     totals = df.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows"))
     if groups:
         whole = W.partitionBy(*groups)
@@ -37,24 +39,26 @@ def _rank(df: DataFrame, groups: list[str], order: list[Column], rank: str, size
         F.sum("_rows").over(whole).alias(size),
     )
     inside = W.partitionBy(*groups, "_bucket").orderBy(*order)
-    return (
-        df.withColumn("_inner", F.row_number().over(inside))
-        .join(offsets, [*groups, "_bucket"])
-        .withColumn(rank, F.col("_offset") + F.col("_inner"))
-        .drop("_bucket", "_inner", "_offset")
-    )
+    if limit is None:
+        placed = df.withColumn("_inner", F.row_number().over(inside)).join(offsets, [*groups, "_bucket"])
+    else:
+        first = df.join(offsets.where(F.col("_offset") < limit), [*groups, "_bucket"])
+        placed = first.withColumn("_inner", F.row_number().over(inside))
+    ranked = placed.withColumn(rank, F.col("_offset") + F.col("_inner")).drop("_bucket", "_inner", "_offset")
+    return ranked if limit is None else ranked.where(F.col(rank) <= limit)
 
 
 def shuffled_rank(df: DataFrame, groups: list[str], keys: list[str], seed: int = 42,
-                  rank: str = "rank", size: str = "group_size") -> DataFrame:
+                  rank: str = "rank", size: str = "group_size", limit: int | None = None) -> DataFrame:
     """1-based rank in a seeded shuffle of each group, plus the group size.
 
-    MD5 digits are uniform, so buckets stay even when one group dominates.
+    MD5 digits are uniform, so buckets stay even when one group dominates. With
+    ``limit`` only the first ranks are returned.
     """
     keyed = df.withColumn("_key", sample_key(seed, *keys))
     keyed = keyed.withColumn("_bucket", F.substr("_key", F.lit(1), F.lit(HASH_DIGITS)))
     order = [F.col("_key"), *[F.col(k) for k in keys]]
-    return _rank(keyed, groups, order, rank, size).drop("_key")
+    return _rank(keyed, groups, order, rank, size, limit).drop("_key")
 
 
 def value_edges(df: DataFrame, column: str, buckets: int = VALUE_BUCKETS) -> list[float]:
@@ -90,16 +94,16 @@ def value_bucket(column: Column, edges: list[float]) -> Column:
 
 
 def ordered_rank(df: DataFrame, groups: list[str], column: str, ties: list[str] | None = None,
-                 rank: str = "rank", size: str = "group_size") -> DataFrame:
+                 rank: str = "rank", size: str = "group_size", limit: int | None = None) -> DataFrame:
     """1-based rank by a numeric column inside each group, plus the group size."""
     edges = value_edges(df, column)
     bucketed = df.withColumn("_bucket", value_bucket(F.col(column), edges))
     order = [F.col(column), *[F.col(t) for t in ties or []]]
-    return _rank(bucketed, groups, order, rank, size)
+    return _rank(bucketed, groups, order, rank, size, limit)
 
 
 def first_rows(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows per group. The limit prunes before the shuffle."""
+    """First ``k`` rows per group, for a small ``k``: a task passes on at most ``k`` rows of a group."""
     window = W.partitionBy(*groups).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).drop("_n")
 

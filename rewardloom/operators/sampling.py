@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rewardloom.operators.ranking import first_per_key, first_rows, ordered_rank, sample_key, shuffled_rank
+from rewardloom.operators.ranking import first_per_key, ordered_rank, shuffled_rank
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -15,10 +15,12 @@ def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, groups: list[str], keys: list[str], size: int, seed: int = 42) -> DataFrame:
-    """Exactly ``size`` random rows per group, or all where there are fewer."""
-    keyed = df.withColumn("_key", sample_key(seed, *keys))
-    order = [F.col("_key"), *[F.col(k) for k in keys]]
-    return first_rows(keyed, groups, order, size).drop("_key")
+    """Exactly ``size`` random rows per group, or all where there are fewer.
+
+    Bucket totals tell which hash buckets can hold the sample; the others are
+    dropped before any sort, and no task meets a whole group.
+    """
+    return shuffled_rank(df, groups, keys, seed, "_n", "_size", limit=size).drop("_n", "_size")
 
 
 def _label(rank: Column, train_end: Column, valid_end: Column) -> Column:
@@ -71,7 +73,8 @@ def tenth(df: DataFrame, groups: list[str], keys: list[str], seed: int = 42) ->
 
 
 def first_k(df: DataFrame, groups: list[str], position: str, k: int) -> DataFrame:
-    return first_rows(df, groups, [F.col(position)], k)
+    """First ``k`` rows per group by a numeric position; value buckets past them are never sorted."""
+    return ordered_rank(df, groups, position, rank="_n", size="_size", limit=k).drop("_n", "_size")
 
 
 def prefix_to_match(df: DataFrame, other: DataFrame, groups: list[str], position: str) -> DataFrame:

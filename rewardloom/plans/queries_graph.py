@@ -198,7 +198,8 @@ def _(spark, root):
 _NEAR = """,
 near AS (SELECT * FROM sims WHERE NOT sm AND dm QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 7),
 """
-_VEC = "list_transform(CAST(e.embedding AS DOUBLE[])[1:4], lambda x: x / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[])[1:4], CAST(e.embedding AS DOUBLE[])[1:4])))"
+_VEC = "list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))))"
+DIMENSIONS = 64
 
 
 # Rollouts: each vector also stands for two rollouts of query vec_id.
@@ -215,7 +216,7 @@ inferred AS (
 
 def _propagation_rollouts(spark, root):
     nodes = nodes_of(spark, root)
-    vec = unit(F.slice("embedding", 1, 4))
+    vec = unit(F.col("embedding"))
     each = nodes.select(
         F.col("id").alias("query_id"), "is_memory", "label", vec.alias("v"), F.explode(F.array(F.lit(0), F.lit(1))).alias("resp_idx"))
     return each.select(
@@ -230,7 +231,7 @@ def _(spark, root):
     rows = _propagation_rollouts(spark, root)
     edges = graph.similar_to_memory(nodes_of(spark, root))
     new = rows.where(~F.col("is_memory")).drop("reward")
-    out = propagate.propagate(new, rows.where("is_memory"), edges, 4)
+    out = propagate.propagate(new, rows.where("is_memory"), edges, DIMENSIONS)
     return out.select("query_id", "resp_idx", r6(F.col("prob")).alias("prob"), "reward")
 
 
@@ -248,7 +249,7 @@ def _(spark, root):
     rows = _propagation_rollouts(spark, root).withColumn("split", F.when(F.col("is_memory"), "train").otherwise("valid"))
     nodes = nodes_of(spark, root)
     edges = graph.similar_in_memory(nodes).unionByName(graph.similar_to_memory(nodes))
-    out = propagate.transductive(rows, edges, 4)
+    out = propagate.transductive(rows, edges, DIMENSIONS)
     return out.groupBy("split").agg(
         F.count("*").alias("n"), r6(F.avg("prob")).alias("mean_prob"),
         F.count_if((F.col("prob") > 0.5) == (F.col("label") > 0.5)).alias("agreeing"))
@@ -260,7 +261,7 @@ edges AS (
   SELECT src, dst, 'similar_to' AS edge_type, sim AS weight FROM (SELECT * FROM sims WHERE src <> dst AND sd = dd
     QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 5)
   UNION ALL SELECT id, id + 1, 'leads_to', 0.5::DOUBLE FROM query_nodes WHERE id + 1 IN (SELECT id FROM query_nodes)),
-xy AS (SELECT id, unnest(range(1, 9)) AS d, unnest(embedding[1:8]) AS x FROM query_nodes),
+xy AS (SELECT id, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding) AS x FROM query_nodes),
 """
 
 
@@ -272,7 +273,7 @@ def two_type_edges(spark, root):
 
 
 def vectors_of(spark, root):
-    return nodes_of(spark, root).select("id", F.slice("embedding", 1, 8).alias("vec"))
+    return nodes_of(spark, root).select("id", F.col("embedding").alias("vec"))
 
 
 def exploded(layer):
@@ -324,7 +325,7 @@ def _(spark, root):
     labelled = rows.where("is_memory")
     table = propagate.neighbour_features(rows, edges, labelled).select(
         "query_id", "resp_idx", "is_memory", "reward", "mean_rate", "weighted_rate", "neighbours",
-        *[F.get("features", i).alias(f"f{i}") for i in range(4)])
-    columns = ["mean_rate", "weighted_rate", "neighbours", "f0", "f1", "f2", "f3"]
+        *[F.get("features", i).alias(f"f{i}") for i in range(DIMENSIONS)])
+    columns = ["mean_rate", "weighted_rate", "neighbours", *[f"f{i}" for i in range(DIMENSIONS)]]
     model = propagate.fit_rewards(table.where("is_memory"), columns)
     return propagate.predict_rewards(model, table).select("query_id", "resp_idx", "is_memory", "reward", "prob", "predicted")

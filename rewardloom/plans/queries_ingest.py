@@ -429,7 +429,7 @@ def _(spark, root):
 
 
 @query("ing17_encoder_inputs", """
-SELECT doc_id, substr(text, 1, 1000) AS query_text, substr(text, 1, 1000) AS think_text, substr(text, 1, 100) AS answer_text
+SELECT doc_id, text AS query_text, text AS think_text, text AS answer_text
 FROM documents""")
 def _(spark, root):
     rows = docs(spark, root).withColumn("p", split_scored(F.col("text")))

@@ -177,25 +177,30 @@ def _(spark, root):
 
 _RTE5 = """
 WITH seen AS (SELECT event_type AS dataset, user_id AS index, min(event_id) AS pos FROM events GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos) AS rank FROM seen)
+limits AS (SELECT event_type AS dataset, count(DISTINCT user_id) AS n_parquet,
+  count(DISTINCT CASE WHEN value > 100 THEN user_id END) AS n_cache FROM events GROUP BY 1),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos) AS rank FROM seen)
+  JOIN limits USING (dataset) WHERE rank <= least(n_parquet, n_cache))
 """
 
 
-@query("rte5_gt_identifiers", _RTE5 + "SELECT dataset, index, rank FROM ranked WHERE rank <= 90")
+@query("rte5_gt_identifiers", _RTE5 + "SELECT dataset, index, rank FROM ranked")
 def _(spark, root):
     return _gt_identifiers(spark, root).select("dataset", "index", "rank")
 
 
 @query("rte5_gt_coverage", _RTE5 + """
-SELECT dataset, count(*) AS n_total, round(count(*) / 120.0::DOUBLE * 100, 6) AS coverage FROM ranked WHERE rank <= 90 GROUP BY 1""")
+SELECT dataset, count(*) AS n_total, round(count(*) / max(n_parquet)::DOUBLE * 100, 6) AS coverage FROM ranked GROUP BY 1""")
 def _(spark, root):
     return routing.gt_coverage(_gt_identifiers(spark, root))
 
 
 def _gt_identifiers(spark, root):
     events = feeds.table(spark, root, "events").select(
-        F.col("event_type").alias("dataset"), F.col("user_id").alias("index"), F.col("event_id").alias("pos"))
-    limits = events.select("dataset").distinct().select("dataset", F.lit(120).alias("n_parquet"), F.lit(90).alias("n_cache"))
+        F.col("event_type").alias("dataset"), F.col("user_id").alias("index"), F.col("event_id").alias("pos"), "value")
+    limits = events.groupBy("dataset").agg(
+        F.count_distinct("index").alias("n_parquet"),
+        F.count_distinct(F.when(F.col("value") > 100, F.col("index"))).alias("n_cache"))
     return routing.gt_identifiers(events, limits)
 
 

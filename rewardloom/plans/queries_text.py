@@ -206,7 +206,7 @@ def _(spark, root):
 @query("str9_split_scored", VARIED_SQL + f"""
 SELECT query_id, resp_idx,
   CASE WHEN contains(txt, '####') THEN {duck_strip("split_part(txt, '####', 1)")} ELSE txt END AS think,
-  CASE WHEN contains(txt, '####') THEN {duck_strip("split_part(txt, '####', 2)")} ELSE substr(txt, 1, 100) END AS answer
+  CASE WHEN contains(txt, '####') THEN {duck_strip("split_part(txt, '####', 2)")} ELSE txt END AS answer
 FROM varied""")
 def _(spark, root):
     parts = text.split_scored(F.col("txt"))
@@ -214,7 +214,7 @@ def _(spark, root):
 
 
 @query("str9_split_chat_answers", f"""
-SELECT conv_id, turn, text AS think, substr(text, 1, 100) AS answer FROM conversations WHERE role = 'assistant'""")
+SELECT conv_id, turn, text AS think, text AS answer FROM conversations WHERE role = 'assistant'""")
 def _(spark, root):
     turns = feeds.table(spark, root, "conversations").where(F.col("role") == "assistant")
     return turns.withColumn("p", text.split_scored(F.col("text"))).select("conv_id", "turn", "p.think", "p.answer")

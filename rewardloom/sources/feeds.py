@@ -200,35 +200,13 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def chats(spark: SparkSession, root: str) -> DataFrame:
-    """One row per conversation: its system message, first and last user turn.
-
-    A prompt holds at most three messages, so the aggregate state stays small
-    however long a conversation is.
-    """
+    """One row per conversation with all its system and user turns, in order, as the prompt."""
     turns = table(spark, root, "conversations")
-    user = F.col("role") == "user"
-    picked = turns.groupBy("conv_id").agg(
-        F.min_by(F.when(F.col("role") == "system", F.col("text")),
-                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
-        F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("first_user"),
-        F.max_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("last_user"),
-        F.count_if(user).alias("users"),
-    )
-
-    def message(role: str, text: str, keep: Column) -> Column:
-        return F.when(
-            keep & F.col(text).isNotNull(),
-            F.struct(F.lit(role).alias("role"), F.col(text).alias("content")),
-        )
-
-    return picked.select(
-        "conv_id",
-        F.array_compact(F.array(
-            message("system", "system", F.lit(True)),
-            message("user", "first_user", F.lit(True)),
-            message("user", "last_user", F.col("users") > 1),
-        )).alias("prompt"),
-    )
+    asked = F.col("role").isin("system", "user")
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    prompt = F.array_sort(F.collect_list(F.when(asked, message)))
+    return turns.groupBy("conv_id").agg(prompt.alias("turns")).select(
+        "conv_id", F.transform("turns", lambda t: t.dropFields("turn")).alias("prompt"))
 
 
 def scored(spark: SparkSession, root: str) -> DataFrame:
