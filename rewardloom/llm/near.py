@@ -134,12 +134,17 @@ def _reached(count: int, linked: Callable[[int], np.ndarray]) -> np.ndarray:
 
 
 def _bucket_edges(least: float) -> Callable:
-    """Edges from each row of a bucket to the first row of its component."""
+    """Edges from each row of a bucket to the smallest id of its component.
+
+    A group of near copies meets in many buckets; its smallest id is in most of
+    them, so that most edges are the same ones.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for rows in _groups(batches, ["path", "part"]):
+            rows = rows.sort_by("id")
             ids = rows.column("id").to_numpy()
             sketches = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in rows.column("sketch")])
             root = _reached(len(ids), lambda i, s=sketches: (s == s[i]).mean(axis=1) >= least)
@@ -184,6 +189,7 @@ def _verified(similarity: float) -> Callable:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["component", "one", "two"]):
+            rows = rows.sort_by("id")
             ids, copies, block = (rows.column(c).to_numpy() for c in ("id", "copies", "block"))
             sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
             sizes = np.array([len(s) for s in sets], np.float64)
@@ -238,7 +244,7 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
         large = placed.filter(F.col("n") > bucket_rows)
         if depth == deepest or not large.limit(1).count():
             break
-        pivots = large.groupBy("path").agg(F.min_by("id", F.xxhash64("path", "id")).alias("pivot"))
+        pivots = large.groupBy("path").agg(F.min("id").alias("pivot"))  # most buckets of a group share it
         pivots = pivots.join(sketches.select(F.col("id").alias("pivot"), F.col("sketch").alias("center")), "pivot")
         met = large.join(sketches, "id").join(pivots, "path")
         met = cut_lineage(met.withColumn(
