@@ -134,6 +134,8 @@ def repeated_runs(
         F.min("key").alias("least"), F.max("key").alias("most"), F.min("body").alias("body_a"),
         F.max("body").alias("body_b")
     ).filter("least < most").select("seed", "least", (F.col("body_a") != F.col("body_b")).alias("branches"))
+    # Written first, as only a join of two shuffles is split where a key is hot.
+    seeds = cut_lineage(seeds, "seeds")
     shared = cut_lineage(stretches.join(seeds, "seed").filter("branches or key > least"), "shared")
     whole = shared.filter("not branches").select("key", "content", "first", "count")
 
@@ -144,7 +146,8 @@ def repeated_runs(
         .select("key", "content", F.explode(_windows(window)(F.col("text"), F.col("stretches"))).alias("w"))
         .select("key", "content", "w.*"), "edges")
     least = edges.groupBy("high", "low").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    single = edges.join(least.filter("least < most").drop("most"), ["high", "low"]).filter("key > least").select(
+    least = cut_lineage(least.filter("least < most").drop("most"), "least")
+    single = edges.join(least, ["high", "low"]).filter("key > least").select(
         "key", "content", "first", F.lit(1).alias("count"))
     return whole.union(single).groupBy("key", "content").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
 
