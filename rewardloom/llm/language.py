@@ -140,14 +140,15 @@ def fit_languages(
     language or a letter are not used. A table without labels gives a model that
     knows no language.
     """
-    kind = pa.struct([("rows", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    kind = pa.struct([("rows", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             each = [subword_rows(t.as_py(), buckets, longest) for t in texts]
-            yield pa.array([{"rows": r, "counts": c} for r, c in each], kind)
+            packed = [[x.astype(np.int32).tobytes() for x in pair] for pair in each]
+            yield pa.array([{"rows": r, "counts": c} for r, c in packed], kind)
 
-    counted = F.arrow_udf(count, "rows array<int>, counts array<int>", F.ArrowUDFType.SCALAR_ITER)
+    counted = F.arrow_udf(count, "rows binary, counts binary", F.ArrowUDFType.SCALAR_ITER)
     sample = training_rows(documents, key, text, lang, rows).withColumn("s", counted(F.col("text")))
     found = sample.select("lang", "draw", "s.rows", "s.counts").orderBy("lang", "draw").toPandas()
     found = found[found["rows"].map(len) > 0]
@@ -156,7 +157,8 @@ def fit_languages(
         return LanguageModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, longest)
     labels = np.searchsorted(np.array(languages, dtype=object), found["lang"].to_numpy())
     held = ((found["draw"].to_numpy() >> 32) % 5 == 0)
-    texts = list(zip(found["rows"], found["counts"], strict=True))
+    texts = [tuple(np.frombuffer(bytes(x), np.int32) for x in pair)
+             for pair in zip(found["rows"], found["counts"], strict=True)]
     return train(texts, labels, languages, held, buckets, longest, **options)
 
 
