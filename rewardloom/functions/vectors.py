@@ -51,6 +51,22 @@ def short_unit(vector: Column, length: int) -> Column:
     return let(vector, divide)
 
 
+def text_vector(text: Column, length: int) -> Column:
+    """Unit vector of a whole text: its words counted in ``length`` places by hash.
+
+    Words are runs of letters and digits, lower-cased; the place is the number in a
+    word's first four MD5 digits modulo ``length``. A text without words is zero.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.conv(F.substr(F.md5(w), F.lit(1), F.lit(4)), 16, 10).cast("int") % length)
+
+    def count(p: Column, place: int) -> Column:
+        return F.size(F.filter(p, lambda x: x == place)).cast("double")
+
+    counts = let(places, lambda p: F.array(*[count(p, i) for i in range(length)]))
+    return short_unit(F.coalesce(counts, F.array(*[F.lit(0.0)] * length)), length)
+
+
 def relu(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.greatest(x, F.lit(0.0)))
 

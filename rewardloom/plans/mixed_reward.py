@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.config import EngineConfig
 from rewardloom.functions.domains import dataset_name, query_identifier, route_family, scoring_domain
+from rewardloom.functions.let import let
 from rewardloom.functions.numeric import numeric_answer
-from rewardloom.functions.vectors import short_unit
+from rewardloom.functions.text import split_scored
+from rewardloom.functions.vectors import short_unit, text_vector
 from rewardloom.operators.features import feature_vector
 from rewardloom.operators.knn import knn_edges
 from rewardloom.operators.propagate import neighbour_sums, probability
@@ -16,11 +21,25 @@ from rewardloom.operators.routing import answer_or, entry, gate_batches, is_trai
 from rewardloom.operators.scoring import gt_reward
 from rewardloom.session import cut_lineage
 
-FEATURES = 3
+TEXT = 8                  # places of the think and of the answer vector
+FEATURES = 3 + 2 * TEXT
 GROUP = ["batch_id", "prompt_key"]
 
 
-def scored_rollouts(rollouts: DataFrame) -> DataFrame:
+def response_features(response: Column) -> Column:
+    """What a response says, whatever its domain: its think and its answer part as word vectors."""
+    return let(split_scored(response), lambda p: F.concat(text_vector(p["think"], TEXT), text_vector(p["answer"], TEXT)))
+
+
+@dataclass(frozen=True)
+class GraphMemory:
+    """Labelled rollouts (query_id, features, reward) and their queries (id, domain, embedding)."""
+
+    rows: DataFrame
+    nodes: DataFrame
+
+
+def scored_rollouts(rollouts: DataFrame, describe: Callable[[Column], Column] = response_features) -> DataFrame:
     """Rollouts with everything that needs no other row.
 
     One projection: ground-truth reward, numeric answer, prompt key and the raw
@@ -39,6 +58,7 @@ def scored_rollouts(rollouts: DataFrame) -> DataFrame:
         *GROUP, "query_id", "resp_idx", "data_source", "domain", "is_train", "index", "problem_id",
         gt_reward(F.col("domain"), F.col("response"), F.col("truth"), passed).alias("gt_reward"),
         F.when(F.col("domain") == "math", numeric_answer(F.col("response"))).alias("answer"),
+        describe(F.col("response")).alias("said"),
     )
 
 
@@ -77,44 +97,67 @@ def prompt_table(scored: DataFrame, gt_ids: DataFrame, reference_families: bool
     return gated.select(*GROUP, "node", "consensus", route.alias("route"))
 
 
+def unit_features(config: EngineConfig, length: int) -> Column:
+    """Answer features and response features of a rollout as one unit vector."""
+    answer = feature_vector(F.col("answer"), F.col("consensus"), F.col("domain"), config.strict_zero)
+    return short_unit(F.concat(answer, F.col("said")), length)
+
+
+def _graph_nodes(prompts: DataFrame, vectors: DataFrame) -> DataFrame:
+    return prompts.select(F.col("node").alias("query_id"), "route").join(
+        vectors.select("query_id", "data_source", "embedding"), "query_id"
+    ).select(F.col("query_id").alias("id"), "route", "embedding",
+             scoring_domain(F.col("data_source")).alias("domain"))
+
+
+def _remembered(scored: DataFrame, prompts: DataFrame, nodes: DataFrame, features: Column) -> GraphMemory:
+    labelled = scored.join(prompts.where(F.col("route") == "gt"), GROUP).select(
+        F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
+    return GraphMemory(labelled, nodes.where(F.col("route") == "gt").select("id", "domain", "embedding"))
+
+
+def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, config: EngineConfig = EngineConfig(),
+                 reference_families: bool = True) -> GraphMemory:
+    """The ground-truth-routed part of labelled rollouts, written once, as static memory of later jobs."""
+    scored = cut_lineage(scored_rollouts(rollouts), "scored")
+    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
+    memory = _remembered(scored, prompts, _graph_nodes(prompts, vectors), unit_features(config, FEATURES))
+    return GraphMemory(cut_lineage(memory.rows, "memory"), cut_lineage(memory.nodes, "memory-nodes"))
+
+
 def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
-                 config: EngineConfig = EngineConfig(), memory: DataFrame | None = None,
-                 reference_families: bool = True) -> DataFrame:
+                 config: EngineConfig = EngineConfig(), memory: GraphMemory | None = None,
+                 reference_families: bool = True, describe: Callable[[Column], Column] = response_features,
+                 described: int = 2 * TEXT, connect: Callable[..., DataFrame] = knn_edges) -> DataFrame:
     """Reward per rollout with its source: ``gt``, ``graph``, ``validation``, ``gt_fallback``.
 
     ``vectors`` are (query_id, data_source, embedding). The memory of the graph
-    branch is the ground-truth-routed part of the input unless a table of
-    (id, domain, embedding, features, reward) rows is given. Rollouts no neighbour
-    speaks for fall back to ground truth, as does a whole validation batch.
+    branch is the ground-truth-routed part of the input unless one is given; then
+    a prompt's reward depends on its own batch and the memory alone. Rollouts no
+    neighbour speaks for fall back to ground truth, as does a whole validation batch.
+
+    ``describe`` turns a response into ``described`` numbers, which join the answer
+    features; ``connect`` finds the edges from new queries to remembered ones and
+    takes what :func:`knn_edges` takes. Both can be replaced.
     """
+    length = 3 + described
     # Both tables feed several branches; the scored one is narrow (no texts), so
     # writing it once is cheaper than parsing every response per branch.
-    scored = cut_lineage(scored_rollouts(rollouts), "scored")
+    scored = cut_lineage(scored_rollouts(rollouts, describe), "scored")
     prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
-    raw = feature_vector(F.col("answer"), F.col("consensus"), F.col("domain"), config.strict_zero)
-    features = short_unit(raw, FEATURES)
-
-    nodes = prompts.select(F.col("node").alias("query_id"), "route").join(
-        vectors.select("query_id", "data_source", "embedding"), "query_id"
-    ).select(F.col("query_id").alias("id"), "route", "embedding",
-             scoring_domain(F.col("data_source")).alias("domain"))
-    if memory is None:
-        remembered = scored.join(prompts.where(F.col("route") == "gt"), GROUP).select(
-            F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
-        memory_nodes = nodes.where(F.col("route") == "gt")
-    else:
-        remembered = memory.select(F.col("id").alias("query_id"), "features", "reward")
-        memory_nodes = memory.groupBy("id").agg(
-            F.first("embedding").alias("embedding"), F.first("domain").alias("domain"))
-    edges = knn_edges(
-        nodes.where(F.col("route") == "graph"), memory_nodes, config.k,
+    features = unit_features(config, length)
+    # The search, its size check and the memory all read the nodes.
+    nodes = cut_lineage(_graph_nodes(prompts, vectors), "nodes")
+    memory = memory or _remembered(scored, prompts, nodes, features)
+    edges = connect(
+        nodes.where(F.col("route") == "graph"), memory.nodes, config.k,
         domain="domain" if config.domain_filter else None, config=config,
     )
     # Neighbour sums join the prompts first: the rollouts then meet one table once.
-    sums = neighbour_sums(remembered, edges, FEATURES).withColumnRenamed("query_id", "node")
+    sums = neighbour_sums(memory.rows, edges, length).withColumnRenamed("query_id", "node")
     informed = prompts.join(sums, "node", "left")
     inferred = scored.join(informed, GROUP).withColumn("features", features).withColumn(
-        "prob", F.when(F.col("route") == "graph", probability(F.col("features"), FEATURES))
+        "prob", F.when(F.col("route") == "graph", probability(F.col("features"), length))
     )
     on_graph = F.col("prob").isNotNull()
     graph_reward = F.when(F.col("prob") > config.threshold, 1.0).otherwise(0.0)

@@ -9,7 +9,7 @@ from rewardloom.operators import features, routing, scoring
 from rewardloom.plans import mixed_reward as mixed
 from rewardloom.plans.queries_text import (
     VARIED_SQL, duck_boxed, duck_clean, duck_clean_generalization, duck_hash_answer, duck_letter, duck_number,
-    duck_numeric_answer, varied,
+    duck_numeric_answer, duck_strip, varied,
 )
 from rewardloom.plans.registry import ROLLOUTS, ctes, query, r6
 from rewardloom.sources import feeds
@@ -304,6 +304,20 @@ def _(spark, root):
 
 # --- mixed reward ------------------------------------------------------------
 
+
+
+def duck_text_vector(text: str, length: int = mixed.TEXT) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    places = f"list_transform({words}, lambda w: CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) % {length})"
+    counts = ", ".join(f"len(list_filter(p, lambda x: x = {i}))::DOUBLE" for i in range(length))
+    counted = f"list_transform([{places}], lambda p: [{counts}])[1]"
+    divided = "list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 0 THEN x / sqrt(list_dot_product(v, v)) ELSE 0.0 END)"
+    return f"list_transform([{counted}], lambda v: {divided})[1]"
+
+
+THINK, ANSWER = (
+    f"CASE WHEN contains(response, '####') THEN {duck_strip(f"split_part(response, '####', {n})")} ELSE response END" for n in (1, 2))
+
 MIXED_SQL = ctes("queries", "rollouts", "extra", "query_vectors") + f""",
 parsed AS (SELECT *, CASE WHEN {IS_QA} THEN NULL ELSE {duck_numeric_answer('response')} END AS answer,
   coalesce({duck_hash_answer('response')}, {duck_boxed('response')}) AS m, {duck_letter('response', 'E', 'D', 'NULL')} AS l,
@@ -317,7 +331,9 @@ raw AS (
          ELSE CASE WHEN m IS NOT NULL AND {duck_math_correct('m', 'ground_truth')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS gt_reward,
     CASE WHEN answer IS NULL THEN [0.0, 0.0, 0.0]::DOUBLE[] ELSE
       [greatest(-1, least(1, sign(answer) * ln(1 + abs(answer)) / 20)), 1.0,
-       CASE WHEN consensus <> 0 AND abs(round(answer, 2) - consensus) < 0.01 THEN 1.0 ELSE 0.0 END]::DOUBLE[] END AS f
+       CASE WHEN consensus <> 0 AND abs(round(answer, 2) - consensus) < 0.01 THEN 1.0 ELSE 0.0 END]::DOUBLE[] END
+      || {duck_text_vector(THINK)}
+      || {duck_text_vector(ANSWER)} AS f
   FROM parsed p LEFT JOIN agreed a ON p.query_id = a.query_id),
 full_rows AS (
   SELECT *, CASE WHEN list_dot_product(f, f) > 0 THEN list_transform(f, lambda x: x / sqrt(list_dot_product(f, f))) ELSE f END AS u FROM raw),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rewardloom.plans import mixed_reward as mixed
 from rewardloom.plans.queries_reward import IS_QA, MIXED_SQL, duck_math_correct
 from rewardloom.plans.queries_text import duck_boxed, duck_hash_answer, duck_letter
 from rewardloom.plans.registry import ROLLOUTS, query, r6
@@ -32,14 +33,17 @@ def _(spark, root):
 SELECT CASE WHEN user_id % 5 = 0 THEN 'gt' ELSE 'graph' END AS reward_source, count(*) AS n FROM events GROUP BY 1""")
 def _(spark, root):
     counters = streams.route_counters(event_stream(spark, root), F.col("query_id") % 5 == 0)
-    return streams.latest_state(counters, "counters")
+    return streams.latest_state(counters, "counters", ["reward_source"])
 
 
 @query("stm3_stream_mixed_reward", MIXED_SQL + """
 SELECT data_source, reward_source, count(*) AS n, round(avg(reward), 6) AS mean_reward, round(avg(prob), 6) AS mean_prob FROM mixed GROUP BY ALL""")
 def _(spark, root):
-    rows = feeds.with_extra(rollout_stream(spark, root))
-    rewards = streams.mixed_stream(rows, feeds.gt_ids(spark, root), feeds.query_vectors(spark, root))
+    rows, ids, vectors = feeds.rollouts_with_extra(spark, root), feeds.gt_ids(spark, root), feeds.query_vectors(spark, root)
+    folder = streams.new_folder(rows, "rollout-files")
+    rows.repartition(4, "batch_id").write.parquet(folder)  # a batch arrives in one file, the stream in several
+    stream = feeds.stream_of(spark, folder)
+    rewards = streams.mixed_stream(stream, ids, vectors, mixed.graph_memory(rows, ids, vectors))
     return rewards.groupBy("data_source", "reward_source").agg(
         F.count("*").alias("n"), r6(F.avg("reward")).alias("mean_reward"), r6(F.avg(r6(F.col("prob")))).alias("mean_prob"))
 
@@ -57,5 +61,5 @@ def _(spark, root):
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS source, count(*) AS n,
   round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM events GROUP BY ALL""")
 def _(spark, root):
-    rates = streams.latest_state(streams.reward_rate(event_stream(spark, root)), "rate")
+    rates = streams.latest_state(streams.reward_rate(event_stream(spark, root)), "rate", ["window_start", "source"])
     return rates.withColumn("rate", r6(F.col("rate"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

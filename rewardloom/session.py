@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,12 +60,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder inside the shared one for the tables cut within; deleted when the work inside is done."""
+    folder = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes a table into the shared folder and reads it back.
 
     Lost executors then recompute nothing above it, several readers share it,
-    and each of them reads only the columns it needs.
+    and each of them reads only the columns it needs. Inside :func:`scratch_folder`
+    the table goes into that job's folder, and with it.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rewardloom.config import EngineConfig
 from rewardloom.functions.domains import scoring_domain
 from rewardloom.operators.scoring import score_gt
-from rewardloom.plans.mixed_reward import mixed_reward
-from rewardloom.session import shared_folder
+from rewardloom.plans.mixed_reward import GraphMemory, mixed_reward
+from rewardloom.session import scratch_folder, shared_folder
 
 
 def score_stream(rollouts: DataFrame) -> DataFrame:
@@ -41,17 +42,22 @@ def reward_rate(rollouts: DataFrame, width: str = "1 day", delay: str = "1 hour"
     )
 
 
-def mixed_batches(gt_ids: DataFrame, vectors: DataFrame, folder: str, memory: DataFrame | None = None,
+def mixed_batches(gt_ids: DataFrame, vectors: DataFrame, folder: str, memory: GraphMemory,
                   config: EngineConfig = EngineConfig()) -> Callable[[DataFrame, int], None]:
     """A micro-batch function: mixed reward of one batch against static memory.
 
+    With static memory a reward depends on the memory and on the rows of its own
+    ``batch_id`` (gate, prompt, consensus). Those arrive together; then the result
+    is the same however the stream is cut into micro-batches.
+
     Every batch writes its own folder in overwrite mode, so a batch repeated
-    after a failure leaves no double rows.
+    after a failure leaves no double rows. Its intermediate tables go with it.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        rewards = mixed_reward(batch, gt_ids, vectors, config, memory)
-        rewards.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        with scratch_folder(batch.sparkSession):
+            rewards = mixed_reward(batch, gt_ids, vectors, config, memory)
+            rewards.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return score
 
@@ -76,20 +82,28 @@ def append_to_table(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def latest_state(stream: DataFrame, name: str) -> DataFrame:
-    """Drains an aggregating stream; the table holds its latest complete result."""
+def latest_state(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drains an aggregating stream in update mode; the latest row of every key.
+
+    A micro-batch writes only the groups that changed, and windows that the
+    watermark has passed leave the state.
+    """
     folder = new_folder(stream, name)
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    _run(stream.writeStream.foreachBatch(replace).outputMode("complete")
+    _run(stream.writeStream.foreachBatch(put).outputMode("update")
          .option("checkpointLocation", f"{folder}/state"))
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("latest"))
+    return latest.select(*keys, "latest.*")
 
 
-def mixed_stream(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, name: str = "mixed",
-                 memory: DataFrame | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+def mixed_stream(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, memory: GraphMemory, name: str = "mixed",
+                 config: EngineConfig = EngineConfig()) -> DataFrame:
     """Drains a rollout stream through :func:`mixed_batches`."""
     folder = new_folder(rollouts, name)
     score = mixed_batches(gt_ids, vectors, f"{folder}/rows", memory, config)

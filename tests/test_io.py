@@ -29,7 +29,7 @@ def test_logs_and_test_sets(spark, tmp_path):
     (tmp_path / "a.log").write_text("step:1 - val-core/gsm8k/acc/mean@1:0.5\n")
     assert readers.read_logs(spark, str(tmp_path / "a.log")).count() == 1
     for name in ("gsm8k", "piqa"):
-        spark.range(3).write.parquet(str(tmp_path / "sets" / f"{name}_sampled_test.parquet"))
+        spark.range(3).coalesce(1).write.parquet(str(tmp_path / "sets" / f"{name}_sampled_test.parquet"))
     one = tmp_path / "flat"
     one.mkdir()
     for name in ("gsm8k", "piqa", "math"):

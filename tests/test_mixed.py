@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from rewardloom.config import EngineConfig
-from rewardloom.plans.mixed_reward import mixed_reward
+from rewardloom.operators.knn import knn_edges
+from rewardloom.plans.mixed_reward import FEATURES, GraphMemory, graph_memory, mixed_reward
 
 
 def run(spark, rows, gt, vectors, **options):
@@ -74,15 +76,51 @@ def test_missing_extra_info(spark):
 
 
 def test_given_memory_and_domain_filter(spark):
-    memory = spark.createDataFrame(
-        [(90, "math", [1.0, 0.0], [0.6, 0.8, 0.0], 1.0), (91, "qa", [1.0, 0.0], [0.0, 0.0, 0.0], 0.0)],
-        "id bigint, domain string, embedding array<double>, features array<double>, reward double")
+    plain = [0.0] * (FEATURES - 3)
+    memory = GraphMemory(
+        spark.createDataFrame([(90, [0.6, 0.8, 0.0, *plain], 1.0), (91, [0.0] * FEATURES, 0.0)],
+                              "query_id bigint, features array<double>, reward double"),
+        spark.createDataFrame([(90, "math", [1.0, 0.0]), (91, "qa", [1.0, 0.0])],
+                              "id bigint, domain string, embedding array<double>"))
     rows = math_rows(2, ["5"])
     free = run(spark, rows, [], VECTORS, memory=memory)
     kept = run(spark, rows, [], VECTORS, memory=memory, config=EngineConfig(domain_filter=True))
     assert kept[2, 0] == ("graph", 1.0, 1.0) and free[2, 0][2] < 1.0
 
 
+def qa_rows(query, answers, batch=0):
+    return [("arc_c", query, i, f"Because of {a}. #### {a}", "A", {"index": query}, batch) for i, a in enumerate(answers)]
+
+
+def test_answers_of_one_question_get_their_own_probability(spark):
+    vectors = [(1, "arc_c", [1.0, 0.0]), (2, "arc_c", [0.9, 0.1])]
+    got = run(spark, qa_rows(1, "AAB") + qa_rows(2, "AB"), [("arc_c", "1")], vectors)
+    assert {got[2, i][0] for i in range(2)} == {"graph"}
+    assert got[2, 0][2] > got[2, 1][2]
+
+
+def test_features_and_edges_can_be_replaced(spark):
+    rows = math_rows(1, ["1", "7"]) + math_rows(2, ["1"])
+    nothing = run(spark, rows, [("gsm8k", "1")], VECTORS, connect=lambda new, known, k, **_: knn_edges(new, known, k).limit(0))
+    assert nothing[2, 0][0] == "gt_fallback"
+    longer = run(spark, rows, [("gsm8k", "1")], VECTORS, describe=lambda r: F.array(F.length(r).cast("double")), described=1)
+    assert longer[2, 0][0] == "graph"
+
+
+def test_static_memory_makes_batches_independent(spark):
+    rows = [r for q in range(1, 5) for r in math_rows(q, ["1", "2", "1"], batch=q)]
+    rollouts = spark.createDataFrame(
+        [(s, q, r, t, g, json.dumps(e), b) for s, q, r, t, g, e, b in rows],
+        "data_source string, query_id bigint, resp_idx bigint, response string, ground_truth string, extra_info string, batch_id bigint")
+    ids = spark.createDataFrame([("gsm8k", "1"), ("gsm8k", "3")], "dataset string, identifier string")
+    nodes = spark.createDataFrame(VECTORS, "query_id bigint, data_source string, embedding array<double>")
+    memory = graph_memory(rollouts, ids, nodes)
+    whole = {tuple(r) for r in mixed_reward(rollouts, ids, nodes).collect()}
+    assert {tuple(r) for r in mixed_reward(rollouts, ids, nodes, memory=memory).collect()} == whole
+    parts = [mixed_reward(rollouts.where(F.col("batch_id") == b), ids, nodes, memory=memory).collect() for b in range(1, 5)]
+    assert {tuple(r) for part in parts for r in part} == whole
+
+
 def test_one_prompt_with_a_third_of_all_rows(spark):
     rows = math_rows(1, ["1"] * 200 + ["2"] * 100) + [r for q in (2, 3) for r in math_rows(q, ["1"] * 150 + ["4"] * 150)]
     got = run(spark, rows, [("gsm8k", "1")], VECTORS)
