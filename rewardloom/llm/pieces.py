@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +162,7 @@ def parity_failures(model_bytes: bytes, texts: list[str]) -> list[int]:
     return wrong
 
 
-def _slices(texts: list[str], most: int) -> Iterator[list[str]]:
+def _slices(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     """Consecutive texts of about ``most`` characters together; a longer text stands alone."""
     held, size = [], 0
     for text in texts:
@@ -174,29 +175,34 @@ def _slices(texts: list[str], most: int) -> Iterator[list[str]]:
         yield held
 
 
-_ENCODED = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("parity", pa.bool_())])
-
-
 def _encoder(sent: object, threads: int, slice_chars: int, check_parity: bool) -> Callable:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
-        import sentencepiece
+        tokenizer = build_tokenizer(PieceModel.parse(sent.value))
+        other = None
+        if check_parity:
+            import sentencepiece
 
-        model = PieceModel.parse(sent.value)
-        tokenizer = build_tokenizer(model)
-        other = sentencepiece.SentencePieceProcessor()
-        other.LoadFromSerializedProto(sent.value)
+            other = sentencepiece.SentencePieceProcessor()
+            other.LoadFromSerializedProto(sent.value)
         for batch in batches:
-            rows = []
-            values = [v.as_py() for v in batch]
-            for texts in _slices([v or "" for v in values], slice_chars):
+            packed, trips, same = [np.empty(0, np.int32)], [], []
+            lengths = [0]
+            for texts in _slices((v.as_py() or "" for v in batch), slice_chars):
+                # Python's numbers of a slice become four bytes each before the next slice is encoded.
                 ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                same = [a == b for a, b in zip(ids, other.encode(texts, num_threads=threads), strict=True)] \
-                    if check_parity else [None] * len(ids)
-                rows += [{"ids": i, "round_trip": b == t, "parity": s}
-                         for i, b, t, s in zip(ids, back, texts, same, strict=True)]
-            yield pa.array([r if v is not None else None for v, r in zip(values, rows, strict=True)], _ENCODED)
+                trips += [b == t for b, t in zip(back, texts, strict=True)]
+                same += [None] * len(ids) if other is None else [
+                    a == b for a, b in zip(ids, other.encode(texts, num_threads=threads), strict=True)]
+                packed += [np.array(i, np.int32) for i in ids]
+                lengths += map(len, ids)
+            missing = batch.is_null()
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(packed), pa.int32()))
+            yield pa.StructArray.from_arrays(
+                [lists, pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())],
+                names=["ids", "round_trip", "parity"], mask=missing)
 
     return F.arrow_udf(encode, "ids array<int>, round_trip boolean, parity boolean", F.ArrowUDFType.SCALAR_ITER)
 
@@ -216,7 +222,7 @@ def _decoder(sent: object, threads: int) -> Callable:
 
 def encoded(
     documents: DataFrame, model_bytes: bytes, text: str = "text", out: str = "pieces", threads: int = 2,
-    slice_chars: int = 1 << 20, check_parity: bool = False,
+    slice_chars: int = 1 << 18, check_parity: bool = False,
 ) -> DataFrame:
     """Documents with a struct ``out``: ids, round_trip (decoding gives the text back), parity.
 
