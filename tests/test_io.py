@@ -84,7 +84,7 @@ def parts(spark, root, tmp_path_factory):
 
 def test_stream_equals_batch_over_several_files(spark, root, parts):
     stream = feeds.shape_events(feeds.stream_of(spark, parts))
-    counters = streams.latest_state(streams.route_counters(stream, F.col("query_id") % 5 == 0), "c")
+    counters = streams.latest_state(streams.route_counters(stream, F.col("query_id") % 5 == 0), "c", ["reward_source"])
     batch = streams.route_counters(feeds.shape_events(spark.read.parquet(parts)), F.col("query_id") % 5 == 0)
     assert sorted(map(tuple, counters.collect())) == sorted(map(tuple, batch.collect()))
 
