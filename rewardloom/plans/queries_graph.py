@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rewardloom.functions.vectors import cosine, unit
 from rewardloom.operators import graph, knn, propagate
 from rewardloom.plans.registry import ROLLOUTS, ctes, query, r6
+from rewardloom.session import cut_lineage
 from rewardloom.sources import feeds
 
 NODES = ctes("query_nodes")
@@ -167,13 +168,17 @@ def _(spark, root):
     return graph.domain_index(nodes_of(spark, root)).select("domain", "id", "local_index")
 
 
-@query("grf14_approximate_knn")
+@query("grf14_approximate_knn", NODES + """
+SELECT probes, 7 * (SELECT count(*) FROM query_nodes WHERE NOT is_memory) AS exact_edges, true AS enough
+FROM (SELECT unnest(['few', 'all']) AS probes)""")
 def _(spark, root):
+    """Half the neighbours at least with a few probes, each of them with all; rewards use exact search."""
     nodes = nodes_of(spark, root)
     memory, new = nodes.where("is_memory"), nodes.where(~F.col("is_memory"))
-    exact = knn.knn_edges(new, memory, 7)
-    found = knn.approximate_edges(new, memory, 7, probes=8)
-    return knn.recall(exact, found)
+    exact = cut_lineage(knn.knn_edges(new, memory, 7))
+    few, every = (knn.recall(exact, knn.approximate_edges(new, memory, 7, probes=p)) for p in (8, 1 << 30))
+    named = few.select(F.lit("few").alias("probes"), "exact_edges", (F.col("recall") >= 0.5).alias("enough"))
+    return named.unionByName(every.select(F.lit("all").alias("probes"), "exact_edges", (F.col("recall") == 1).alias("enough")))
 
 
 @query("grf15_edge_statistics", ROLLOUTS + """
@@ -317,8 +322,10 @@ def _(spark, root):
     return scored.select("id", r6(F.col("logit")).alias("logit"), r6(F.col("prob")).alias("prob"), "reward")
 
 
-@query("prp6_fitted_rewards")
+@query("prp6_fitted_rewards", NODES + """
+SELECT is_memory, 2 * count(*) AS n, CASE WHEN is_memory THEN true END AS separates FROM query_nodes GROUP BY 1""")
 def _(spark, root):
+    """Rows scored, and that labelled successes score higher than labelled failures on average."""
     rows = _propagation_rollouts(spark, root)
     nodes = nodes_of(spark, root)
     edges = graph.similar_in_memory(nodes).unionByName(graph.similar_to_memory(nodes))
@@ -328,4 +335,7 @@ def _(spark, root):
         *[F.get("features", i).alias(f"f{i}") for i in range(DIMENSIONS)])
     columns = ["mean_rate", "weighted_rate", "neighbours", *[f"f{i}" for i in range(DIMENSIONS)]]
     model = propagate.fit_rewards(table.where("is_memory"), columns)
-    return propagate.predict_rewards(model, table).select("query_id", "resp_idx", "is_memory", "reward", "prob", "predicted")
+    scored = propagate.predict_rewards(model, table)
+    gap = F.avg(F.when(F.col("reward") == 1, F.col("prob"))) > F.avg(F.when(F.col("reward") == 0, F.col("prob")))
+    return scored.groupBy("is_memory").agg(F.count("*").alias("n"), gap.alias("gap")).select(
+        "is_memory", "n", F.when(F.col("is_memory"), F.col("gap")).alias("separates"))

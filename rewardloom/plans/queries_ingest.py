@@ -13,13 +13,17 @@ from rewardloom.functions.text import split_scored
 from rewardloom.operators import ingest
 from rewardloom.operators.routing import entry
 from rewardloom.plans.registry import ROLLOUTS, ctes, query
-from rewardloom.schema import ROLLOUT_ARRAY
+from rewardloom.schema import EXTRA_INFO, QUERY
 from rewardloom.session import shared_folder
 from rewardloom.sources import feeds, readers, writers
 
 NL = "chr(10)"
 
 
+def new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def literal(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -78,8 +82,9 @@ def _(spark, root):
     record = F.to_json(F.struct(
         F.col("p_partkey").alias("query_idx"), F.col("p_size").cast("string").alias("domain"),
         F.array("p_name", "p_brand").alias("responses")))
-    parsed = parts(spark, root).select(F.from_json(record, ROLLOUT_ARRAY).alias("r")).select("r.*")
-    return readers.explode_rollouts(parsed).drop("extra_info")
+    folder = new_folder(spark, "rollout-lines")
+    parts(spark, root).select(record.alias("value")).write.text(folder)
+    return readers.read_rollouts(spark, folder).drop("extra_info")
 
 
 @query("src3_first_node_table", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
@@ -96,14 +101,18 @@ SELECT DISTINCT dataset, identifier, domain FROM (
 def _(spark, root):
     body = lit_text('{"GSM8K": {"indices": ["', F.col("p_partkey"), '.0", "x', F.col("p_size"),
                     '"], "n_total": 2}, "mmlu": [', F.col("p_size"), '], "elsewhere": [1], "math": "bad"}')
-    return readers.parse_gt_ids(parts(spark, root).select(body.alias("value")), F.col("value"))
+    folder = new_folder(spark, "gt-ids")
+    parts(spark, root).select(body.alias("value")).write.text(folder)
+    return readers.read_gt_ids(spark, folder)
 
 
 @query("src5_log_lines", ctes("log_lines") + """
 SELECT regexp_extract(line, 'step:(\\d+)', 1) AS step, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars
 FROM log_lines GROUP BY 1""")
 def _(spark, root):
-    lines = feeds.log_lines(spark, root)
+    folder = new_folder(spark, "logs")
+    feeds.log_lines(spark, root).select(F.col("line").alias("value")).write.text(folder)
+    lines = readers.read_logs(spark, folder)
     return lines.groupBy(F.regexp_extract("line", r"step:(\d+)", 1).alias("step")).agg(
         F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
@@ -119,17 +128,26 @@ def _(spark, root):
     names = ["gsm8k", "numina_math", "piqa", "mmlu", "tdc_admet", "siqa", "math", "dti_bind"]
     tagged = feeds.table(spark, root, "documents").select(
         F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 8 + 1).cast("int")).alias("dataset"))
-    kinds = [
-        readers.keep_test_sets(tagged, F.col("dataset"), kind).withColumn("kind", F.lit(kind))
-        for kind in ("generalization", "standard")
-    ]
+    folder = new_folder(spark, "test-sets")
+    for name in names:
+        tagged.where(F.col("dataset") == name).withColumn("row", F.lit(1)).drop("dataset").write.parquet(
+            f"{folder}/{name}_sampled_test.parquet")
+    kinds = [readers.read_test_sets(spark, folder, kind).withColumn("kind", F.lit(kind))
+             for kind in ("generalization", "standard")]
     return kinds[0].unionByName(kinds[1]).groupBy("kind", "dataset").agg(F.count("*").alias("n"))
 
 
 @query("snk1_typed_reward_model", ctes("queries") + "SELECT query_id, data_source, ground_truth FROM queries")
 def _(spark, root):
-    typed = feeds.queries(spark, root).withColumn("reward_model", writers.typed_reward_model(F.col("ground_truth")))
-    return typed.select("query_id", "data_source", "reward_model.ground_truth")
+    typed = feeds.queries(spark, root).select(
+        "data_source", F.lit(None).cast(QUERY["prompt"].dataType).alias("prompt"), F.lit("math").alias("ability"),
+        writers.typed_reward_model(F.col("ground_truth")).alias("reward_model"),
+        F.from_json(F.to_json(F.struct(F.col("query_id").alias("index"))), EXTRA_INFO).alias("extra_info"),
+        F.col("data_source").alias("dataset"), F.when(F.col("query_id") % 10 == 0, "test").otherwise("train").alias("split"))
+    folder = new_folder(spark, "queries")
+    writers.write_queries(typed, folder)
+    return readers.read_queries(spark, folder).select(
+        F.col("extra_info.index").alias("query_id"), "data_source", "reward_model.ground_truth")
 
 
 @query("snk2_summary_lines", ctes("scored") + """
@@ -142,13 +160,33 @@ def _(spark, root):
         counts.withColumn("accuracy", F.round(100 * F.col("correct") / F.col("total"), 2)))
 
 
+@query("snk2_evaluation_files", ctes("scored") + """,
+s AS (SELECT dataset, count(*) FILTER (reward > 0.5) AS correct, count(*) AS total FROM scored GROUP BY dataset)
+SELECT 'details' AS file, dataset, total AS n, CAST(correct AS BIGINT) AS correct FROM s
+UNION ALL SELECT 'correct', dataset, correct, correct FROM s WHERE correct > 0
+UNION ALL SELECT 'summary', dataset, total, correct FROM s""")
+def _(spark, root):
+    details = feeds.scored(spark, root).withColumn("correct", F.col("reward") > 0.5)
+    summary = details.groupBy("dataset").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total")).withColumn(
+        "accuracy", F.round(100 * F.col("correct") / F.col("total"), 2))
+    folder = new_folder(spark, "evaluation")
+    writers.write_evaluation(details, summary, folder)
+    fields = "dataset string, query_id bigint, resp_idx bigint, prob double, reward double, correct boolean"
+    parts = [
+        spark.read.schema(fields).json(f"{folder}/{name}").groupBy(F.lit(name).alias("file"), "dataset").agg(
+            F.count("*").alias("n"), F.count_if("correct").alias("correct")) for name in ("details", "correct")]
+    totals = spark.read.schema("dataset string, correct bigint, total bigint").json(f"{folder}/summary").select(
+        F.lit("summary").alias("file"), "dataset", F.col("total").alias("n"), "correct")
+    return parts[0].unionByName(parts[1]).unionByName(totals)
+
+
 @query("snk3_node_table", ctes("query_nodes") + """
 SELECT id AS query_id, domain, is_memory, CAST(len(embedding) AS INTEGER) AS dim FROM query_nodes""")
 def _(spark, root):
     nodes = feeds.query_nodes(spark, root).select(
         F.lit("query").alias("node_type"), "query_id", F.lit(None).cast("bigint").alias("resp_idx"), "domain", "is_memory",
         F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("array<double>").alias("answer_features"))
-    path = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    path = new_folder(spark, "nodes")
     writers.write_nodes(nodes, path)
     return readers.read_nodes(spark, [f"{path}_train", path]).select(
         "query_id", "domain", "is_memory", F.size("embedding").alias("dim"))
@@ -436,8 +474,12 @@ def _(spark, root):
     return rows.select("doc_id", *ingest.encoder_inputs(F.col("text"), F.col("p.think"), F.col("p.answer")))
 
 
-@query("ing18_encode_text")
+@query("ing18_encode_text", """
+SELECT doc_id, CAST(64 AS INTEGER) AS dim, 1.0::DOUBLE AS squared_norm, CAST(1 AS BIGINT) AS vectors_of_text FROM documents""")
 def _(spark, root):
-    rows = ingest.encode_text(docs(spark, root).select("doc_id", "text"), "text", 64)
-    return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate(
-        "embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_norm"))
+    """Length, norm, and that equal texts share one vector; the hash itself is the library's."""
+    rows = ingest.encode_text(docs(spark, root).select("doc_id", "text"), "text", 64, idf=False)
+    rows = rows.withColumns({"of_text": F.xxhash64("text"), "vector": F.xxhash64("embedding")})
+    kinds = rows.groupBy("of_text").agg(F.count_distinct("vector").alias("vectors_of_text"))
+    return rows.join(kinds, "of_text").select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate(
+        "embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_norm"), "vectors_of_text")

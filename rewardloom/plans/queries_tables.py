@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rewardloom.functions.domains import dataset_name, query_identifier
+from rewardloom.functions.domains import dataset_name, query_identifier, scoring_domain
 from rewardloom.functions.vectors import dot
 from rewardloom.operators import checks, graph, metrics, ranking, routing, runlog, sampling
 from rewardloom.operators.features import answer_features
 from rewardloom.plans.registry import ROLLOUTS, ctes, query, r6
-from rewardloom.functions.domains import scoring_domain
+from rewardloom.session import cut_lineage
 from rewardloom.sources import feeds
 
 SHUFFLED = ctes("queries") + """,
@@ -356,9 +356,10 @@ def _(spark, root):
     return checks.flag_consistency(split, "split", F.col("query_id") % 10 != 0, F.col("split") == "train")
 
 
-@query("set7_table_fingerprint")
+@query("set7_table_fingerprint", ROLLOUTS + "SELECT count(*) AS rows, true AS matches FROM rollouts")
 def _(spark, root):
-    return checks.table_fingerprint(feeds.rollouts(spark, root))
+    rows = feeds.rollouts(spark, root)
+    return checks.matches_manifest(cut_lineage(rows), checks.table_fingerprint(rows))
 
 
 @query("agg15_group_sizes", ctes("rollout_nodes") + """

@@ -43,11 +43,10 @@ def read_queries(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(QUERY).parquet(*existing_paths(spark, list(paths)))
 
 
-def read_rollouts(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Rollout lists in JSON, exploded to one row per response.
+def read_rollouts(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Rollout lists in JSON lines, exploded to one row per response.
 
-    A JSON array is one unsplittable record per file; write JSON lines and pass
-    ``multiline=False`` where files are large.
+    ``multiline`` reads JSON arrays, each of which is one unsplittable record.
     """
     raw = spark.read.schema(ROLLOUT_ARRAY).json(path, multiLine=multiline)
     return explode_rollouts(raw)
@@ -74,9 +73,13 @@ def read_nodes(spark: SparkSession, candidates: list[str]) -> DataFrame:
     return read_first(spark, candidates, NODE)
 
 
-def read_gt_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Ground-truth ids from JSON files, one (dataset, identifier, domain) per id."""
-    return parse_gt_ids(spark.read.text(path, wholetext=True), F.col("value"))
+def read_gt_ids(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Ground-truth ids, one (dataset, identifier, domain) per id.
+
+    Each line is a JSON object of the same shape, so a large list is cut into many
+    rows; ``multiline`` reads files that are one object each.
+    """
+    return parse_gt_ids(spark.read.text(path, wholetext=multiline), F.col("value"))
 
 
 def parse_gt_ids(files: DataFrame, text: Column) -> DataFrame:
@@ -113,8 +116,8 @@ def keep_test_sets(files: DataFrame, name: Column, kind: str) -> DataFrame:
 
 
 def read_test_sets(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """All ``*_test.parquet`` files of a kind, tagged with their dataset."""
-    raw = spark.read.option("pathGlobFilter", "*_test.parquet").parquet(folder)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
+    """All ``*_test.parquet`` files or folders of a kind, tagged with their dataset."""
+    raw = spark.read.parquet(f"{folder}/*_test.parquet")
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+_test)\.parquet(?:/[^/]+)?$", 1)
     named = raw.withColumn("dataset", F.regexp_replace(stem, "_sampled_test$", ""))
     return keep_test_sets(named, F.col("dataset"), kind)

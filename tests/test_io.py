@@ -14,14 +14,14 @@ from rewardloom.streaming import scoring as streams
 def test_rollout_json(spark, tmp_path):
     rows = [{"query_idx": 1, "domain": "math", "responses": ["a", "b"], "extra_info": {"answer": "1"}}]
     (tmp_path / "r.json").write_text(json.dumps(rows))
-    got = readers.read_rollouts(spark, str(tmp_path / "r.json")).orderBy("resp_idx").collect()
+    got = readers.read_rollouts(spark, str(tmp_path / "r.json"), multiline=True).orderBy("resp_idx").collect()
     assert [(r["query_id"], r["resp_idx"], r["response"]) for r in got] == [(1, 0, "a"), (1, 1, "b")]
 
 
 def test_gt_id_file(spark, tmp_path):
     (tmp_path / "ids.json").write_text(json.dumps({
         "GSM8K": {"indices": [1, "2.0", "x"], "n_total": 3}, "mmlu": [5, 5], "strange": [1], "math": "bad"}))
-    got = {(r["dataset"], r["identifier"], r["domain"]) for r in readers.read_gt_ids(spark, str(tmp_path / "ids.json")).collect()}
+    got = {(r["dataset"], r["identifier"], r["domain"]) for r in readers.read_gt_ids(spark, str(tmp_path / "ids.json"), multiline=True).collect()}
     assert got == {("gsm8k", "1", "math"), ("gsm8k", "2", "math"), ("gsm8k", "x", "math"), ("mmlu", "5", "qa")}
 
 
