@@ -133,12 +133,40 @@ def similar_edges(edges: DataFrame, kind: str = "q") -> DataFrame:
     )
 
 
-def extended_graph(nodes: DataFrame, rollouts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Edges over memory and new nodes together, under composite keys."""
+def extended_nodes(nodes: DataFrame, rollouts: DataFrame) -> DataFrame:
+    """``node_type, node, is_memory`` of all nodes; thinks and answers go with their query."""
+    queries = nodes.select(F.lit("query").alias("node_type"), node_name("q", F.col("id")).alias("node"), "is_memory")
+    owned = rollouts.select("query_id", "resp_idx").join(
+        nodes.select(F.col("id").alias("query_id"), "is_memory"), "query_id")
+    parts = [owned.select(F.lit(kind).alias("node_type"), node_name(kind[0], F.col("query_id"), F.col("resp_idx"))
+                          .alias("node"), "is_memory") for kind in ("think", "answer")]
+    return queries.unionByName(parts[0]).unionByName(parts[1])
+
+
+def competing_thinks(rollouts: DataFrame, inside: int, across: int, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Neighbour edges of thinks: nearest of their own query and nearest of the others."""
+    near = competing_in_query(rollouts, inside, config).unionByName(competing_across_queries(rollouts, across, config))
+    names = rollouts.select("id", node_name("t", F.col("query_id"), F.col("resp_idx")).alias("name"))
+    named = near.join(names.select(F.col("id").alias("src"), F.col("name").alias("from")), "src").join(
+        names.select(F.col("id").alias("dst"), F.col("name").alias("to")), "dst")
+    return named.select(
+        F.lit("think").alias("src_type"), F.col("from").alias("src"), F.lit("competes_with").alias("edge_type"),
+        F.lit("think").alias("dst_type"), F.col("to").alias("dst"), F.col("sim").alias("weight"))
+
+
+def extended_graph(nodes: DataFrame, rollouts: DataFrame, config: EngineConfig = EngineConfig(),
+                   competing: tuple[int, int] | None = None) -> DataFrame:
+    """Edges over memory and new nodes together, under composite keys.
+
+    With ``competing`` (neighbours in the query, across queries) the rollouts carry
+    ``id`` and ``embedding`` of their thinks, which get edges among themselves.
+    Answer cliques stay factored, see :func:`clique_degrees`.
+    """
     same = config.domain_filter
     memory = similar_in_memory(nodes, config.k, same, config)
     new = similar_to_memory(nodes, config.k, same, config)
-    return structural_edges(rollouts).unionByName(similar_edges(memory)).unionByName(similar_edges(new))
+    edges = structural_edges(rollouts).unionByName(similar_edges(memory)).unionByName(similar_edges(new))
+    return edges if competing is None else edges.unionByName(competing_thinks(rollouts, *competing, config))
 
 
 def edge_statistics(edges: DataFrame) -> DataFrame:

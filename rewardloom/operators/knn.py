@@ -6,9 +6,9 @@ Three facts keep the join small without giving up exactness:
   ever be chosen, so each distinct vector keeps a bounded list of candidates;
 * a candidate matrix below ``broadcast_bytes`` goes to every task, and sources
   stream past it once;
-* beyond that size candidates are cut into cells around pivots and each source
-  visits only cells that can still hold one of its neighbours (triangle
-  inequality on unit vectors; Lu et al., "Efficient processing of k nearest
+* beyond that size candidates are cut into cells around pivots. A first pass over
+  the nearest cells tells how far a source's k-th neighbour can be at most, and a
+  second one visits only cells that reach so near (triangle inequality on unit vectors; Lu et al., "Efficient processing of k nearest
   neighbor joins using MapReduce", VLDB 2012). Cells are split into blocks of
   bounded size, and a block of sources meets a block of candidates in one task.
 """
@@ -28,8 +28,9 @@ from rewardloom.functions.vectors import dot, fingerprint, unit
 from rewardloom.operators.ranking import first_rows
 from rewardloom.session import cut_lineage
 
-MAX_PIVOTS = 256  # cells grow with the square root of the candidates, up to this
-MAX_DOMAINS = 256  # domains are a handful of task families
+MAX_PIVOTS = 4096  # cells grow with the square root of the candidates, up to this
+MAX_CELLS = 1 << 17  # rows of cell statistics that the driver takes; with more, domains are searched whole
+FIRST_CELLS = 4  # nearest cells that the first pass opens
 CHUNK_CELLS = 4_000_000
 SLACK = 1e-9
 
@@ -163,71 +164,63 @@ def _splits(size, block_rows: int):
     return F.greatest(F.lit(1), F.ceil(size / F.lit(block_rows))).cast("int")
 
 
-def _block_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, config: EngineConfig,
-                  probes: int | None) -> DataFrame:
-    """Pivot cells, bounded blocks, and a merge of the per-block top k."""
-    usable = cand.where(F.exists("vec", lambda x: x != 0))
-    wanted = int(min(MAX_PIVOTS, max(1, round(usable.count() ** 0.5))))
-    picked = usable.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
-    if picked:
-        pivots = np.vstack([row["vec"] for row in picked])
-    else:  # no candidate points anywhere: one arbitrary pivot will do
-        first = src.select(F.size("vec").alias("d")).head(1)
-        pivots = np.ones((1, first[0]["d"] if first else 1))
+def _meet(visits: DataFrame, cand_blocks: DataFrame, k: int, by_group: bool) -> DataFrame:
+    """Top k of every source over the candidate blocks it visits: ``(sid, dst, sim)``."""
+    pairs = visits.select("src_block", "cand_block").distinct()
+    sent = _renewed(cand_blocks.join(pairs, "cand_block"))
 
-    # Read by several branches below: located once, then stored.
-    cells = cut_lineage(_with_cell(cand, pivots), "cells")
-    nearest = first_rows(cells, ["dom", "cell"], [F.col("away"), F.col("id")], k)
-    shape = cells.groupBy("dom", "cell").agg(
-        F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")
-    ).join(nearest.groupBy("dom", "cell").agg(F.collect_list("away").alias("near")), ["dom", "cell"])
-    # At most MAX_PIVOTS + 1 rows per domain, each with at most k numbers.
-    bound = MAX_DOMAINS * (MAX_PIVOTS + 1)
-    cell_rows = shape.limit(bound + 1).toPandas()
-    if len(cell_rows) > bound:
-        raise ValueError("too many domains for a cell search; use knn_within_groups")
-    stats = {dom: part.reset_index(drop=True) for dom, part in cell_rows.groupby("dom")}
-    block_rows = config.block_rows
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"sid": [], "dst": [], "sim": []})
+        found = _search_frame(left, _Matrix(right), k, by_group)
+        return found[["sid", "dst", "sim"]]
 
-    cand_blocks = cells.join(shape.select("dom", "cell", _splits(F.col("n"), block_rows).alias("parts")),
-                             ["dom", "cell"])
-    cand_blocks = cand_blocks.withColumn(
-        "cand_block", F.concat_ws("/", "dom", "cell", F.pmod(F.col("key.h1"), F.col("parts")))
-    ).select("cand_block", "id", "grp", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "vec")
+    schema = T.StructType([
+        T.StructField("sid", visits.schema["sid"].dataType),
+        T.StructField("dst", T.ArrayType(T.LongType())),
+        T.StructField("sim", T.ArrayType(T.DoubleType())),
+    ])
+    keys = ["src_block", "cand_block"]
+    partial = visits.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(meet, schema)
+    hits = partial.select("sid", F.explode(F.arrays_zip("dst", "sim")).alias("h"))
+    best = first_rows(hits, ["sid"], [F.col("h.sim").desc(), F.col("h.dst")], k)
+    merged = best.groupBy("sid").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("h.sim")).alias("s"), F.col("h.dst").alias("d")))).alias("m")
+    )
+    return merged.select(
+        "sid",
+        F.transform("m", lambda x: x["d"]).alias("dst"),
+        F.transform("m", lambda x: -x["s"]).alias("sim"),
+    )
 
-    located = _with_cell(src, pivots)
-    sizes = located.groupBy("dom", "cell").agg(_splits(F.count("*"), block_rows).alias("parts"))
-    located = located.join(sizes, ["dom", "cell"]).withColumn(
-        "src_block", F.concat_ws("/", "dom", "cell", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    ).select("src_block", "sid", "grp", "dom", "vec")
+
+def _visits(located: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, block_rows: int,
+            nearest: int | None) -> DataFrame:
+    """The candidate blocks of each source: those of its ``nearest`` cells, or all within its ``reach``.
+
+    A cell whose members lie between ``lo`` and ``hi`` from its pivot holds no point
+    nearer to a source than the gap between that ring and the source's own distance.
+    """
+    stats = {dom: part.reset_index(drop=True) for dom, part in cells.groupby("dom")}
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dom, part in frame.groupby("dom", sort=False):
-                part = part.copy()
                 cells_of = stats.get(dom)
                 if cells_of is None:
                     continue
+                part = part.copy()
                 matrix = np.vstack(part["vec"].to_numpy())
                 numbers = cells_of["cell"].to_numpy()
                 away = _nearest(matrix, pivots)[:, np.maximum(numbers, 0)]
-                low = np.maximum(0.0, np.maximum(away - cells_of["hi"].to_numpy(),
-                                                 cells_of["lo"].to_numpy() - away))
-                low[:, numbers < 0] = 0.0
-                if probes is not None:
+                if nearest is not None:
                     rank = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1)
-                    open_cells = (rank < probes) | (numbers < 0)[None, :]
-                elif by_group:
-                    open_cells = np.ones_like(low, dtype=bool)
+                    open_cells = (rank < nearest) | (numbers < 0)[None, :]
                 else:
-                    reach = np.concatenate(
-                        [away[:, [i]] + np.sort(np.asarray(near))[None, :]
-                         for i, near in enumerate(cells_of["near"]) if numbers[i] >= 0]
-                        or [np.full((len(part), 1), np.inf)], axis=1)
-                    if reach.shape[1] >= k:
-                        limit = np.partition(reach, k - 1, axis=1)[:, k - 1]
-                    else:
-                        limit = np.full(len(part), np.inf)
+                    low = np.maximum(0.0, np.maximum(away - cells_of["hi"].to_numpy(),
+                                                     cells_of["lo"].to_numpy() - away))
+                    low[:, numbers < 0] = 0.0
+                    limit = part["reach"].fillna(np.inf).to_numpy()
                     limit[~matrix.any(axis=1)] = np.inf
                     open_cells = low <= limit[:, None] + SLACK
                 parts = np.maximum(1, np.ceil(cells_of["n"].to_numpy() / block_rows)).astype(int)
@@ -235,37 +228,58 @@ def _block_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, confi
                 part["blocks"] = [[b for j in np.flatnonzero(row) for b in names[j]] for row in open_cells]
                 yield part
 
-    visit_schema = T.StructType([*located.schema.fields,
-                                 T.StructField("blocks", T.ArrayType(T.StringType()))])
-    visits = located.mapInPandas(visit, visit_schema).withColumn(
-        "cand_block", F.explode("blocks")).drop("blocks")
-    pairs = visits.select("src_block", "cand_block").distinct()
-    sent = _renewed(cand_blocks.join(pairs, "cand_block"))
+    schema = T.StructType([*located.schema.fields, T.StructField("blocks", T.ArrayType(T.StringType()))])
+    return located.mapInPandas(visit, schema).withColumn("cand_block", F.explode("blocks")).drop("blocks")
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"sid": [], "dst": [], "sim": []})
-        found = _search_frame(left, _Matrix(right), k, by_group)
-        return found[["sid", "dst", "sim"]]
 
-    sid_type = located.schema["sid"].dataType
-    meet_schema = T.StructType([
-        T.StructField("sid", sid_type),
-        T.StructField("dst", T.ArrayType(T.LongType())),
-        T.StructField("sim", T.ArrayType(T.DoubleType())),
-    ])
-    keys = ["src_block", "cand_block"]
-    partial = visits.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(meet, meet_schema)
-    hits = partial.select("sid", F.explode(F.arrays_zip("dst", "sim")).alias("h"))
-    best = first_rows(hits, ["sid"], [F.col("h.sim").desc(), F.col("h.dst")], k)
-    merged = best.groupBy("sid").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("h.sim")).alias("s"), F.col("h.dst").alias("d")))).alias("m")
-    )
-    return merged.select(
-        "sid",
-        F.transform("m", lambda x: x["d"]).alias("dst"),
-        F.transform("m", lambda x: -x["s"]).alias("sim"),
-    )
+def _block_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, config: EngineConfig,
+                  probes: int | None) -> DataFrame:
+    """Pivot cells, bounded blocks, two passes.
+
+    The first pass searches the cells around each source. The k-th similarity found
+    there bounds how far a neighbour can be, whatever is excluded, and the second
+    pass opens only the cells within that reach. With ``probes`` the first pass
+    alone is the answer.
+    """
+    usable = cand.where(F.exists("vec", lambda x: x != 0))
+    wanted = int(min(MAX_PIVOTS, max(1, round(usable.count() ** 0.5))))
+    picked = usable.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
+    if picked:
+        pivots = np.vstack([row["vec"] for row in picked])
+    else:  # no candidate points anywhere: one arbitrary pivot will do
+        first = src.select(F.size("vec").alias("d")).head(1)
+        pivots = np.ones((1, first[0]["d"] if first else 1))
+
+    # Read by several branches below: located once, then stored.
+    cells = cut_lineage(_with_cell(cand, pivots), "cells")
+    shape = cells.groupBy("dom", "cell").agg(
+        F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"))
+    block_rows = config.block_rows
+    cand_blocks = cells.join(shape.select("dom", "cell", _splits(F.col("n"), block_rows).alias("parts")),
+                             ["dom", "cell"])
+    cand_blocks = cand_blocks.withColumn(
+        "cand_block", F.concat_ws("/", "dom", "cell", F.pmod(F.col("key.h1"), F.col("parts")))
+    ).select("dom", "cand_block", "id", "grp", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "vec")
+
+    located = _with_cell(src, pivots)
+    sizes = located.groupBy("dom", "cell").agg(_splits(F.count("*"), block_rows).alias("parts"))
+    located = cut_lineage(located.join(sizes, ["dom", "cell"]).withColumn(
+        "src_block", F.concat_ws("/", "dom", "cell", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    ).select("src_block", "sid", "grp", "dom", "vec"), "sources")
+
+    cell_rows = shape.limit(MAX_CELLS + 1).toPandas()
+    if len(cell_rows) > MAX_CELLS:
+        # So many domains that each is small: every block meets all blocks of its domain.
+        blocks = cand_blocks.select("dom", "cand_block").distinct()
+        return _meet(located.join(blocks, "dom"), cand_blocks, k, by_group)
+    near = _visits(located, pivots, cell_rows, block_rows, probes or FIRST_CELLS)
+    found = _meet(near, cand_blocks, k, by_group)
+    if probes is not None:
+        return found
+    kth = F.get("sim", k - 1)
+    reach = found.select("sid", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * kth)).alias("reach"))
+    bounded = located.join(reach, "sid", "left")
+    return _meet(_visits(bounded, pivots, cell_rows, block_rows, None).drop("reach"), cand_blocks, k, by_group)
 
 
 def knn_edges(sources: DataFrame, candidates: DataFrame, k: int, *, exclude: str | None = None,
@@ -381,14 +395,16 @@ def knn_within_groups(nodes: DataFrame, group: str, k: int, config: EngineConfig
         matrix = np.vstack(theirs["vec"].to_numpy())
         vectors, own = np.vstack(mine["vec"].to_numpy()), mine["id"].to_numpy(np.int64)
         step = max(1, CHUNK_CELLS // len(ids))
-        rows = []
+        src, dst, near = [], [], []
         for start in range(0, len(own), step):
             sims = vectors[start:start + step] @ matrix.T
             chunk = own[start:start + step]
             sims[chunk[:, None] == ids[None, :]] = -np.inf
-            for me, row, pick in zip(chunk, sims, _top(sims, ids, k)):
-                rows.append(pd.DataFrame({"src": me, "dst": ids[pick], "sim": row[pick]}))
-        return pd.concat(rows, ignore_index=True)
+            picks = _top(sims, ids, k)
+            src.append(np.repeat(chunk, [len(p) for p in picks]))
+            dst += [ids[p] for p in picks]
+            near += [row[p] for row, p in zip(sims, picks)]
+        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "sim": np.concatenate(near)})
 
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         meet, "src bigint, dst bigint, sim double")

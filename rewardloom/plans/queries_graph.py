@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rewardloom.config import EngineConfig
 from rewardloom.functions.vectors import cosine, unit
 from rewardloom.operators import graph, knn, propagate
 from rewardloom.plans.registry import ROLLOUTS, ctes, query, r6
@@ -149,19 +150,31 @@ def _(spark, root):
     return graph.clique_degrees(nodes, "query_id", "competes_with")
 
 
-@query("grf12_extended_graph", ctes("query_nodes", "rollout_nodes") + SIMS + """,
+@query("grf12_extended_graph", ctes("query_nodes", "rollout_nodes") + SIMS + _RSIMS.rstrip() + """,
 knn AS (SELECT * FROM sims WHERE dm AND src <> dst AND sim > -1 QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 7)
 SELECT 'similar_to' AS edge_type, count(*) AS edges, count(DISTINCT src) AS sources, round(sum(sim), 6) AS weight FROM knn
 UNION ALL SELECT unnest(['generates', 'rev_generates', 'generates_reasoning', 'rev_generates_reasoning', 'leads_to', 'rev_leads_to']), edges, sources, weight
-FROM (SELECT count(*) AS edges, CAST(0 AS BIGINT) AS sources, count(*)::DOUBLE AS weight FROM rollout_nodes)""")
+FROM (SELECT count(*) AS edges, CAST(0 AS BIGINT) AS sources, count(*)::DOUBLE AS weight FROM rollout_nodes)
+UNION ALL SELECT 'competes_with', count(*), 0, round(sum(sim), 6) FROM (
+  SELECT src, sim FROM rsims WHERE sq = dq QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 3
+  UNION ALL SELECT src, sim FROM rsims WHERE sq <> dq QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 5)""")
 def _(spark, root):
-    edges = graph.extended_graph(nodes_of(spark, root), feeds.rollout_nodes(spark, root))
+    edges = graph.extended_graph(nodes_of(spark, root), rollout_nodes_of(spark, root), competing=(3, 5))
     per_source = edges.groupBy("edge_type", "src").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     return per_source.groupBy("edge_type").agg(
         F.sum("n").alias("edges"), F.count("*").alias("s"), r6(F.sum("w")).alias("weight")).select(
         "edge_type", "edges", F.when(F.col("edge_type") == "similar_to", F.col("s")).otherwise(F.lit(0).cast("bigint")).alias("sources"), "weight")
 
 
+@query("grf12_extended_nodes", ctes("query_nodes", "rollout_nodes") + """
+SELECT node_type, is_memory, count(*) AS nodes FROM (
+  SELECT 'query' AS node_type, is_memory FROM query_nodes
+  UNION ALL SELECT unnest(['think', 'answer']), q.is_memory FROM rollout_nodes r JOIN query_nodes q ON q.id = r.query_id) GROUP BY ALL""")
+def _(spark, root):
+    nodes = graph.extended_nodes(nodes_of(spark, root), rollout_nodes_of(spark, root))
+    return nodes.groupBy("node_type", "is_memory").agg(F.count("*").alias("nodes"))
+
+
 @query("grf13_domain_index", NODES + """
 SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY id) - 1 AS local_index FROM query_nodes""")
 def _(spark, root):
@@ -198,6 +211,38 @@ def _(spark, root):
     return knn.degree_mix(graph.similar_in_memory(nodes), nodes)
 
 
+# --- the same searches over cells and blocks, as for candidates beyond a broadcast ---
+
+BLOCKS = EngineConfig(broadcast_bytes=1, block_rows=256)
+
+
+@query("grf5_domain_knn_blocks", NODES + SIMS + top_k("sd = dd AND src <> dst", 15))
+def _(spark, root):
+    return shown(graph.similar_in_domain(nodes_of(spark, root), 15, BLOCKS))
+
+
+@query("grf6_memory_knn_blocks", NODES + SIMS + top_k("sm AND dm AND src <> dst AND sim > -1", 7))
+def _(spark, root):
+    return shown(graph.similar_in_memory(nodes_of(spark, root), config=BLOCKS))
+
+
+@query("grf7_new_to_memory_knn_blocks", NODES + SIMS + top_k("NOT sm AND dm AND sim > -1", 7))
+def _(spark, root):
+    return shown(graph.similar_to_memory(nodes_of(spark, root), config=BLOCKS))
+
+
+@query("grf8_same_domain_knn_blocks", NODES + SIMS + top_k("sd = dd AND dm AND src <> dst AND sim > -1", 7))
+def _(spark, root):
+    nodes = nodes_of(spark, root)
+    memory = graph.similar_in_memory(nodes, same_domain=True, config=BLOCKS)
+    return shown(memory.unionByName(graph.similar_to_memory(nodes, same_domain=True, config=BLOCKS)))
+
+
+@query("grf10_think_knn_blocks", RNODES + _RSIMS + top_k("sq <> dq", 5, "rsims"))
+def _(spark, root):
+    return shown(graph.competing_across_queries(rollout_nodes_of(spark, root), 5, BLOCKS))
+
+
 # --- inference ---------------------------------------------------------------
 
 _NEAR = """,
