@@ -14,18 +14,8 @@ class EngineConfig:
     """
 
     k: int = 7                       # memory neighbours per query
-    domain_k: int = 15               # neighbours inside one domain
     domain_filter: bool = False      # restrict query-query edges to one domain
     threshold: float = 0.5           # probability above which a reward is 1
-    label_threshold: float = 0.5     # raw reward above which a label is positive
-    margin: float = 0.5              # ranking-loss margin
     strict_zero: bool = False        # treat a consensus of 0.0 as a real consensus
-    rollouts_per_query: int = 8
-    code_timeout_seconds: float = 5.0
     broadcast_bytes: int = 64 << 20  # largest candidate matrix sent to every task
     block_rows: int = 16384          # rows per side in one block-join task
-
-
-# The two published model sizes share every setting; only paths differed.
-SMALL_MODEL = EngineConfig()
-LARGE_MODEL = EngineConfig()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.schema import DATASET_DOMAIN, GT_KEY_DOMAIN
 
-# Fixed keyword lists, in the order in which they are tried.
+# Keyword lists and data set names, in the order in which they are tried.
 SCORING_RULES = [
     ("math", ["math", "gsm"]),
     ("qa", ["mmlu", "commonsense", "obqa", "arc", "gpqa", "qa", "musique"]),
@@ -125,7 +125,6 @@ def dataset_name(name: Column) -> Column:
 
 def as_identifier(value: Column) -> Column:
     """``int(float(x))`` as text where that parses, the text itself where not."""
-    number = F.expr("CAST(NULL AS DOUBLE)")
     trimmed = F.trim(value)
     plain = trimmed.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")
     number = F.when(plain, trimmed.try_cast("double"))

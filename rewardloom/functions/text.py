@@ -10,6 +10,7 @@ from rewardloom.functions.let import let
 
 # --- fixed values: patterns whose matches must equal the published ones ------
 HASH_ANSWER = r"(?d)####\s*([^#\n][^\n]*?)(?:\s*####|\s*$)"
+# Possessive quantifiers match the same and never backtrack on long texts.
 BOXED = r"\\boxed\{([^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+)\}"
 BOXED_LAZY = r"(?d)\\boxed\{(.+?)\}"
 BOXED_SIMPLE = r"\\boxed\{([^}]+)\}"

@@ -145,7 +145,7 @@ def competition_math(df: DataFrame) -> DataFrame:
 
 def numina_answer(solution: Column) -> Column:
     """First box (cut at its first brace), else behind the last marker, else the last line."""
-    boxed = text.group(solution, r"\\boxed\{([^}]+)\}")
+    boxed = text.group(solution, text.BOXED_SIMPLE)
     marked = F.when(F.contains(solution, F.lit("####")), after_last_marker(solution))
     last_line = text.strip(F.element_at(F.split(text.strip(solution), "\n", -1), -1))
     return F.coalesce(boxed, marked, last_line)

@@ -46,15 +46,6 @@ NODE = T.StructType([
     T.StructField("answer_features", T.ArrayType(T.DoubleType())),
 ])
 
-RUN = T.StructType([
-    T.StructField("run", T.IntegerType()),
-    T.StructField("fp_rate", T.DoubleType()),
-    T.StructField("accuracy", T.DoubleType()),
-    T.StructField("f1", T.DoubleType()),
-    T.StructField("recall", T.DoubleType()),
-    T.StructField("precision", T.DoubleType()),
-])
-
 # --- fixed values (must equal the published data sets' names and sizes) ------
 
 DATASET_DOMAIN = {
@@ -79,9 +70,4 @@ VALIDATION_SIZES = {
 GENERALIZATION_SETS = ["numina_math", "piqa", "siqa"]
 STANDARD_EXCLUDED = ["pharma", "tdc", "dti", "numina", "piqa", "siqa"]
 
-EDGE_TYPES = [
-    "generates", "rev_generates", "generates_reasoning", "rev_generates_reasoning",
-    "leads_to", "rev_leads_to", "similar_to", "competes_with",
-]
-
 # --- end of fixed values -----------------------------------------------------
