@@ -238,7 +238,8 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
     rows = sketches.select("id", F.explode(split(F.array(*[F.lit(r) for r in roots]), F.col("sketch"))).alias("path"))
     leaves, edges = [], []
     for depth in range(1, deepest + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Written first, as only a join of two shuffles is split where a bucket is hot.
+        sizes = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
         placed = cut_lineage(rows.join(sizes, "path"), "buckets")
         leaves.append(placed if depth == deepest else placed.filter(F.col("n") <= bucket_rows))
         large = placed.filter(F.col("n") > bucket_rows)
