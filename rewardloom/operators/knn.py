@@ -74,7 +74,12 @@ def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 class _Matrix:
     """Candidates of one domain: distinct vectors plus the ids that share them."""
 
-    def __init__(self, frame: pd.DataFrame):
+    def __init__(self, vectors: np.ndarray, owner: np.ndarray, ids: np.ndarray, groups: np.ndarray):
+        self.vectors, self.owner, self.ids, self.groups = vectors, owner, ids, groups
+
+    @staticmethod
+    def parts(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """The arrays of a matrix; these travel in a broadcast, the class does not."""
         frame = frame.sort_values("id", kind="stable")
         codes, first = {}, []
         owner = np.empty(len(frame), dtype=np.int64)
@@ -85,10 +90,7 @@ class _Matrix:
                 first.append(position)
             owner[position] = code
         vectors = frame["vec"].to_numpy()
-        self.vectors = np.vstack([vectors[i] for i in first])
-        self.owner = owner
-        self.ids = frame["id"].to_numpy(np.int64)
-        self.groups = frame["grp"].to_numpy()
+        return np.vstack([vectors[i] for i in first]), owner, frame["id"].to_numpy(np.int64), frame["grp"].to_numpy()
 
     def search(self, sources: np.ndarray, groups: np.ndarray | None, k: int) -> list[tuple]:
         hits: list[tuple] = []
@@ -124,13 +126,14 @@ def _search_schema(df: DataFrame) -> T.StructType:
 
 
 def _broadcast_search(src: DataFrame, rows: pd.DataFrame, k: int, by_group: bool) -> DataFrame:
-    matrices = {dom: _Matrix(part) for dom, part in rows.groupby("dom")}
-    shared = src.sparkSession.sparkContext.broadcast(matrices)
+    arrays = {dom: _Matrix.parts(part) for dom, part in rows.groupby("dom")}
+    shared = src.sparkSession.sparkContext.broadcast(arrays)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrices = {dom: _Matrix(*parts) for dom, parts in shared.value.items()}
         for frame in frames:
             for dom, part in frame.groupby("dom", sort=False):
-                yield _search_frame(part, shared.value.get(dom), k, by_group)
+                yield _search_frame(part, matrices.get(dom), k, by_group)
 
     return src.mapInPandas(search, _search_schema(src))
 
@@ -172,7 +175,7 @@ def _meet(visits: DataFrame, cand_blocks: DataFrame, k: int, by_group: bool) ->
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"sid": [], "dst": [], "sim": []})
-        found = _search_frame(left, _Matrix(right), k, by_group)
+        found = _search_frame(left, _Matrix(*_Matrix.parts(right)), k, by_group)
         return found[["sid", "dst", "sim"]]
 
     schema = T.StructType([
