@@ -23,9 +23,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without cross-site boilerplate; a document that was nothing else goes."""
+    """Texts without cross-site boilerplate; what was little else goes.
+
+    Where less than a fifth of the characters is left, the document was boilerplate
+    or a copy of which another one keeps the lines; its rest would be a fragment.
+    """
     judged = lines.without_boilerplate(docs)
-    left = judged.filter((F.col("lines.n_removed") == 0) | F.col("lines.text").rlike(r"[^\x20\x09-\x0D]"))
+    rest = F.col("lines.text").rlike(r"[^\x20\x09-\x0D]") & (5 * F.length("lines.text") >= F.length("text"))
+    left = judged.filter((F.col("lines.n_removed") == 0) | rest)
     cut = left.withColumn("text", F.col("lines.text")).withColumn("n_chars", F.length("text").cast("long"))
     return cut.select(*COLUMNS)
 
