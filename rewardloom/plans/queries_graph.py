@@ -367,6 +367,61 @@ def _(spark, root):
     return scored.select("id", r6(F.col("logit")).alias("logit"), r6(F.col("prob")).alias("prob"), "reward")
 
 
+# Message passing over all node types of the extended graph.
+_EXTENDED = ctes("query_nodes", "rollout_nodes") + SIMS + _RSIMS.rstrip() + """,
+all_nodes AS (
+  SELECT 'q:' || id AS id, embedding AS vec FROM query_nodes
+  UNION ALL SELECT 't:' || query_id || ':' || resp_idx, embedding FROM rollout_nodes
+  UNION ALL SELECT 'a:' || query_id || ':' || resp_idx, list_reverse(embedding) FROM rollout_nodes),
+ends AS (SELECT id AS vec_id, 'q:' || query_id AS q, 't:' || query_id || ':' || resp_idx AS t, 'a:' || query_id || ':' || resp_idx AS a FROM rollout_nodes),
+edges AS (
+  SELECT q AS src, a AS dst, 'generates' AS edge_type FROM ends UNION ALL SELECT a, q, 'rev_generates' FROM ends
+  UNION ALL SELECT q, t, 'generates_reasoning' FROM ends UNION ALL SELECT t, q, 'rev_generates_reasoning' FROM ends
+  UNION ALL SELECT t, a, 'leads_to' FROM ends UNION ALL SELECT a, t, 'rev_leads_to' FROM ends
+  UNION ALL SELECT 'q:' || src, 'q:' || dst, 'similar_to' FROM (SELECT * FROM sims WHERE dm AND src <> dst AND sim > -1
+    QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 7)
+  UNION ALL SELECT x.t, y.t, 'competes_with' FROM (
+    SELECT src, dst FROM rsims WHERE sq = dq QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 3
+    UNION ALL SELECT src, dst FROM rsims WHERE sq <> dq QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 5) e
+    JOIN ends x ON x.vec_id = e.src JOIN ends y ON y.vec_id = e.dst),
+xy AS (SELECT id, unnest(range(1, len(vec) + 1)) AS d, unnest(vec) AS x FROM all_nodes),
+typed AS (SELECT dst, edge_type, d, avg(x) AS x FROM edges JOIN xy ON src = id GROUP BY ALL),
+layer AS (SELECT dst AS id, d, greatest(avg(x), 0) AS x FROM typed GROUP BY ALL)
+"""
+
+
+def extended_layer(spark, root):
+    """One layer over queries, thinks and answers; an answer's vector is its rollout's in reverse."""
+    nodes, rollouts = nodes_of(spark, root), rollout_nodes_of(spark, root)
+    name = lambda kind: graph.node_name(kind, F.col("query_id"), F.col("resp_idx")).alias("id")
+    vectors = (
+        nodes.select(graph.node_name("q", F.col("id")).alias("id"), F.col("embedding").alias("vec"))
+        .unionByName(rollouts.select(name("t"), F.col("embedding").alias("vec")))
+        .unionByName(rollouts.select(name("a"), F.reverse("embedding").alias("vec"))))
+    return propagate.message_layer(vectors, graph.extended_graph(nodes, rollouts, competing=(3, 5)))
+
+
+@query("prp2_extended_layer", _EXTENDED + """
+SELECT id, d, round(x, 6) + 0.0::DOUBLE AS value FROM layer""")
+def _(spark, root):
+    return exploded(extended_layer(spark, root))
+
+
+@query("prp5_extended_score", _EXTENDED + """,
+s AS (SELECT e.vec_id, sum(q.x * a.x) / sqrt(64.0::DOUBLE) AS logit
+  FROM ends e JOIN layer q ON q.id = e.q JOIN layer a ON a.id = e.a AND a.d = q.d GROUP BY 1)
+SELECT vec_id AS id, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS prob FROM s""")
+def _(spark, root):
+    layer = cut_lineage(extended_layer(spark, root))
+    rollouts = rollout_nodes_of(spark, root).select(
+        F.col("id").alias("vec_id"), graph.node_name("q", F.col("query_id")).alias("q"),
+        graph.node_name("a", F.col("query_id"), F.col("resp_idx")).alias("a"))
+    pairs = rollouts.join(layer.select(F.col("id").alias("q"), F.col("vec").alias("query_vec")), "q").join(
+        layer.select(F.col("id").alias("a"), F.col("vec").alias("response_vec")), "a")
+    scored = propagate.score_pairs(pairs)
+    return scored.select(F.col("vec_id").alias("id"), r6(F.col("logit")).alias("logit"), r6(F.col("prob")).alias("prob"))
+
+
 @query("prp6_fitted_rewards", NODES + """
 SELECT is_memory, 2 * count(*) AS n, CASE WHEN is_memory THEN true END AS separates FROM query_nodes GROUP BY 1""")
 def _(spark, root):
