@@ -57,10 +57,11 @@ def _sketched(size: int) -> Callable:
 
 
 def _shingled(size: int) -> Callable:
+    """Sets of chosen texts. The id is passed so that the work stays behind the join that chooses."""
     kind = pa.struct([("high", pa.int64()), ("low", pa.int64()), ("shingles", pa.binary())])
 
-    def shingle(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+    def shingle(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, _ in batches:
             sets = [shingles_of(t.as_py(), size) for t in texts]
             yield pa.array([dict(zip(kind.names, (*digests(s), s.tobytes()), strict=True)) for s in sets], kind)
 
@@ -300,7 +301,8 @@ def near_duplicates(
     weights = wanted.groupBy("component").agg(
         F.ceil(F.greatest(F.sum("size") / block_shingles, F.count(F.lit(1)) / bucket_rows)).cast("int").alias("blocks"))
     wanted = wanted.join(weights, "component")
-    chosen = named.join(wanted.withColumnRenamed("least", "key"), "key").withColumn("s", _shingled(shingle)(F.col("text")))
+    chosen = named.join(wanted.withColumnRenamed("least", "key"), "key").withColumn(
+        "s", _shingled(shingle)(F.col("text"), F.col("id")))
     chosen = chosen.filter("s.high = high and s.low = low").select("id", "component", "copies", "blocks", "s.shingles")
     chosen = cut_lineage(chosen.dropDuplicates(["id"]), "candidates")
 
