@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
+MOST_LANGUAGES = 1024  # classes of a model; the driver trains and holds buckets times languages numbers
 _RUN = re.compile(r"[^\W\d_]+")  # runs of letters
 
 
@@ -117,14 +118,18 @@ def train(
 def training_rows(documents: DataFrame, key: str, text: str, lang: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled texts of each language, drawn by a hash of key and text.
 
-    Languages are counted over all rows first; the draw thins each by its share, so
-    that the ranking which fixes the bound meets few rows of any language.
+    Languages are counted over all rows first; the draw thins each by its share where
+    the text is read, and the ranking that fixes the bound meets few rows of any
+    language. The shares are one number for each class of the model.
     """
     known = documents.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("draw"), key, text).alias("draw"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    wide = F.least(F.lit(1.0), 1.5 * rows / F.col("n")) * float(1 << 30)
-    drawn = known.join(counts, "lang").filter(F.pmod("draw", F.lit(1 << 30)) < wide)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * rows / r["n"]))]
+    share = F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
+    drawn = known.filter(F.pmod("draw", F.lit(1 << 30)) < share * float(1 << 30))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
     return ranked.filter(F.col("rank") <= rows).select("text", "lang", "draw")
 
