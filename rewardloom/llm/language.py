@@ -70,21 +70,22 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def train(
     texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: tuple[str, ...], held: np.ndarray,
-    buckets: int, longest: int, width: int = 16, epochs: int = 8, rate: float = 0.5, precision: float = 0.99,
+    buckets: int, longest: int, width: int = 16, steps: int = 16000, rate: float = 0.5, precision: float = 0.99,
     seed: int = 7,
 ) -> LanguageModel:
-    """Stochastic gradient descent on single texts; ``held`` rows calibrate.
+    """Stochastic gradient descent on single texts, about ``steps`` of them; ``held`` rows calibrate.
 
     A text is the mean of its subwords' embeddings. On held rows the sharpness is
     chosen that makes the true languages most likely, then the smallest confidence
     from which on the accepted predictions are right at the given ``precision``.
+    Targets are a little below one (Platt), so that few rows never make it certain.
     """
     random = np.random.default_rng(seed)
     embed = random.uniform(-1, 1, (buckets, width)).astype(np.float32) / width
     weights = np.zeros((width, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     learn = np.flatnonzero(~held)
-    steps, step = max(epochs * len(learn), 1), 0
+    epochs, step = -(-steps // max(len(learn), 1)), 0
     for _ in range(epochs):
         for i in random.permutation(learn):
             rows, counts = texts[i]
@@ -92,7 +93,7 @@ def train(
             mean = share @ embed[rows]
             error = _softmax((mean @ weights + bias)[None])[0]
             error[labels[i]] -= 1
-            now = rate * (1 - step / steps)
+            now = rate * (1 - step / (epochs * len(learn)))
             back = weights @ error
             weights -= now * np.outer(mean, error)
             bias -= now * 0.1 * error
@@ -105,7 +106,10 @@ def train(
         return LanguageModel(languages, scores, bias, 1.0, 0.0, longest)
     logits = np.stack([c @ scores[r] / c.sum() + bias for r, c in (texts[i] for i in checked)])
     true = labels[checked]
-    likely = lambda s: -np.log(_softmax(logits * s)[np.arange(len(true)), true] + 1e-12).mean()
+    doubt = 1 / (len(true) + 2)
+    target = np.full(logits.shape, doubt / max(len(languages) - 1, 1))
+    target[np.arange(len(true)), true] = 1 - doubt
+    likely = lambda s: -(target * np.log(_softmax(logits * s) + 1e-300)).sum()
     sharpness = min(np.geomspace(0.25, 64, 60), key=likely)
     chances = _softmax(logits * sharpness)
     sure, right = chances.max(axis=1), chances.argmax(axis=1) == true
