@@ -11,7 +11,7 @@ from rewardloom.session import build_session
 
 HEADLINE = [
     "rwd1_math_accuracy", "rwd5_batch_scoring", "fea5_self_consistency", "rte2_group_routes", "smp3_split_by_share",
-    "grf5_domain_knn", "grf7_new_to_memory_knn", "prp1_propagated_reward", "prp2_message_layer", "agg4_roc_auc",
+    "grf5_domain_knn", "grf5_domain_knn_blocks", "grf7_new_to_memory_knn", "prp1_propagated_reward", "prp2_message_layer", "agg4_roc_auc",
     "agg6_evaluation", "agg10_ranking_loss", "agg11_accuracy_report", "smp1_dedupe", "rwd9_mixed_summary",
 ]
 
