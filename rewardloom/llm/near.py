@@ -16,6 +16,7 @@ from rewardloom.llm.words import mixed, window_hashes, word_hashes, words_of
 from rewardloom.session import cut_lineage
 
 COORDINATES = 128  # MinHash values of a sketch; a similarity estimate errs by 0.035 at 0.8
+SHALLOW = 3  # depth for which all sets get runs; sets split past it get more
 _FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -219,6 +220,42 @@ def runs_for(recall: float, similarity: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
+def lost_share(similarity: float, depth: int, runs: int, more: int = 0) -> float:
+    """Share of pairs of just ``similarity`` that meet in no bucket, if buckets are split down to ``depth``.
+
+    ``more`` runs start from the sets split past SHALLOW; a pair that has shared no
+    bucket so deep need not be among them. Sketches agree in a binomial number of
+    coordinates, and all runs see the same sketches, so the chance is averaged over that.
+    """
+    agree = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity)**(COORDINATES - k) for k in agree.tolist()])
+
+    def lost(levels: int) -> np.ndarray:
+        share = np.zeros(COORDINATES + 1)
+        for _ in range(levels):
+            share = np.exp(agree / (COORDINATES * similarity) * (share - 1))
+        return share
+
+    early, late = lost(min(depth, SHALLOW))**runs, lost(depth)
+    return float(chance @ (early + (late**runs - early) * late**more))
+
+
+def first_runs(recall: float, similarity: float) -> int:
+    """Runs for all sets: those for ``recall`` at SHALLOW, with a fifth of the loss left to deeper pairs."""
+    runs = runs_for(recall, similarity, SHALLOW)
+    while lost_share(similarity, SHALLOW, runs) > 0.8 * (1 - recall):
+        runs += 1
+    return runs
+
+
+def more_runs(recall: float, similarity: float, runs: int, depth: int) -> int:
+    """Further runs for the sets split past SHALLOW, so that ``recall`` holds at ``depth``."""
+    more = 0
+    while lost_share(similarity, depth, runs, more) > 1 - recall:
+        more += 1
+    return more
+
+
 def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_rows: int, deepest: int) -> DataFrame:
     """Pairs (a, b) that connect all sets which share a bucket and whose sketches are alike.
 
@@ -227,35 +264,51 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
     through it and leave; rows that may still be linked to the core are connected
     too, and stay with the rest, which is split on. By the triangle inequality of
     the Jaccard distance no other row is linked to the core. What is large even at
-    the deepest level is compared in pairs of parts.
+    the deepest level is compared in pairs of parts. Sets that are split past SHALLOW
+    get more runs, as many as the depth reached asks for.
     """
-    runs = runs_for(recall, similarity, 3)
+    runs = first_runs(recall, similarity)
     error = math.sqrt(similarity * (1 - similarity) / COORDINATES)
     close = similarity - 4 * error                       # sketches of a linked pair agree at least so much
     ring = max(1 - (1 - close) - (1 - similarity) - 4 * error, 0.05)
     split = _children(similarity)
-    roots = [int(v) for v in mixed(np.arange(runs, dtype=np.uint64) + np.uint64(7919)).view(np.int64)]
     sketches = sets.select("id", "sketch")
-    rows = sketches.select("id", F.explode(split(F.array(*[F.lit(r) for r in roots]), F.col("sketch"))).alias("path"))
     leaves, edges = [], []
-    for depth in range(1, deepest + 1):
-        # Written first, as only a join of two shuffles is split where a bucket is hot.
-        sizes = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-        placed = cut_lineage(rows.join(sizes, "path"), "buckets")
-        leaves.append(placed if depth == deepest else placed.filter(F.col("n") <= bucket_rows))
-        large = placed.filter(F.col("n") > bucket_rows)
-        if depth == deepest or not large.limit(1).count():
-            break
-        pivots = large.groupBy("path").agg(F.min("id").alias("pivot"))  # most buckets of a group share it
-        pivots = pivots.join(sketches.select(F.col("id").alias("pivot"), F.col("sketch").alias("center")), "pivot")
-        met = large.join(sketches, "id").join(pivots, "path")
-        met = cut_lineage(met.withColumn(
-            "alike", F.arrow_udf(_agreement, "double", F.ArrowUDFType.SCALAR_ITER)("sketch", "center")
-        ).drop("center"), "met")
-        edges.append(met.filter((F.col("alike") >= ring) & (F.col("id") != F.col("pivot"))).select(
-            F.col("id").alias("a"), F.col("pivot").alias("b")))
-        rows = met.filter(F.col("alike") < close).select(
-            "id", F.explode(split(F.array("path"), F.col("sketch"))).alias("path"))
+
+    def descend(start: DataFrame, first: int, last: int) -> tuple[int, DataFrame | None]:
+        """Runs ``first`` to ``last`` over the sets of ``start``: the depth reached, the ids split past SHALLOW."""
+        roots = [int(v) for v in mixed(np.arange(first, last, dtype=np.uint64) + np.uint64(7919)).view(np.int64)]
+        rows = start.select("id", F.explode(split(F.array(*[F.lit(r) for r in roots]), F.col("sketch"))).alias("path"))
+        deep = None
+        for depth in range(1, deepest + 1):
+            # Written first, as only a join of two shuffles is split where a bucket is hot.
+            sizes = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+            placed = cut_lineage(rows.join(sizes, "path"), "buckets")
+            leaves.append(placed if depth == deepest else placed.filter(F.col("n") <= bucket_rows))
+            large = placed.filter(F.col("n") > bucket_rows)
+            if depth == deepest or not large.limit(1).count():
+                break
+            pivots = large.groupBy("path").agg(F.min("id").alias("pivot"))  # most buckets of a group share it
+            pivots = pivots.join(sketches.select(F.col("id").alias("pivot"), F.col("sketch").alias("center")), "pivot")
+            met = large.join(sketches, "id").join(pivots, "path")
+            met = cut_lineage(met.withColumn(
+                "alike", F.arrow_udf(_agreement, "double", F.ArrowUDFType.SCALAR_ITER)("sketch", "center")
+            ).drop("center"), "met")
+            edges.append(met.filter((F.col("alike") >= ring) & (F.col("id") != F.col("pivot"))).select(
+                F.col("id").alias("a"), F.col("pivot").alias("b")))
+            rest = met.filter(F.col("alike") < close)
+            if depth == SHALLOW:
+                deep = rest.select("id").distinct()
+            rows = rest.select("id", F.explode(split(F.array("path"), F.col("sketch"))).alias("path"))
+        return depth, deep
+
+    reached, deep = descend(sketches, 0, runs)
+    if deep is not None:
+        again = cut_lineage(sketches.join(deep, "id"), "deep")
+        done, wanted = runs, runs + more_runs(recall, similarity, runs, reached)
+        while done < wanted:
+            reached = max(reached, descend(again, done, wanted)[0])
+            done, wanted = wanted, runs + more_runs(recall, similarity, runs, reached)
     leaf = reduce(DataFrame.union, leaves)
     parts = F.ceil(F.col("n") / bucket_rows).cast("int")
     own = F.pmod(F.xxhash64("path", "id"), parts).cast("int")

@@ -129,6 +129,29 @@ def test_shared_counts_and_runs():
     assert near.runs_for(0.999, 0.8, 3) == 15
 
 
+def test_runs_follow_the_depth():
+    assert near.first_runs(0.999, 0.8) == 16 and near.more_runs(0.999, 0.8, 16, 3) == 0
+    assert [near.more_runs(0.999, 0.8, 16, d) for d in (4, 6, 8)] == [7, 18, 31]
+    for depth in range(1, 9):
+        more = near.more_runs(0.999, 0.8, 16, depth)
+        assert near.lost_share(0.8, depth, 16, more) <= 0.001
+
+
+def test_recall_holds_where_buckets_are_split_deep(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(9)
+    first = draw.integers(0, 2, (300, near.COORDINATES))  # every value is that of half the rows, so buckets halve slowly
+    other = np.where(draw.random(first.shape) < 0.05, 2 + np.arange(300)[:, None], first)
+    rows = np.stack([first, other], axis=1).reshape(600, -1).astype(np.uint32)
+    frame = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(rows)], "id long, sketch binary")
+    edges = near._candidate_edges(frame, 0.95, 0.999, 2, 8)
+    label = {r.id: r.label for r in components.connected_components(edges).collect()}
+    assert len(set(label.values())) > 250  # the pairs are not connected through others
+    found = sum(2 * i in label and label[2 * i] == label.get(2 * i + 1) for i in range(300))
+    assert found >= 299
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.label for r in components.connected_components(edges).collect()}
