@@ -159,3 +159,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, root, documents):
     want = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in clean}
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in got.collect()} == want
     assert 0 < len(want) < len(documents)
+
+
+def test_line_dedup_stage_keeps_short_remainders(spark, root):
+    import corpus_pipeline as c
+
+    shared = "\n".join(f"navigation {i} " + "x" * 90 for i in range(30))
+    rows = [(k, f"{shared}\nown text {k}" if k < 11 else shared, "en", f"s{k}", 0) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in c.line_dedup(spark, docs, root).collect()}
+    assert got.pop(0) == (rows[0][1], len(rows[0][1]))  # the smallest id keeps the lines
+    assert got == {k: (f"own text {k}", len(f"own text {k}")) for k in range(1, 11)}
