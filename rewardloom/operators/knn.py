@@ -346,6 +346,20 @@ def approximate_edges(sources: DataFrame, candidates: DataFrame, k: int, probes:
     return knn_edges(sources, candidates, k, probes=probes, **options)
 
 
+def edges_for_recall(sources: DataFrame, candidates: DataFrame, exact: DataFrame, k: int, target: float = 0.9,
+                     probes: int = 8, **options) -> tuple[DataFrame, int]:
+    """Approximate edges that hold ``target`` of the ``exact`` ones, and the probes they took.
+
+    The share of cells that a fixed number of probes opens falls as cells grow, so
+    probes are doubled until the measured recall is enough; with all cells open it is 1.
+    """
+    while True:
+        found = cut_lineage(approximate_edges(sources, candidates, k, probes, **options), "approximate")
+        if probes > MAX_PIVOTS or recall(exact, found).first()["recall"] >= target:
+            return found, probes
+        probes *= 2
+
+
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     """Share of exact edges that an approximate search found."""
     marked = exact.join(found.select("src", "dst", F.lit(1).alias("_hit")), ["src", "dst"], "left")

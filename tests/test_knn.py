@@ -62,6 +62,23 @@ def test_all_probes_make_approximate_exact(spark):
     same(got(found), brute(rows, rows, 4, lambda s, c: s[0] != c[0]))
 
 
+def test_probes_grow_until_recall_is_enough(spark):
+    _, nodes = make_nodes(spark, n=200, dim=16, copies=0)
+    exact = knn.knn_edges(nodes, nodes, 4, exclude="self")
+    share = lambda found: knn.recall(exact, found).first()["recall"]
+    options = {"exclude": "self", "config": EngineConfig(block_rows=64)}
+    assert share(knn.approximate_edges(nodes, nodes, 4, **options)) < 0.9
+    found, probes = knn.edges_for_recall(nodes, nodes, exact, 4, **options)
+    assert probes > 8 and share(found) >= 0.9
+
+
+def test_recall_query_reports_figures(spark, root):
+    from rewardloom.plans.catalog import QUERIES
+
+    few, every = QUERIES["grf14_approximate_recall"](spark, root).orderBy("probes").collect()
+    assert few["recall"] >= 0.9 and every["recall"] == 1 and every["found_edges"] == every["exact_edges"] == few["exact_edges"]
+
+
 def test_candidates_without_direction(spark):
     _, nodes = make_nodes(spark, n=6)
     zeros = spark.createDataFrame([(i, [0.0] * 6) for i in range(3)], "id bigint, embedding array<double>")
