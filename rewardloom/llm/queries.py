@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, counts, decontaminate, language, lines, near, pieces, quality, spans, urls
+from rewardloom.llm import chat, counts, decontaminate, language, lines, near, pieces, quality, shards, spans, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,16 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("doc_id", "spans.n_words", "spans.n_removed", F.col("spans.text").alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, root: str) -> DataFrame:
+    """Law ``rows``: counts of shards differ by one at most. Equal texts are rows like others and spread alike."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    documents = table(spark, root, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return shards.sharded(documents).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("place.shard").cast("int").alias("shard"),
+        "place.slot", F.lit(None).cast("int").alias("grown_shard"), "place.row_number", "place.position")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -119,13 +129,50 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sharding": op11_sharding,
 }
 
+
+def _network_sql(source: str, column: str, permutation: shards.Permutation) -> str:
+    """One pass of the sharding permutation over ``source`` in SQL, with grid sizes taken from table ``grid``."""
+    sql = f"SELECT s.*, {column} % wide AS low, {column} // wide AS up, wide, high FROM {source} s, grid"
+    for number in range(permutation.rounds):
+        half, other, size = ("low", "up", "wide") if number % 2 == 0 else ("up", "low", "high")
+        spread = f"({other} + {permutation.key(number)}) % {shards.PRIME} * {shards.FACTOR} % {shards.PRIME}"
+        sql = (f"SELECT * REPLACE (({half} + xor(spread, spread >> 15)) % {size} AS {half}) FROM "
+               f"(SELECT * EXCLUDE (spread), {spread} AS spread FROM (SELECT *, 0 AS spread FROM ({sql})))")
+        sql = f"SELECT * EXCLUDE (spread) FROM ({sql})"
+    return sql
+
 _BENCH_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op11_sharding": f"""
+WITH RECURSIVE grid AS (
+  SELECT count(*) AS total, CAST(greatest(ceil(sqrt(count(*))), 1) AS BIGINT) AS wide,
+    CAST(greatest(ceil(count(*) / greatest(ceil(sqrt(count(*))), 1)), 1) AS BIGINT) AS high FROM documents),
+rows AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS row_number FROM documents),
+walk AS (
+  SELECT row_number, up * wide + low AS place FROM ({_network_sql("rows", "row_number", shards.Permutation(0))})
+  UNION ALL
+  SELECT row_number, up * wide + low AS place FROM ({_network_sql(
+      "(SELECT row_number, place FROM walk, grid WHERE place >= total)", "place", shards.Permutation(0))})),
+places AS (SELECT row_number, place AS position FROM walk, grid WHERE place < total),
+steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS step),
+sums AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(
+      regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM documents, steps)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position % 40 AS INTEGER) AS shard, position // 40 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, row_number, position
+FROM rows JOIN places USING (row_number) JOIN sums USING (doc_id)
+""",
     "op2_line_dedup": """
 WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS w FROM documents),
 numbered AS (SELECT doc_id, source, w, unnest(range(1, len(w) + 1)) AS i FROM parts),
