@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, counts, decontaminate, language, lines, near, pieces, quality, shards, spans, urls
+from rewardloom.llm import chat, counts, decontaminate, language, lines, near, pieces, quality, repair, shards, spans, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +118,25 @@ def op11_sharding(spark: SparkSession, root: str) -> DataFrame:
         "place.slot", F.lit(None).cast("int").alias("grown_shard"), "place.row_number", "place.position")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with a known damage, chosen by a hash of their place; ``dropped`` rows only name their conversation."""
+    spaced = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", spaced("conv_id"), spaced("turn"))) % 20
+    turns = conversations.select(
+        "conv_id", "turn", kind.alias("kind"), spaced("role").alias("role"), spaced("text").alias("text"))
+    return turns.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text")).alias("text"),
+        (F.col("kind") == 0).alias("dropped"),
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"))
+
+
+def op12_structure_repair(spark: SparkSession, root: str) -> DataFrame:
+    conversations = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repaired(damaged(conversations), dropped=F.col("dropped"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -130,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_sharding": op11_sharding,
+    "op12_structure_repair": op12_structure_repair,
 }
 
 
