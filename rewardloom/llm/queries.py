@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, counts, decontaminate, language, lines, near, pieces, quality, repair, shards, spans, urls
+from rewardloom.llm import chat, counts, decontaminate, language, lines, near, negatives, pieces, quality, repair, shards, spans, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,6 +137,13 @@ def op12_structure_repair(spark: SparkSession, root: str) -> DataFrame:
     return repair.repaired(damaged(conversations), dropped=F.col("dropped"))
 
 
+def op13_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Anchors are the ids divisible by 100; ids divisible by 7 carry a wrong label on purpose."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, root, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -150,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_sharding": op11_sharding,
     "op12_structure_repair": op12_structure_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -169,6 +177,27 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) <= 5
+""",
     "op11_sharding": f"""
 WITH RECURSIVE grid AS (
   SELECT count(*) AS total, CAST(greatest(ceil(sqrt(count(*))), 1) AS BIGINT) AS wide,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from rewardloom.session import cut_lineage
 # Constants of the round function: a prime below 2**31 and a multiplier.
 PRIME, FACTOR = 2147483647, 1103515245
 ROUNDS = 6
+#: Passes after which a place outside is taken to be in a ring that never leads inside.
+LONGEST = 64
 
 
 def _whole(number: Column, by: int) -> Column:
@@ -41,6 +43,7 @@ class Permutation:
     seed: int = 11
     rounds: int = ROUNDS
     walk: int = 1
+    attempt: int = 0
 
     @property
     def wide(self) -> int:
@@ -54,7 +57,7 @@ class Permutation:
         return max(1, -(-self.total // self.wide))
 
     def key(self, number: int) -> int:
-        return int.from_bytes(hashlib.sha256(f"{self.seed}:{number}".encode()).digest()[:8], "big") % PRIME
+        return int.from_bytes(hashlib.sha256(f"{self.seed}:{self.attempt}:{number}".encode()).digest()[:8], "big") % PRIME
 
     def _passed(self, back: bool) -> Callable[[Column], Column]:
         """One pass through the network, a fold over its rounds."""
@@ -99,18 +102,19 @@ def permutation_of(spark: SparkSession, total: int, seed: int = 11, rounds: int
 
     A row walks on as long as it meets places outside, of which there are few: from
     each of them Spark counts the passes until it is inside. The longest such run
-    and the first pass bound every walk exactly.
+    and the first pass bound every walk exactly. Keys under which places outside
+    form a ring of their own, which no count would end, are passed over for the next.
     """
-    plain = Permutation(total, seed, rounds)
-    outside = plain.wide * plain.high - total
-    if total == 0 or outside == 0:
-        return plain
-    passes = 16
-    while True:
-        longest = spark.range(total, total + outside).agg(F.max(plain.walked(F.col("id"), passes)["passes"])).head()[0]
-        if longest < passes:
-            return Permutation(total, seed, rounds, longest + 1)
-        passes *= 4
+    for attempt in range(1000):
+        plain = Permutation(total, seed, rounds, attempt=attempt)
+        outside = plain.wide * plain.high - total
+        if total == 0 or outside == 0:
+            return plain
+        longest = spark.range(total, total + outside).agg(
+            F.max(plain.walked(F.col("id"), LONGEST)["passes"])).head()[0]
+        if longest < LONGEST:
+            return replace(plain, walk=longest + 1)
+    raise RuntimeError("no keys bring every row inside")
 
 
 def numbered(rows: DataFrame, key: str, out: str = "row_number") -> tuple[DataFrame, int]:
