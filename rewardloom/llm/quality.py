@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -147,28 +148,47 @@ def _prune(rule: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray)
     return best
 
 
+def _by_chance(p: int, n: int, share: float) -> float:
+    """Chernoff's bound on the probability that ``p`` or more of ``n`` rows are bad, each with probability ``share``."""
+    found = p / n
+    if found <= share:
+        return 1.0
+    away = found * log(found / share) + ((1 - found) * log((1 - found) / (1 - share)) if found < 1 else 0.0)
+    return exp(-n * away)
+
+
 def learn_decision_list(
     rows: dict[str, np.ndarray], bad: np.ndarray, folds: np.ndarray, precision: float = 0.9, longest: int = 4,
-    most: int = 16, limits: int = 64,
+    most: int = 16, limits: int = 64, chance: float = 0.001,
 ) -> DecisionList:
-    """Sequential covering: grow a rule on two thirds of the rows, prune it on the rest, take away what it covers.
-
-    ``folds`` (0 to 2) tells growing rows (0, 1) from pruning rows (2). A rule whose
-    precision on pruning rows (with a Laplace correction) is below ``precision`` ends the list.
+    """Sequential covering: grow rules on two thirds of the rows, prune each on the other third, take the best.
+
+    Each of the three ``folds`` (0 to 2) prunes once, so that every row is judged by a
+    rule grown without it. A rule joins the list if of the rows so covered the share
+    ``precision`` is bad and chance alone would hardly (``chance``) pick so many bad
+    ones at the share that is left. Six rejected rows with a clean gap are enough;
+    shuffled labels give no rule. Of the three rules the one that holds best on all
+    rows is taken, and what it covers is taken away.
     """
     rules, left = [], np.ones(len(bad), bool)
     while len(rules) < most and (left & bad).any():
-        grown, checked = left & (folds < 2), left & (folds == 2)
-        if not (grown & bad).any():
-            break
-        rule = _grow({k: v[grown] for k, v in rows.items()}, bad[grown], longest, limits)
-        if not rule:
-            break
-        rule, worth, _ = _prune(rule, {k: v[checked] for k, v in rows.items()}, bad[checked])
-        if worth < precision:
+        p = n = 0
+        grown: list[tuple[float, int, tuple[Condition, ...]]] = []
+        for fold in range(3):
+            seen, checked = left & (folds != fold), left & (folds == fold)
+            rule = _grow({k: v[seen] for k, v in rows.items()}, bad[seen], longest, limits) if (seen & bad).any() else []
+            if not rule:
+                continue
+            rule = _prune(rule, {k: v[checked] for k, v in rows.items()}, bad[checked])[0]
+            met = _met(rule, rows, len(bad))
+            p, n = p + int((met & checked & bad).sum()), n + int((met & checked).sum())
+            hit, all_met = int((met & left & bad).sum()), int((met & left).sum())
+            grown.append(((hit + 1) / (all_met + 2), -len(rule), tuple(rule)))
+        if not n or p < precision * n or _by_chance(p, n, float(bad[left].mean())) > chance:
             break
-        rules.append(tuple(rule))
-        left &= ~_met(rule, rows, len(bad))
+        best = max(grown, key=lambda g: g[:2])[2]
+        rules.append(best)
+        left &= ~_met(list(best), rows, len(bad))
     return DecisionList(tuple(rules))
 
 
@@ -192,15 +212,15 @@ def fit_quality_rules(
     """Learns rules that reject texts labelled 0, from a bounded sample of labelled rows.
 
     ``sample_rows`` bounds the rows that reach the driver (eight numbers each, no
-    texts). Rows without a label, with a null label or a null text teach nothing;
-    without both kinds of labels there are no rules. Among rows of one id, one is read.
+    texts), one for each labelled id: that of the least features. Rows without a label, with a null label or a null text teach nothing;
+    without both kinds of labels there are no rules.
     """
     drawn = labelled_sample(labels, key, label, sample_rows).withColumnRenamed(key, "labelled_key")
     known = documents.select(F.col(key).alias("labelled_key"), F.col(text).alias("labelled_text")).filter(
         F.col("labelled_text").isNotNull()).join(F.broadcast(drawn), "labelled_key")
-    rows = text_statistics(known, "labelled_text").select("labelled_key", "label", "draw", *[
-        F.col(f"stats.{f}").cast("double").alias(f) for f in FEATURES
-    ]).toPandas().sort_values(["labelled_key", *FEATURES]).drop_duplicates("labelled_key")
+    features = F.struct(*[F.col(f"stats.{f}").cast("double").alias(f) for f in FEATURES])
+    rows = text_statistics(known, "labelled_text").groupBy("labelled_key", "label", "draw").agg(
+        F.min(features).alias("least")).select("labelled_key", "label", "draw", "least.*").toPandas().sort_values("labelled_key")
     bad = rows["label"].to_numpy() == 0
     if bad.all() or not bad.any():
         return DecisionList(())
