@@ -92,6 +92,7 @@ def without_boilerplate(
     hits = _lines(documents, key, site, text).filter("key is not null").join(spread, "line")
     marks = hits.groupBy(F.col("key").alias("mark_key")).agg(
         F.collect_set(F.struct("line", F.coalesce(F.col("key") == F.col("least"), F.lit(False)).alias("first"))).alias("marks"))
-    joined = documents.join(marks, F.col(key) == F.col("mark_key"), "left")
-    return joined.withColumn(out, _cut()(F.col(text), F.col("marks"))).select(
-        *[F.col(c) for c in documents.columns if c != out], out)
+    # References bound to their table, so that documents may have columns of any name.
+    joined = documents.join(marks, documents[key] == marks["mark_key"], "left")
+    return joined.select(
+        *[documents[c] for c in documents.columns if c != out], _cut()(documents[text], marks["marks"]).alias(out))

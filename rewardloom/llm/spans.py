@@ -170,7 +170,9 @@ def remove_repeated_spans(
     """
     runs = cut_lineage(repeated_runs(documents, key, text, window, seed), "runs").select(
         F.col("key").alias("run_key"), F.col("content").alias("run_content"), F.col("runs").alias("run_list"))
+    # References bound to their table, so that documents may have columns of any name.
     joined = documents.join(
-        runs, (F.col(key) == F.col("run_key")) & (F.xxhash64(F.col(text)) == F.col("run_content")), "left")
-    return joined.withColumn("spans", _rebuilt(window, digest)(F.col(text), F.col("run_list"))).select(
-        *[F.col(c) for c in documents.columns if c != "spans"], "spans")
+        runs, (documents[key] == runs["run_key"]) & (F.xxhash64(documents[text]) == runs["run_content"]), "left")
+    return joined.select(
+        *[documents[c] for c in documents.columns if c != "spans"],
+        _rebuilt(window, digest)(documents[text], runs["run_list"]).alias("spans"))

@@ -190,7 +190,6 @@ def judged_urls(pages: DataFrame, rules: list[Rule], models: UrlModels, url: str
     """
     host, path = host_and_path(F.col(url))
     scored = url_scores(pages, models, url).withColumns({"host": host, "path": path})
-    scored = scored.withColumn("_rule", longest_rule(rules, F.col("host"), F.col("path")))
+    fits = longest_rule(rules, F.col("host"), F.col("path"))
     method = F.when(F.col("score") >= models.limit, ALLOW).otherwise(BLOCK)
-    return scored.withColumns({
-        "rule": F.col("_rule.name"), "verdict": F.coalesce(F.col("_rule.verdict"), method)}).drop("_rule")
+    return scored.withColumns({"rule": fits["name"], "verdict": F.coalesce(fits["verdict"], method)})
