@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1024  # classes of a model; the driver trains and holds buckets times languages numbers
-_RUN = re.compile(r"[^\W\d_]+")  # runs of letters
+_RUN = re.compile(r"[^\W\d_]+")  # runs of letters, and of numbers that are no decimal digits
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _RUN.search(text) is not None
+    return bool(text) and any(any(map(str.isalpha, run.group())) for run in _RUN.finditer(text))
 
 
 def subword_rows(text: str, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +145,7 @@ def fit_languages(
     """Trains on a bounded sample: ``rows`` texts of each language at most, whole, as subword counts.
 
     The driver receives no texts; a text is at most ``buckets`` pairs of numbers.
+    More than ``MOST_LANGUAGES`` languages raise a ValueError.
     Only ``text`` and ``lang`` teach; ``key`` only draws the sample. Rows without a
     language or a letter are not used. A table without labels gives a model that
     knows no language.

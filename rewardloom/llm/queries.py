@@ -28,7 +28,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language.fit_languages(documents.filter(~held_out))
     judged = language.identified(documents.select("doc_id", "text"), model)
     return judged.select(

@@ -269,3 +269,22 @@ def test_chat_edges(spark):
     assert got[3].n_copies == 2 and got[3].n_turns == 2
     assert got[5].text == "<|im_start|>unknown\n<|im_end|>\n"
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_columns_may_carry_any_internal_name(spark):
+    names = ["mark_key", "marks", "run_key", "run_content", "run_list", "_rule", "line", "key", "content", "least"]
+    rows = [(k, f"shared line\nown {k} " + " ".join(f"w{i}" for i in range(60)), f"s{k}", "http://a.org/x", *range(10)) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, url string, " + ", ".join(f"{n} int" for n in names))
+    models = urls.fit_url_models(spark.createDataFrame([("http://a.org/x", True), ("http://b.com/y", False)], "url string, good boolean"))
+    for done in (lines.without_boilerplate(frame), spans.remove_repeated_spans(frame), urls.judged_urls(frame, queries.URL_RULES, models)):
+        got = done.select("doc_id", *names).collect()
+        assert sorted(r.doc_id for r in got) == list(range(12)) and all(tuple(r)[1:] == tuple(range(10)) for r in got)
+    cut = lines.without_boilerplate(frame).select("doc_id", "lines.n_removed").collect()
+    assert {r.doc_id: r.n_removed for r in cut} == {k: int(k > 0) for k in range(12)}
+    gone = spans.remove_repeated_spans(frame).select("doc_id", "spans.n_removed").collect()
+    assert {r.doc_id: r.n_removed for r in gone} == {k: 60 * (k > 0) for k in range(12)}
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(language.has_letter, ["²", "Ⅷ ½", "12 _", "", None]))
+    assert language.has_letter("² a") and language.has_letter("漢")
