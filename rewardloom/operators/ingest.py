@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,12 +227,20 @@ def encoder_inputs(query: Column, think: Column, answer: Column, lengths: tuple[
 
 
 def encode_text(df: DataFrame, column: str, size: int = 256, idf: bool = True) -> DataFrame:
-    """Hashed-token vectors of whole texts: TF, optional IDF, unit length."""
-    words = RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"[^\p{L}\p{N}]+").transform(df)
-    vectors = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
+    """Hashed-word vectors of whole texts: counts, inverse document frequencies, unit length.
+
+    A word's place is the number in its first four MD5 digits modulo ``size``, so that
+    any engine finds the same vector. Frequencies are fitted over all rows by one
+    aggregate of ``size`` numbers. A null text, or one without words, is a zero vector.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    place = lambda w: (F.conv(F.substr(F.md5(w), F.lit(1), F.lit(4)), 16, 10).cast("int") % size).cast("string")
+    placed = df.withColumn("_places", F.transform(words, place))
+    counter = CountVectorizerModel.from_vocabulary([str(n) for n in range(size)], inputCol="_places", outputCol="_tf")
+    vectors = counter.transform(placed)
     source = "_tf"
     if idf:
         vectors = IDF(inputCol="_tf", outputCol="_idf").fit(vectors).transform(vectors)
         source = "_idf"
     scaled = Normalizer(inputCol=source, outputCol="_unit").transform(vectors)
-    return scaled.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
+    return scaled.withColumn("embedding", vector_to_array("_unit")).drop("_places", "_tf", "_idf", "_unit")

@@ -1,7 +1,8 @@
 """All registered queries; importing the modules fills the registry."""
 
 from rewardloom.plans import (  # noqa: F401
-    queries_graph, queries_ingest, queries_metrics, queries_reward, queries_stream, queries_tables, queries_text,
+    queries_graph, queries_ingest, queries_metrics, queries_models, queries_reward, queries_stream, queries_tables,
+    queries_text,
 )
 from rewardloom.plans.registry import ORACLES, QUERIES
 

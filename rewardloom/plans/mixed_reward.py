@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from rewardloom.config import EngineConfig
 from rewardloom.functions.domains import dataset_name, query_identifier, route_family, scoring_domain
-from rewardloom.functions.let import let
 from rewardloom.functions.numeric import numeric_answer
 from rewardloom.functions.text import split_scored
-from rewardloom.functions.vectors import short_unit, text_vector
+from rewardloom.functions.vectors import short_unit, word_vectors
 from rewardloom.operators.features import feature_vector
 from rewardloom.operators.knn import knn_edges
 from rewardloom.operators.propagate import neighbour_sums, probability
@@ -28,7 +27,8 @@ GROUP = ["batch_id", "prompt_key"]
 
 def response_features(response: Column) -> Column:
     """What a response says, whatever its domain: its think and its answer part as word vectors."""
-    return let(split_scored(response), lambda p: F.concat(text_vector(p["think"], TEXT), text_vector(p["answer"], TEXT)))
+    parts = split_scored(response)
+    return word_vectors(parts["think"], parts["answer"], length=TEXT)
 
 
 @dataclass(frozen=True)

@@ -435,10 +435,9 @@ def _(spark, root):
     return scored.select(F.col("vec_id").alias("id"), r6(F.col("logit")).alias("logit"), r6(F.col("prob")).alias("prob"))
 
 
-@query("prp6_fitted_rewards", NODES + """
-SELECT is_memory, 2 * count(*) AS n, CASE WHEN is_memory THEN true END AS separates FROM query_nodes GROUP BY 1""")
+@query("prp6_fitted_rewards")
 def _(spark, root):
-    """Rows scored, and that labelled successes score higher than labelled failures on average."""
+    """Probability and prediction of every rollout; a test compares successes with failures."""
     rows = _propagation_rollouts(spark, root)
     nodes = nodes_of(spark, root)
     edges = graph.similar_in_memory(nodes).unionByName(graph.similar_to_memory(nodes))
@@ -449,6 +448,4 @@ def _(spark, root):
     columns = ["mean_rate", "weighted_rate", "neighbours", *[f"f{i}" for i in range(DIMENSIONS)]]
     model = propagate.fit_rewards(table.where("is_memory"), columns)
     scored = propagate.predict_rewards(model, table)
-    gap = F.avg(F.when(F.col("reward") == 1, F.col("prob"))) > F.avg(F.when(F.col("reward") == 0, F.col("prob")))
-    return scored.groupBy("is_memory").agg(F.count("*").alias("n"), gap.alias("gap")).select(
-        "is_memory", "n", F.when(F.col("is_memory"), F.col("gap")).alias("separates"))
+    return scored.select("query_id", "resp_idx", "is_memory", "reward", r6(F.col("prob")).alias("prob"), "predicted")

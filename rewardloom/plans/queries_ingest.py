@@ -12,7 +12,7 @@ from rewardloom.functions import prompts
 from rewardloom.functions.text import split_scored
 from rewardloom.operators import ingest
 from rewardloom.operators.routing import entry
-from rewardloom.plans.registry import ROLLOUTS, ctes, query
+from rewardloom.plans.registry import ROLLOUTS, ctes, query, r6
 from rewardloom.schema import EXTRA_INFO, QUERY
 from rewardloom.session import shared_folder
 from rewardloom.sources import feeds, readers, writers
@@ -474,12 +474,20 @@ def _(spark, root):
     return rows.select("doc_id", *ingest.encoder_inputs(F.col("text"), F.col("p.think"), F.col("p.answer")))
 
 
-@query("ing18_encode_text", """
-SELECT doc_id, CAST(64 AS INTEGER) AS dim, 1.0::DOUBLE AS squared_norm, CAST(1 AS BIGINT) AS vectors_of_text FROM documents""")
+_ING18_PLACES = """
+WITH words AS (
+  SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))), 1, 4) AS BIGINT) % 64 AS place FROM documents),
+tf AS (SELECT doc_id, place, count(*) AS n FROM words GROUP BY ALL),
+idf AS (SELECT place, ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1.0::DOUBLE)) AS idf FROM tf GROUP BY place),
+weighed AS (SELECT doc_id, place, n * idf AS x FROM tf JOIN idf USING (place))
+"""
+
+
+@query("ing18_encode_text", _ING18_PLACES + """
+SELECT doc_id, CAST(place AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) + 0.0::DOUBLE AS weight
+FROM weighed QUALIFY sum(x * x) OVER (PARTITION BY doc_id) > 0 AND x <> 0""")
 def _(spark, root):
-    """Length, norm, and that equal texts share one vector; the hash itself is the library's."""
-    rows = ingest.encode_text(docs(spark, root).select("doc_id", "text"), "text", 64, idf=False)
-    rows = rows.withColumns({"of_text": F.xxhash64("text"), "vector": F.xxhash64("embedding")})
-    kinds = rows.groupBy("of_text").agg(F.count_distinct("vector").alias("vectors_of_text"))
-    return rows.join(kinds, "of_text").select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate(
-        "embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_norm"), "vectors_of_text")
+    """Every place of every document's vector, with document frequencies fitted over the whole table."""
+    rows = ingest.encode_text(docs(spark, root).select("doc_id", "text"), "text", 64)
+    return rows.select("doc_id", F.posexplode("embedding").alias("place", "x")).where("x <> 0").select(
+        "doc_id", "place", r6(F.col("x")).alias("weight"))
