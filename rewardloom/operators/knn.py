@@ -312,9 +312,15 @@ def knn_edges(sources: DataFrame, candidates: DataFrame, k: int, *, exclude: str
     limit = max(1, config.broadcast_bytes // row_bytes)
     small = None
     if probes is None:
-        head = cand.select("id", "grp", "dom", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "vec")
-        taken = head.limit(limit + 1).toPandas()
-        small = taken if len(taken) <= limit else None
+        # Counted before anything is taken: by rows where that is enough, else by what copies leave.
+        fits = candidates.count() <= limit
+        if not fits:
+            cand = cut_lineage(cand, "candidates")
+            fits = cand.count() <= limit
+        if fits:
+            small = cand.select("id", "grp", "dom", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "vec").toPandas()
+    else:
+        cand = cut_lineage(cand, "candidates")
 
     join_keys = ["h1", "h2", "dom", "grp"] if by_group else ["h1", "h2", "dom"]
     if small is not None:
@@ -346,18 +352,23 @@ def approximate_edges(sources: DataFrame, candidates: DataFrame, k: int, probes:
     return knn_edges(sources, candidates, k, probes=probes, **options)
 
 
-def edges_for_recall(sources: DataFrame, candidates: DataFrame, exact: DataFrame, k: int, target: float = 0.9,
-                     probes: int = 8, **options) -> tuple[DataFrame, int]:
-    """Approximate edges that hold ``target`` of the ``exact`` ones, and the probes they took.
+def edges_for_recall(sources: DataFrame, candidates: DataFrame, k: int, target: float = 0.9, probes: int = 8,
+                     sample: int = 1000, **options) -> tuple[DataFrame, int]:
+    """Approximate edges of all sources that hold about ``target`` of the exact ones, and the probes they took.
 
     The share of cells that a fixed number of probes opens falls as cells grow, so
-    probes are doubled until the measured recall is enough; with all cells open it is 1.
+    probes are doubled until the recall is enough, measured over ``sample`` sources
+    drawn by hash; with all cells open it is 1. Then all sources are searched once.
     """
-    while True:
-        found = cut_lineage(approximate_edges(sources, candidates, k, probes, **options), "approximate")
-        if probes > MAX_PIVOTS or recall(exact, found).first()["recall"] >= target:
-            return found, probes
+    tried = cut_lineage(sources.orderBy(F.xxhash64("id", F.lit("probes")), "id").limit(sample), "sample")
+    exact = cut_lineage(knn_edges(tried, candidates, k, **options), "exact")
+    while probes <= MAX_PIVOTS:
+        found = approximate_edges(tried, candidates, k, probes, **options)
+        share = recall(exact, found).first()["recall"]
+        if share is None or share >= target:
+            break
         probes *= 2
+    return cut_lineage(approximate_edges(sources, candidates, k, probes, **options), "approximate"), probes
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

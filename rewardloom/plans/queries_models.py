@@ -7,8 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from rewardloom.functions.vectors import unit
-from rewardloom.operators import graph, ranking_fit
+from rewardloom.operators import descent, graph, ranking_fit
 from rewardloom.operators.attention import EdgeWeights, attention_layer
 from rewardloom.operators.external import external_reward
 from rewardloom.operators.spreading import spread_rewards
@@ -16,6 +15,7 @@ from rewardloom.plans.queries_graph import (
     _EDGES, _RSIMS, NODES, RNODES, SIMS, exploded, nodes_of, rollout_nodes_of, two_type_edges, vectors_of,
 )
 from rewardloom.plans.registry import ROLLOUTS, ctes, query, r6
+from rewardloom.session import cut_lineage
 from rewardloom.sources import feeds
 
 # --- ranking loss ------------------------------------------------------------
@@ -135,3 +135,16 @@ def _(spark, root):
     rows = feeds.rollouts(spark, root).withColumn("extra_info", F.col("query_id").cast("string"))
     scored = external_reward(rows, agreement, [F.col("query_id")])
     return scored.select(F.col("group_key.k0").alias("query_id"), "resp_idx", r6(F.col("reward")).alias("reward"), "error")
+
+
+# --- neighbour graph by descent --------------------------------------------------
+
+
+@query("grf14_descent_recall")
+def _(spark, root):
+    """Across-query neighbours found by descent over all nodes, and their recall on sampled sources; tests ask for 0.9."""
+    nodes = rollout_nodes_of(spark, root)
+    edges, rounds = descent.descent_edges(nodes, 5, group="query_id")
+    edges = cut_lineage(edges, "descent")
+    measured = descent.sampled_recall(nodes, edges, 5, group="query_id")
+    return measured.withColumns({"edges": F.lit(edges.count()), "rounds": F.lit(rounds)})

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from rewardloom.config import EngineConfig
-from rewardloom.operators import graph, knn
+from rewardloom.operators import descent, graph, knn
 
 BLOCKS = EngineConfig(broadcast_bytes=1, block_rows=16)
 
@@ -68,8 +68,39 @@ def test_probes_grow_until_recall_is_enough(spark):
     share = lambda found: knn.recall(exact, found).first()["recall"]
     options = {"exclude": "self", "config": EngineConfig(block_rows=64)}
     assert share(knn.approximate_edges(nodes, nodes, 4, **options)) < 0.9
-    found, probes = knn.edges_for_recall(nodes, nodes, exact, 4, **options)
+    found, probes = knn.edges_for_recall(nodes, nodes, 4, **options)
     assert probes > 8 and share(found) >= 0.9
+    sampled, tried = knn.edges_for_recall(nodes, nodes, 4, sample=60, **options)
+    assert tried >= 8 and share(sampled) >= 0.8
+
+
+def test_descent_finds_neighbours_in_many_dimensions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(i) // 4, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 64)))]
+    rows += [(600 + i, 1000 + i, rows[0][2]) for i in range(40)]  # a vector that everybody near it names
+    nodes = spark.createDataFrame(rows, "id bigint, query_id bigint, embedding array<double>")
+    found, rounds = descent.descent_edges(nodes, 5, group="query_id")
+    found = found.cache()
+    assert 1 < rounds <= 12 and found.groupBy("src").count().where("count > 5").count() == 0
+    exact = knn.knn_edges(nodes, nodes, 5, exclude="group", group="query_id")
+    worst = {}
+    for s, _, x in got(exact):
+        worst[s] = min(x, worst.get(s, 1.0))
+    right = sum(x >= worst[s] - 1e-9 for s, _, x in got(found))  # ties between copies count alike
+    assert right >= 0.9 * exact.count()
+    owners = {r[0]: r[1] for r in rows}
+    assert all(owners[s] != owners[d] for s, d, _ in got(found))
+    measured = descent.sampled_recall(nodes.where("id < 600"), knn.knn_edges(
+        nodes.where("id < 600"), nodes.where("id < 600"), 5, exclude="group", group="query_id"), 5, 100, "query_id").first()
+    assert measured["exact_edges"] == 500 and measured["recall"] == 1
+
+
+def test_descent_on_tiny_tables(spark):
+    nodes = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, None, [0.0, 1.0])], "id bigint, query_id bigint, embedding array<double>")
+    edges, _ = descent.descent_edges(nodes, 3, group="query_id")
+    assert {(s, d) for s, d, _ in got(edges)} == {(1, 2), (2, 1)}
+    assert descent.descent_edges(nodes.limit(1), 3)[0].count() == 0
+    assert descent.descent_edges(nodes.limit(0), 3)[0].count() == 0
 
 
 def test_recall_query_reports_figures(spark, root):
