@@ -9,7 +9,7 @@ from rewardloom.plans.queries_reward import IS_QA, MIXED_SQL, duck_math_correct
 from rewardloom.plans.queries_text import duck_boxed, duck_hash_answer, duck_letter
 from rewardloom.plans.registry import ROLLOUTS, query, r6
 from rewardloom.sources import feeds
-from rewardloom.streaming import scoring as streams
+from rewardloom.streaming import outcomes, scoring as streams
 
 
 def rollout_stream(spark, root):
@@ -63,3 +63,38 @@ SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS source, c
 def _(spark, root):
     rates = streams.latest_state(streams.reward_rate(event_stream(spark, root)), "rate", ["window_start", "source"])
     return rates.withColumn("rate", r6(F.col("rate"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_OUTCOMES = """
+SELECT event_id AS resp_idx, user_id AS query_id, CAST(ts AS TIMESTAMP) AS ts,
+  CAST(ts AS TIMESTAMP) + to_minutes(CAST(event_id % 20 - 3 AS BIGINT)) AS outcome_ts, value > 50 AS passed,
+  event_id % 7 <> 0 AND event_id % 20 BETWEEN 3 AND 13 AS counts FROM events"""
+
+
+@query("stm1_outcome_join", f"""
+SELECT resp_idx, query_id, CASE WHEN counts AND passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, counts AS has_outcome FROM ({_OUTCOMES})""")
+def _(spark, root):
+    """Events as rollouts, and a second stream of their outcomes: some early, some past the timeout, a seventh missing.
+
+    Each stream comes in several files and ends with a far heartbeat, which lets the
+    watermark pass every timeout.
+    """
+    rows = feeds.shape_events(feeds.table(spark, root, "events")).select("resp_idx", "query_id", "ts", "reward")
+    minutes = F.make_interval(mins=(F.col("resp_idx") % 20 - 3).cast("int"))
+    tests = rows.where("resp_idx % 7 <> 0").select(
+        "resp_idx", "query_id", (F.col("ts") + minutes).alias("ts"), (F.col("reward") == 1).alias("passed"))
+    joined = outcomes.outcome_rewards(
+        _in_files(rows.drop("reward"), -1), _in_files(tests, -2), ["resp_idx", "query_id"], delay="40 days")
+    drained = streams.append_to_table(joined, "outcomes").where("resp_idx >= 0")
+    return drained.select("resp_idx", "query_id", "reward", F.col("outcome_ts").isNotNull().alias("has_outcome"))
+
+
+def _in_files(rows, last_id):
+    """A stream over files of the rows, closed by one row 90 days after them."""
+    folder = streams.new_folder(rows, "stream-files")
+    rows.repartition(3, "resp_idx").write.parquet(folder)
+    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).select(
+        *[F.lit(last_id).cast(t).alias(c) if c in ("resp_idx", "query_id") else F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c)
+          for c, t in rows.dtypes])
+    beat.write.mode("append").parquet(folder)
+    return feeds.stream_of(rows.sparkSession, folder, files_per_batch=3)

@@ -102,3 +102,25 @@ def test_redelivered_rows_are_dropped(spark, parts):
     again = feeds.shape_events(feeds.stream_of(spark, parts))
     kept = streams.append_to_table(streams.drop_redelivered(once.unionByName(again), ["query_id", "resp_idx"], "40 days"), "d")
     assert kept.count() == spark.read.parquet(parts).count()
+
+
+def test_outcomes_late_missing_and_double(spark, tmp_path):
+    """Files arrive one by one; a last far row moves the watermark past every timeout."""
+    from rewardloom.streaming.outcomes import outcome_rewards
+
+    def arrive(name, batches, schema):
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).selectExpr("id", "to_timestamp((minute + 100000) * 60) AS ts", *["passed"] * ("passed" in schema)).coalesce(
+                1).write.mode("append").parquet(str(tmp_path / name))
+        return feeds.stream_of(spark, str(tmp_path / name), "part-*.parquet", files_per_batch=1)
+
+    rollouts = arrive("rollouts", [[(1, 0), (2, 0), (3, 1), (4, 2)], [(5, 50)], [(6, 51)], [(99, 10000)]], "id long, minute long")
+    tests = arrive("tests", [[(1, 5, True), (1, 6, False), (2, 5, False)], [(4, 30, True)], [(5, 52, True), (6, 40, True)], [(98, 10000, True)]],
+                   "id long, minute long, passed boolean")
+    out = streams.append_to_table(outcome_rewards(rollouts, tests, ["id"]), "outcomes").collect()
+    got = {r.id: (r.reward, r.outcome_ts is not None) for r in out}
+    assert len(out) == len(got)
+    assert got == {1: (1.0, True), 2: (0.0, True), 3: (0.0, False), 4: (0.0, False), 5: (1.0, True), 6: (0.0, False)}
+    batch = outcome_rewards(
+        spark.read.parquet(str(tmp_path / "rollouts")), spark.read.parquet(str(tmp_path / "tests")), ["id"]).collect()
+    assert {r.id: (r.reward, r.outcome_ts is not None) for r in batch if r.id != 99} == got
