@@ -1,4 +1,8 @@
-"""Removal of long passages that repeat across documents, over a compacted De Bruijn graph of words."""
+"""Removal of long passages that repeat across documents, over stretches of words that share a smallest run.
+
+The stretches stand in for the compacted paths of a De Bruijn graph: they are cut
+inside a text, without rows for single k-mers and joins that merge them.
+"""
 
 from __future__ import annotations
 
@@ -114,7 +118,7 @@ def repeated_runs(
 ) -> DataFrame:
     """Windows that also start in a document of a smaller key: ``key, content, runs``.
 
-    Edges of the graph are ``window``-word runs of the texts. Edges that share
+    Edges are ``window``-word runs of the texts. Edges that share
     their smallest ``seed``-word run travel as one stretch. Where every document
     with that seed has the very same stretch, the path does not branch, and one
     smallest key holds for all its edges: it is compacted to one row. Only where
