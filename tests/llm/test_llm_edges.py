@@ -48,7 +48,7 @@ def test_window_hashes_follow_the_words():
 
 
 def test_decontamination_edges(docs, none, benchmark):
-    rows = decontaminate.contamination(docs, benchmark, part_bytes=8).collect()
+    rows = decontaminate.contamination(docs, benchmark, part_words=8).collect()
     whole = decontaminate.contamination(docs, benchmark).collect()
     key = lambda r: (str(r.doc_id), str(r.text)[:20])
     assert sorted((key(r), r.hits) for r in rows) == sorted((key(r), r.hits) for r in whole)
@@ -64,6 +64,49 @@ def test_decontamination_edges(docs, none, benchmark):
     assert decontaminate.contamination(docs, benchmark.limit(0)).filter("hits.contaminated").count() == 0
 
 
+def test_automaton_finds_all_windows():
+    import numpy as np
+
+    def brute(items, text, window):
+        hit, found = np.zeros(len(text), bool), set()
+        for name, item in items:
+            size = min(window, len(item))
+            windows = {tuple(item[i:i + size]) for i in range(len(item) - size + 1)} if item else ()
+            for i in range(len(text) - size + 1):
+                if tuple(text[i:i + size]) in windows:
+                    hit[i:i + size] = True
+                    found.add(name)
+        return hit, found
+
+    for seed in range(150):
+        draw = random.Random(seed)
+        window, most = draw.choice([1, 2, 4, 5, 13]), draw.choice([13, 20, 1 << 16])
+        word = lambda n: [b"w%d" % draw.randrange(n) for _ in range(draw.randrange(40))]
+        kinds = draw.choice([2, 8, 50])
+        items = [(str(k), word(kinds)) for k in range(draw.randrange(8))]
+        pieces_of = [(p, [n]) for n, w in items for p in decontaminate.item_pieces(b" ".join(w).decode(), window, most)]
+        automaton = decontaminate.Automaton([p for p, _ in pieces_of], [n for _, n in pieces_of], window)
+        for _ in range(4):
+            text = word(kinds + 2)
+            for _, item in items:
+                a = draw.randrange(len(item) + 1)
+                text += item[a:a + draw.randrange(30)] + word(kinds + 2)[:3]
+            hit, found = np.zeros(len(text), bool), set()
+            automaton.mark(text, hit, found)
+            want = brute(items, text, window)
+            assert (hit == want[0]).all() and found == want[1]
+
+
+def test_a_large_benchmark_is_one_pass(spark, docs):
+    frame = spark.range(4000).select(
+        F.col("id").alias("item_id"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("q"), F.xxhash64("id", i))), " ").alias("text"))
+    frame = frame.union(spark.createDataFrame([(9000, " ".join(LONG.split()[500:540]))], "item_id long, text string"))
+    judged = decontaminate.contamination(docs, frame)
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.hits["items"] for r in judged.filter("doc_id = 5").collect()] == [["9000"]]
+
+
 def test_spans_equal_brute_force(spark, docs, none):
     got = spans.remove_repeated_spans(docs).select("doc_id", "text", "spans").collect()
     assert len(got) == docs.count()
