@@ -135,8 +135,8 @@ def _reached(count: int, linked: Callable[[int], np.ndarray]) -> np.ndarray:
     return root
 
 
-def _bucket_edges(least: float) -> Callable:
-    """Edges from each row of a bucket to the smallest id of its component.
+def _bucket_edges(least: float, keys: list[str]) -> Callable:
+    """Edges from each row of a bucket (rows of equal ``keys``) to the smallest id of its component.
 
     A group of near copies meets in many buckets; its smallest id is in most of
     them, so that most edges are the same ones.
@@ -145,7 +145,7 @@ def _bucket_edges(least: float) -> Callable:
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for rows in _groups(batches, ["path", "part"]):
+        for rows in _groups(batches, keys):
             rows = rows.sort_by("id")
             ids = rows.column("id").to_numpy()
             sketches = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in rows.column("sketch")])
@@ -256,21 +256,52 @@ def more_runs(recall: float, similarity: float, runs: int, depth: int) -> int:
     return more
 
 
+def _alike(rows: DataFrame, group: str, sketches: DataFrame, close: float, bucket_rows: int) -> DataFrame:
+    """Edges (a, b) inside each group of ``n`` rows whose sketches agree by ``close``; large groups in pairs of parts."""
+    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
+    own = F.pmod(F.xxhash64(group, "id"), parts).cast("int")
+    # A row of part p meets part q in the pair (min, max), numbered as one whole number.
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(own, q).cast("long") * parts + F.greatest(own, q))
+    spread = rows.select(group, "id", F.explode(F.when(parts > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+    near = spread.join(sketches, "id").repartition(group, "part").sortWithinPartitions(group, "part")
+    return near.mapInArrow(_bucket_edges(close, [group, "part"]), "a long, b long")
+
+
+def _close(similarity: float) -> float:
+    """Share of coordinates in which the sketches of a linked pair agree at least (four standard errors)."""
+    return similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+
+
+def _refined(component: DataFrame, sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """Components (id, component) of over ``bucket_rows`` sets, cut into those connected by alike sketches.
+
+    Sets that met a common pivot need not be alike themselves; sketches of fixed size
+    tell it, so that the sets themselves are read and compared only among near copies.
+    """
+    large = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows)
+    placed = cut_lineage(component.join(large, "component"), "large")
+    if not placed.limit(1).count():
+        return component
+    finer = connected_components(_alike(placed, "component", sets.select("id", "sketch"), _close(similarity), bucket_rows))
+    small = component.join(placed.select("id"), "id", "left_anti")
+    return small.unionByName(finer.withColumnRenamed("label", "component"))
+
+
 def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_rows: int, deepest: int) -> DataFrame:
     """Pairs (a, b) that connect all sets which share a bucket and whose sketches are alike.
 
     Buckets of one row end. Those of up to ``bucket_rows`` are compared in one task.
     Larger ones meet a pivot first: rows close to it (the core) are connected
     through it and leave; rows that may still be linked to the core are connected
-    too, and stay with the rest, which is split on. By the triangle inequality of
-    the Jaccard distance no other row is linked to the core. What is large even at
+    too, unless the pivot is all of it, and stay with the rest, which is split on. By
+    the triangle inequality of the Jaccard distance no other row is linked to the core,
+    and none that is not close is linked to the pivot itself. What is large even at
     the deepest level is compared in pairs of parts. Sets that are split past SHALLOW
     get more runs, as many as the depth reached asks for.
     """
     runs = first_runs(recall, similarity)
-    error = math.sqrt(similarity * (1 - similarity) / COORDINATES)
-    close = similarity - 4 * error                       # sketches of a linked pair agree at least so much
-    ring = max(1 - (1 - close) - (1 - similarity) - 4 * error, 0.05)
+    close = _close(similarity)
+    ring = max(close - (1 - similarity) - (similarity - close), 0.05)
     split = _children(similarity)
     sketches = sets.select("id", "sketch")
     leaves, edges = [], []
@@ -294,9 +325,11 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
             met = cut_lineage(met.withColumn(
                 "alike", F.arrow_udf(_agreement, "double", F.ArrowUDFType.SCALAR_ITER)("sketch", "center")
             ).drop("center"), "met")
-            edges.append(met.filter((F.col("alike") >= ring) & (F.col("id") != F.col("pivot"))).select(
-                F.col("id").alias("a"), F.col("pivot").alias("b")))
+            others = met.filter(F.col("id") != F.col("pivot"))
             rest = met.filter(F.col("alike") < close)
+            core = others.filter(F.col("alike") >= close)
+            around = rest.filter(F.col("alike") >= ring).join(core.select("path").distinct(), "path", "left_semi")
+            edges.append(core.unionByName(around).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
             if depth == SHALLOW:
                 deep = rest.select("id").distinct()
             rows = rest.select("id", F.explode(split(F.array("path"), F.col("sketch"))).alias("path"))
@@ -309,14 +342,7 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
         while done < wanted:
             reached = max(reached, descend(again, done, wanted)[0])
             done, wanted = wanted, runs + more_runs(recall, similarity, runs, reached)
-    leaf = reduce(DataFrame.union, leaves)
-    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
-    own = F.pmod(F.xxhash64("path", "id"), parts).cast("int")
-    # A row of part p meets part q in the pair (min, max), numbered as one whole number.
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(own, q).cast("long") * parts + F.greatest(own, q))
-    spread = leaf.select("path", "id", F.explode(F.when(parts > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
-    near = spread.join(sketches, "id").repartition("path", "part").sortWithinPartitions("path", "part")
-    edges.append(near.mapInArrow(_bucket_edges(close), "a long, b long"))
+    edges.append(_alike(reduce(DataFrame.union, leaves), "path", sketches, close, bucket_rows))
     return reduce(DataFrame.union, edges).distinct()
 
 
@@ -332,30 +358,33 @@ def near_duplicates(
     smallest key of those connected to it by links, itself included.
 
     Documents with equal sets count as one with a multiplicity. Chosen paths over
-    MinHash sketches gather candidates, their components are found by joins, and
-    inside each component every pair is compared once and exactly, in blocks of
-    about ``block_shingles`` hashes; links are counted there and never listed. A
+    MinHash sketches gather candidates, their components are found by joins, large ones
+    are cut where sketches are not alike, and inside each component every pair is
+    compared once and exactly, in blocks of about ``block_shingles`` hashes; links are counted there and never listed. A
     missed pair costs a link only if no other path of candidates connects the two.
 
     Texts without words link to nothing. Rows of one key are documents of their
-    own. A null key stays null and names no class. Other columns are not read.
+    own. A null key stays null and names no class, but its row links and connects like
+    others. Other columns are not read.
     """
-    named = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     members = cut_lineage(
-        named.withColumn("s", _sketched(shingle)(F.col("text"))).select("key", "s.*"), "sketches")
+        named.withColumn("s", _sketched(shingle)(F.col("text"))).select("key", "text_hash", "s.*"), "sketches")
+    # One row stands for a set: its least key, or a null one, with the hash of the text, as a key may have many rows.
     sets = members.filter("size > 0").groupBy("high", "low").agg(
-        F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
-        F.first("sketch").alias("sketch"))
+        F.min("key").alias("least"), F.coalesce(F.min_by("text_hash", "key"), F.min("text_hash")).alias("text_hash"),
+        F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     sets = cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     edges = _candidate_edges(sets, similarity, recall, bucket_rows, deepest)
     component = connected_components(edges).withColumnRenamed("label", "component")
+    component = _refined(component, sets, similarity, bucket_rows)
 
-    wanted = sets.join(component, "id").select("id", "component", "copies", "size", "high", "low", "least")
+    wanted = sets.join(component, "id").select("id", "component", "copies", "size", "high", "low", "least", "text_hash")
     weights = wanted.groupBy("component").agg(
         F.ceil(F.greatest(F.sum("size") / block_shingles, F.count(F.lit(1)) / bucket_rows)).cast("int").alias("blocks"))
     wanted = wanted.join(weights, "component")
-    chosen = named.join(wanted.withColumnRenamed("least", "key"), "key").withColumn(
-        "s", _shingled(shingle)(F.col("text"), F.col("id")))
+    chosen = named.join(wanted, (named["text_hash"] == wanted["text_hash"]) & named["key"].eqNullSafe(wanted["least"]))
+    chosen = chosen.withColumn("s", _shingled(shingle)(F.col("text"), F.col("id")))
     chosen = chosen.filter("s.high = high and s.low = low").select("id", "component", "copies", "blocks", "s.shingles")
     chosen = cut_lineage(chosen.dropDuplicates(["id"]), "candidates")
 

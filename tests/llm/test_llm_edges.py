@@ -160,6 +160,38 @@ def test_near_duplicates_in_small_buckets_and_blocks(spark, none):
     assert [tuple(r) for r in null_key.orderBy("n_links").collect()] == [(None, None, 0)] * 2
 
 
+def test_null_and_repeated_keys_link(spark):
+    base = [f"v{i}" for i in range(60)]
+    edited = lambda n: " ".join([*base[:-1], f"e{n}"])
+    rows = [(1, " ".join(base)), (None, edited(1)), (None, edited(1)), (None, "other " * 9), (2, "far away"),
+            *[(3, " ".join(f"z{k}_{i}" for i in range(30))) for k in range(20)], (3, edited(2))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    count = lambda k: sorted((r.class_id, r.n_links) for r in got if r.doc_id == k)
+    assert count(1) == [(1, 3)] and count(2) == [(2, 0)]
+    assert count(3) == [(1, 3)] + [(3, 0)] * 20
+    assert sorted(r.n_links for r in got if r.doc_id is None) == [0, 3, 3]
+
+
+def test_sets_on_one_template_are_not_compared(spark):
+    draw = random.Random(4)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for k in range(1500):  # three fifths of the words shared: a similarity of about 0.43
+        if k % 50 == 1:
+            rows.append((k, rows[-1][1] + " more"))  # a near copy of the one before
+        else:
+            rows.append((k, " ".join(template + [f"o{k}_{i}" for i in range(draw.randrange(60, 70))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: (k - 1, 1) if k % 50 == 1 else (k, int(k % 50 == 0)) for k, _ in rows}
+    got = near.near_duplicates(frame, bucket_rows=64).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+    sets = frame.select(F.col("doc_id").alias("id"), near._sketched(5)("text").alias("s")).select("id", "s.sketch")
+    edges = near._candidate_edges(sets, 0.8, 0.999, 64, 8)
+    whole = components.connected_components(edges).withColumnRenamed("label", "component")
+    sizes = near._refined(whole, sets, 0.8, 64).groupBy("component").count()
+    assert sizes.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0] <= 60  # pairs compared exactly
+
+
 def test_shared_counts_and_runs():
     import numpy as np
 
