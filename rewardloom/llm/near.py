@@ -272,13 +272,18 @@ def _close(similarity: float) -> float:
     return similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
 
 
-def _refined(component: DataFrame, sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+def _refined(component: DataFrame, unsure: list[DataFrame], sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
     """Components (id, component) of over ``bucket_rows`` sets, cut into those connected by alike sketches.
 
-    Sets that met a common pivot need not be alike themselves; sketches of fixed size
-    tell it, so that the sets themselves are read and compared only among near copies.
+    Sets around a core (ids in ``unsure``) need not be alike to any in it; sketches of
+    fixed size tell it, so that sets are read and compared only among near copies. A
+    component without such sets is connected by alike sketches already.
     """
+    if not unsure:
+        return component
+    met = component.join(reduce(DataFrame.union, unsure), "id", "left_semi").select("component").distinct()
     large = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows)
+    large = large.join(met, "component", "left_semi")
     placed = cut_lineage(component.join(large, "component"), "large")
     if not placed.limit(1).count():
         return component
@@ -287,8 +292,10 @@ def _refined(component: DataFrame, sets: DataFrame, similarity: float, bucket_ro
     return small.unionByName(finer.withColumnRenamed("label", "component"))
 
 
-def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_rows: int, deepest: int) -> DataFrame:
-    """Pairs (a, b) that connect all sets which share a bucket and whose sketches are alike.
+def _candidate_edges(
+    sets: DataFrame, similarity: float, recall: float, bucket_rows: int, deepest: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) that connect all sets which share a bucket and whose sketches are alike; ids connected for caution.
 
     Buckets of one row end. Those of up to ``bucket_rows`` are compared in one task.
     Larger ones meet a pivot first: rows close to it (the core) are connected
@@ -304,7 +311,7 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
     ring = max(close - (1 - similarity) - (similarity - close), 0.05)
     split = _children(similarity)
     sketches = sets.select("id", "sketch")
-    leaves, edges = [], []
+    leaves, edges, unsure = [], [], []
 
     def descend(start: DataFrame, first: int, last: int) -> tuple[int, DataFrame | None]:
         """Runs ``first`` to ``last`` over the sets of ``start``: the depth reached, the ids split past SHALLOW."""
@@ -329,6 +336,7 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
             rest = met.filter(F.col("alike") < close)
             core = others.filter(F.col("alike") >= close)
             around = rest.filter(F.col("alike") >= ring).join(core.select("path").distinct(), "path", "left_semi")
+            unsure.append(around.select("id"))
             edges.append(core.unionByName(around).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
             if depth == SHALLOW:
                 deep = rest.select("id").distinct()
@@ -343,7 +351,7 @@ def _candidate_edges(sets: DataFrame, similarity: float, recall: float, bucket_r
             reached = max(reached, descend(again, done, wanted)[0])
             done, wanted = wanted, runs + more_runs(recall, similarity, runs, reached)
     edges.append(_alike(reduce(DataFrame.union, leaves), "path", sketches, close, bucket_rows))
-    return reduce(DataFrame.union, edges).distinct()
+    return reduce(DataFrame.union, edges).distinct(), unsure
 
 
 def near_duplicates(
@@ -375,9 +383,9 @@ def near_duplicates(
         F.min("key").alias("least"), F.coalesce(F.min_by("text_hash", "key"), F.min("text_hash")).alias("text_hash"),
         F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     sets = cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    edges = _candidate_edges(sets, similarity, recall, bucket_rows, deepest)
+    edges, unsure = _candidate_edges(sets, similarity, recall, bucket_rows, deepest)
     component = connected_components(edges).withColumnRenamed("label", "component")
-    component = _refined(component, sets, similarity, bucket_rows)
+    component = _refined(component, unsure, sets, similarity, bucket_rows)
 
     wanted = sets.join(component, "id").select("id", "component", "copies", "size", "high", "low", "least", "text_hash")
     weights = wanted.groupBy("component").agg(
