@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class EngineConfig:
     """Settings of the graph and scoring jobs.
 
-    The two sizes at the bottom bound what one task or one broadcast may hold;
+    The sizes at the bottom bound what one task or one broadcast may hold;
     they choose between physical strategies and never change a result.
     """
 
@@ -18,4 +18,5 @@ class EngineConfig:
     threshold: float = 0.5           # probability above which a reward is 1
     strict_zero: bool = False        # treat a consensus of 0.0 as a real consensus
     broadcast_bytes: int = 64 << 20  # largest candidate matrix sent to every task
-    block_rows: int = 16384          # rows per side in one block-join task
+    block_rows: int = 16384          # most vectors in one block of a block join
+    strip_bytes: int = 64 << 20      # sources that a task of a block join holds

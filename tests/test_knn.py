@@ -139,3 +139,19 @@ def test_clique_means_match_pairs(spark):
             size = lambda v: np.linalg.norm(v) or 1.0
             sims = [np.dot(me[1], o[1]) / size(me[1]) / size(o[1]) for o in others]
             assert means[me[0]]["mean_sim"] == pytest.approx(np.mean(sims), abs=1e-9)
+
+
+def test_blocks_are_not_dealt_to_pairs_of_blocks(spark):
+    """A task takes a strip of many blocks; a task for each pair of blocks shuffled rows by the square of their number."""
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1600, 24)))], "id bigint, embedding array<double>")
+    found = knn.knn_edges(nodes, nodes, 3, exclude="self", config=EngineConfig(broadcast_bytes=1, block_rows=16))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and f"{knn.STRIPS * knn.SLICES}" in plan and found.count() == 3 * 1600
+
+
+def test_strips_of_few_rows_and_groups_match_brute_force(spark):
+    rows, nodes = make_nodes(spark, n=120, seed=4)
+    tight = EngineConfig(broadcast_bytes=1, block_rows=4, strip_bytes=512)  # ten vectors to a strip
+    options, allowed = RULES["group"]
+    same(got(knn.knn_edges(nodes, nodes, 5, config=tight, **options)), brute(rows, rows, 5, allowed))
