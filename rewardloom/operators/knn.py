@@ -76,10 +76,12 @@ def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return picks
 
 
-def _collapsed(cand: DataFrame) -> DataFrame:
-    """One row per distinct vector with its ids in order and their groups."""
+def _collapsed(cand: DataFrame, k: int, exclude: str | None) -> DataFrame:
+    """One row per distinct vector with its first ids in order and their groups; ids are ranked without their vectors."""
+    same = ["dom", "key"]
     entries = F.sort_array(F.collect_list(F.struct("id", F.coalesce("grp", F.lit(NO_GROUP)).alias("grp"))))
-    return cand.groupBy("dom", "key").agg(F.first("vec").alias("vec"), entries.alias("entries")).select(
+    listed = _bounded_candidates(cand.drop("vec"), k, exclude).groupBy(*same).agg(entries.alias("entries"))
+    return cand.groupBy(*same).agg(F.first("vec").alias("vec")).join(listed, same).select(
         "dom", "vec", F.col("entries.id").alias("ids"), F.col("entries.grp").alias("grps"))
 
 
@@ -423,7 +425,6 @@ def knn_edges(sources: DataFrame, candidates: DataFrame, k: int, *, exclude: str
     """
     by_group = exclude == "group"
     need = k + 1 if exclude == "self" else k
-    bounded = _bounded_candidates(_prepare(candidates, group if by_group else None, domain), k, exclude)
     src = _prepare(sources, group if by_group else None, domain)
     keys = ["dom", "key", "grp"] if by_group else ["dom", "key"]
     distinct = src.groupBy(*keys).agg(F.first("vec").alias("vec"))
@@ -436,7 +437,7 @@ def knn_edges(sources: DataFrame, candidates: DataFrame, k: int, *, exclude: str
     width = candidates.select(F.size("embedding").alias("d")).head(1)
     row_bytes = 8 * (width[0]["d"] if width else 1) + 64
     limit = max(1, config.broadcast_bytes // row_bytes)
-    cand, small = _collapsed(bounded), None
+    cand, small = _collapsed(_prepare(candidates, group if by_group else None, domain), k, exclude), None
     if probes is None:
         # Counted before anything is taken: by rows where that is enough, else by what copies leave.
         fits = candidates.count() <= limit

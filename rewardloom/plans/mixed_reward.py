@@ -12,7 +12,7 @@ from rewardloom.config import EngineConfig
 from rewardloom.functions.domains import dataset_name, query_identifier, route_family, scoring_domain
 from rewardloom.functions.numeric import numeric_answer
 from rewardloom.functions.text import split_scored
-from rewardloom.functions.vectors import short_unit, word_vectors
+from rewardloom.functions.vectors import short_unit, sum_vectors, word_vectors
 from rewardloom.operators.features import feature_vector
 from rewardloom.operators.knn import knn_edges
 from rewardloom.operators.propagate import neighbour_sums, probability
@@ -103,17 +103,29 @@ def unit_features(config: EngineConfig, length: int) -> Column:
     return short_unit(F.concat(answer, F.col("said")), length)
 
 
-def _graph_nodes(prompts: DataFrame, vectors: DataFrame) -> DataFrame:
-    return prompts.select(F.col("node").alias("query_id"), "route").join(
-        vectors.select("query_id", "data_source", "embedding"), "query_id"
-    ).select(F.col("query_id").alias("id"), "route", "embedding",
-             scoring_domain(F.col("data_source")).alias("domain"))
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """Query vectors with their domain and a 128-bit key of both."""
+    named = vectors.select("query_id", scoring_domain(F.col("data_source")).alias("domain"), "embedding")
+    return named.withColumns({
+        "h1": F.xxhash64("domain", "embedding"), "h2": F.xxhash64(F.lit("v"), F.reverse("embedding"), "domain")})
 
 
-def _remembered(scored: DataFrame, prompts: DataFrame, nodes: DataFrame, features: Column) -> GraphMemory:
+def _graph_nodes(prompts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, route, h1, h2`` of the prompts' queries, and ``h1, h2, domain, embedding`` once for all that are equal.
+
+    Many queries can share a vector, so only its key goes with each of them.
+    """
+    keyed = _keyed(vectors)
+    nodes = prompts.select(F.col("node").alias("id"), "route").join(
+        keyed.select(F.col("query_id").alias("id"), "h1", "h2"), "id")
+    return nodes, keyed.groupBy("h1", "h2").agg(F.first("domain").alias("domain"), F.first("embedding").alias("embedding"))
+
+
+def _remembered(scored: DataFrame, prompts: DataFrame, nodes: DataFrame, distinct: DataFrame, features: Column) -> GraphMemory:
     labelled = scored.join(prompts.where(F.col("route") == "gt"), GROUP).select(
         F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
-    return GraphMemory(labelled, nodes.where(F.col("route") == "gt").select("id", "domain", "embedding"))
+    known = nodes.where(F.col("route") == "gt").join(distinct, ["h1", "h2"])
+    return GraphMemory(labelled, known.select("id", "domain", "embedding"))
 
 
 def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, config: EngineConfig = EngineConfig(),
@@ -121,7 +133,7 @@ def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, con
     """The ground-truth-routed part of labelled rollouts, written once, as static memory of later jobs."""
     scored = cut_lineage(scored_rollouts(rollouts), "scored")
     prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
-    memory = _remembered(scored, prompts, _graph_nodes(prompts, vectors), unit_features(config, FEATURES))
+    memory = _remembered(scored, prompts, *_graph_nodes(prompts, vectors), unit_features(config, FEATURES))
     return GraphMemory(cut_lineage(memory.rows, "memory"), cut_lineage(memory.nodes, "memory-nodes"))
 
 
@@ -146,16 +158,22 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
     scored = cut_lineage(scored_rollouts(rollouts, describe), "scored")
     prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
     features = unit_features(config, length)
-    # The search, its size check and the memory all read the nodes.
-    nodes = cut_lineage(_graph_nodes(prompts, vectors), "nodes")
-    memory = memory or _remembered(scored, prompts, nodes, features)
+    # The search, its size check and the memory all read the nodes and the vectors.
+    nodes, distinct = _graph_nodes(prompts, vectors)
+    nodes, distinct = cut_lineage(nodes, "nodes"), cut_lineage(distinct, "vectors")
+    memory = memory or _remembered(scored, prompts, nodes, distinct, features)
+    # Equal vectors have equal neighbours: one node searches for all, and sums are made once.
+    open_nodes = nodes.where(F.col("route") == "graph")
+    first = open_nodes.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     edges = connect(
-        nodes.where(F.col("route") == "graph"), memory.nodes, config.k,
-        domain="domain" if config.domain_filter else None, config=config,
+        first.join(distinct, ["h1", "h2"]).select("id", F.lit("graph").alias("route"), "embedding", "domain"),
+        memory.nodes, config.k, domain="domain" if config.domain_filter else None, config=config,
     )
+    sums = first.withColumnRenamed("id", "query_id").join(neighbour_sums(memory.rows, edges, length), "query_id").drop("query_id")
     # Neighbour sums join the prompts first: the rollouts then meet one table once.
-    sums = neighbour_sums(memory.rows, edges, length).withColumnRenamed("query_id", "node")
-    informed = prompts.join(sums, "node", "left")
+    each = open_nodes.join(sums, ["h1", "h2"]).groupBy(F.col("id").alias("node")).agg(
+        F.sum("n").alias("n"), F.sum("r").alias("r"), sum_vectors(F.col("u"), length).alias("u"), sum_vectors(F.col("v"), length).alias("v"))
+    informed = prompts.join(each, "node", "left")
     inferred = scored.join(informed, GROUP).withColumn("features", features).withColumn(
         "prob", F.when(F.col("route") == "graph", probability(F.col("features"), length))
     )

@@ -126,3 +126,17 @@ def test_one_prompt_with_a_third_of_all_rows(spark):
     got = run(spark, rows, [("gsm8k", "1")], VECTORS)
     assert len(got) == 900
     assert sum(v[1] for k, v in got.items() if k[0] == 1) == 200
+
+
+def test_equal_vectors_search_once(spark):
+    vectors = [VECTORS[0], *[(q, "gsm8k", [0.9, 0.1]) for q in (2, 3, 4)], (5, "gsm8k", [0.5, 0.5])]
+    rows = [r for q in range(1, 6) for r in math_rows(q, ["1", "7"])]
+    searched = []
+
+    def connect(new, known, k, **options):
+        searched.extend(r["id"] for r in new.collect())
+        return knn_edges(new, known, k, **options)
+
+    got = run(spark, rows, [("gsm8k", "1")], vectors, connect=connect)
+    assert sorted(searched) == [2, 5]
+    assert got[2, 0] == got[3, 0] == got[4, 0] and got[2, 0][0] == got[5, 0][0] == "graph"
