@@ -181,3 +181,26 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
 def rollout_triples(queries: DataFrame, thinks: DataFrame, answers: DataFrame) -> DataFrame:
     """Query, think and answer vectors side by side, by explicit keys."""
     return thinks.join(answers, ["query_id", "resp_idx"]).join(queries, "query_id")
+def structural_statistics(rollouts: DataFrame, query: str = "query_id", resp: str = "resp_idx") -> DataFrame:
+    """:func:`edge_statistics` of :func:`structural_edges`, from counts of rollouts.
+
+    An edge's source is a query or one of its responses, so that degrees follow from
+    the rows of each; no edge is written, and both counts share one shuffle by query.
+    """
+    responses = rollouts.groupBy(query, resp).agg(F.count("*").alias("n"))
+    queries = responses.groupBy(query).agg(
+        F.sum("n").alias("n"), F.count("*").alias("sources"), F.max("n").alias("most"))
+    totals = queries.agg(F.sum("n").alias("edges"), F.count("*").alias("q"), F.max("n").alias("q_most"),
+                         F.sum("sources").alias("r"), F.max("most").alias("r_most")).where(F.col("edges").isNotNull())
+
+    def kind(name: str, side: str) -> Column:
+        return F.struct(F.lit(name).alias("edge_type"), F.col(side).alias("sources"), F.col(f"{side}_most").alias("max_degree"))
+
+    kinds = [kind(name, side) for name, side in (
+        ("generates", "q"), ("rev_generates", "r"), ("generates_reasoning", "q"), ("rev_generates_reasoning", "r"),
+        ("leads_to", "r"), ("rev_leads_to", "r"))]
+    each = totals.select("edges", F.explode(F.array(*kinds)).alias("k"))
+    return each.select("k.edge_type", "edges", "k.sources", F.round(F.col("edges") / F.col("k.sources"), 6).alias("avg_degree"),
+                       "k.max_degree")
+
+

@@ -213,7 +213,7 @@ SELECT edge_type, edges, sources, round(edges / sources::DOUBLE, 6) AS avg_degre
     (SELECT count(DISTINCT query_id) FROM rollouts) AS sources, (SELECT max(n) FROM (SELECT count(*) AS n FROM rollouts GROUP BY query_id)) AS max_degree
   UNION ALL SELECT unnest(['rev_generates', 'rev_generates_reasoning', 'leads_to', 'rev_leads_to']), count(*), count(*), 1 FROM rollouts)""")
 def _(spark, root):
-    return graph.edge_statistics(graph.structural_edges(feeds.rollouts(spark, root)))
+    return graph.structural_statistics(feeds.rollouts(spark, root))
 
 
 @query("grf15_domain_mix", NODES + SIMS + """,
