@@ -442,9 +442,10 @@ def _(spark, root):
     nodes = nodes_of(spark, root)
     edges = graph.similar_in_memory(nodes).unionByName(graph.similar_to_memory(nodes))
     labelled = rows.where("is_memory")
-    table = propagate.neighbour_features(rows, edges, labelled).select(
+    # Read by each pass of the fit and by the prediction: searched once, then stored.
+    table = cut_lineage(propagate.neighbour_features(rows, edges, labelled).select(
         "query_id", "resp_idx", "is_memory", "reward", "mean_rate", "weighted_rate", "neighbours",
-        *[F.get("features", i).alias(f"f{i}") for i in range(DIMENSIONS)])
+        *[F.get("features", i).alias(f"f{i}") for i in range(DIMENSIONS)]), "features")
     columns = ["mean_rate", "weighted_rate", "neighbours", *[f"f{i}" for i in range(DIMENSIONS)]]
     model = propagate.fit_rewards(table.where("is_memory"), columns)
     scored = propagate.predict_rewards(model, table)
