@@ -84,6 +84,13 @@ def similar_to_memory(nodes: DataFrame, k: int = 7, same_domain: bool = False,
     )
 
 
+def remembered(nodes: DataFrame, k: int = 7, same_domain: bool = False, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Neighbours in memory of all nodes, in one search: the edges of the two functions above together."""
+    return knn_edges(
+        nodes.where(F.col("is_memory").isNotNull()), nodes.where("is_memory"), k, exclude="self",
+        domain="domain" if same_domain else None, config=config)
+
+
 def competing_in_query(nodes: DataFrame, k: int, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Top-k rollouts of the same query."""
     return knn_within_groups(nodes, "query_id", k, config)
@@ -163,9 +170,8 @@ def extended_graph(nodes: DataFrame, rollouts: DataFrame, config: EngineConfig =
     Answer cliques stay factored, see :func:`clique_degrees`.
     """
     same = config.domain_filter
-    memory = similar_in_memory(nodes, config.k, same, config)
-    new = similar_to_memory(nodes, config.k, same, config)
-    edges = structural_edges(rollouts).unionByName(similar_edges(memory)).unionByName(similar_edges(new))
+    near = remembered(nodes, config.k, same, config)
+    edges = structural_edges(rollouts).unionByName(similar_edges(near))
     return edges if competing is None else edges.unionByName(competing_thinks(rollouts, *competing, config))
 
 
@@ -178,9 +184,6 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
     )
 
 
-def rollout_triples(queries: DataFrame, thinks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Query, think and answer vectors side by side, by explicit keys."""
-    return thinks.join(answers, ["query_id", "resp_idx"]).join(queries, "query_id")
 def structural_statistics(rollouts: DataFrame, query: str = "query_id", resp: str = "resp_idx") -> DataFrame:
     """:func:`edge_statistics` of :func:`structural_edges`, from counts of rollouts.
 
@@ -204,3 +207,6 @@ def structural_statistics(rollouts: DataFrame, query: str = "query_id", resp: st
                        "k.max_degree")
 
 
+def rollout_triples(queries: DataFrame, thinks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Query, think and answer vectors side by side, by explicit keys."""
+    return thinks.join(answers, ["query_id", "resp_idx"]).join(queries, "query_id")

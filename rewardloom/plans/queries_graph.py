@@ -114,9 +114,7 @@ def _(spark, root):
 
 @query("grf8_same_domain_knn", NODES + SIMS + top_k("sd = dd AND dm AND src <> dst AND sim > -1", 7))
 def _(spark, root):
-    nodes = nodes_of(spark, root)
-    memory = graph.similar_in_memory(nodes, same_domain=True)
-    return shown(memory.unionByName(graph.similar_to_memory(nodes, same_domain=True)))
+    return shown(graph.remembered(nodes_of(spark, root), same_domain=True))
 
 
 _RSIMS = """,
@@ -246,9 +244,7 @@ def _(spark, root):
 
 @query("grf8_same_domain_knn_blocks", NODES + SIMS + top_k("sd = dd AND dm AND src <> dst AND sim > -1", 7))
 def _(spark, root):
-    nodes = nodes_of(spark, root)
-    memory = graph.similar_in_memory(nodes, same_domain=True, config=BLOCKS)
-    return shown(memory.unionByName(graph.similar_to_memory(nodes, same_domain=True, config=BLOCKS)))
+    return shown(graph.remembered(nodes_of(spark, root), same_domain=True, config=BLOCKS))
 
 
 @query("grf10_think_knn_blocks", RNODES + _RSIMS + top_k("sq <> dq", 5, "rsims"))
@@ -310,8 +306,7 @@ SELECT CASE WHEN is_memory THEN 'train' ELSE 'valid' END AS split, count(*) AS n
   count(*) FILTER ((prob > 0.5) = (label > 0.5)) AS agreeing FROM p GROUP BY 1""")
 def _(spark, root):
     rows = _propagation_rollouts(spark, root).withColumn("split", F.when(F.col("is_memory"), "train").otherwise("valid"))
-    nodes = nodes_of(spark, root)
-    edges = graph.similar_in_memory(nodes).unionByName(graph.similar_to_memory(nodes))
+    edges = graph.remembered(nodes_of(spark, root))
     out = propagate.transductive(rows, edges, DIMENSIONS)
     return out.groupBy("split").agg(
         F.count("*").alias("n"), r6(F.avg("prob")).alias("mean_prob"),
@@ -439,8 +434,7 @@ def _(spark, root):
 def _(spark, root):
     """Probability and prediction of every rollout; a test compares successes with failures."""
     rows = _propagation_rollouts(spark, root)
-    nodes = nodes_of(spark, root)
-    edges = graph.similar_in_memory(nodes).unionByName(graph.similar_to_memory(nodes))
+    edges = graph.remembered(nodes_of(spark, root))
     labelled = rows.where("is_memory")
     # Read by each pass of the fit and by the prediction: searched once, then stored.
     table = cut_lineage(propagate.neighbour_features(rows, edges, labelled).select(
