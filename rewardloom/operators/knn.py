@@ -17,6 +17,7 @@ Three facts keep the join small without giving up exactness:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ CHUNK_CELLS = 4_000_000
 SEARCH_CELLS = 1 << 19  # similarities that a search holds at once
 PRODUCTS = 1 << 16  # pairs multiplied exactly at once
 PACK_ROWS = 256  # vectors of one block at most
-STRIPS, SLICES = 6, 8  # of sources, of candidates; more where they grow too large
+STRIPS, SLICES = 6, 8  # of sources, of candidates where both are alike; as many tasks in other shapes, more where they grow too large
 NO_SOURCE_GROUP, NO_GROUP = -(1 << 63), -(1 << 63) + 1  # rows of no group exclude nothing
 SLACK = 1e-9
 
@@ -348,37 +349,75 @@ class _Strip:
             yield _found_batch(self.keys[0, part], self.keys[1, part], names, self.groups[part], self.best, part)
 
 
-def _strip_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, config: EngineConfig,
-                  probes: int | None) -> DataFrame:
-    """Strips of sources, slices of candidates, one pass: ``h1, h2, dom, grp, dst, sim``.
+@dataclass(frozen=True)
+class Index:
+    """Candidates in stored blocks, for as many searches as read them, and the cells of each domain if few enough."""
 
-    A block is skipped by sources whose k-th similarity so far it cannot reach;
-    with ``probes`` by those that have so many nearer cells.
-    """
+    blocks: DataFrame
+    pivots: np.ndarray
+    cells: dict[str | None, np.ndarray] | None
+
+
+def _indexed(cand: DataFrame, config: EngineConfig, probing: bool) -> Index:
     usable = cand.where(F.exists("vec", lambda x: x != 0))
     wanted = int(min(MAX_PIVOTS, max(1, round(usable.count() ** 0.5))))
     picked = usable.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(wanted).select("vec").collect()
     if picked:
         pivots = np.vstack([row["vec"] for row in picked])
     else:  # no candidate points anywhere: one arbitrary pivot will do
-        first = src.select(F.size("vec").alias("d")).head(1)
+        first = cand.select(F.size("vec").alias("d")).head(1)
         pivots = np.ones((1, first[0]["d"] if first else 1))
 
-    rows = max(1, min(config.block_rows, PACK_ROWS))
-    cand_blocks = cut_lineage(_candidate_blocks(_with_cell(cand, pivots), rows), "candidates")
+    blocks = cut_lineage(_candidate_blocks(_with_cell(cand, pivots), _block_rows(config)), "candidates")
     cells = None
-    if probes is not None:
-        known = cand_blocks.select("dom", "cell").distinct().limit(MAX_CELLS + 1).toPandas()
+    if probing:
+        known = blocks.select("dom", "cell").distinct().limit(MAX_CELLS + 1).toPandas()
         if len(known) <= MAX_CELLS:
             cells = {dom: part["cell"].to_numpy() for dom, part in known.groupby("dom", dropna=False)}
-    src_blocks = cut_lineage(_source_blocks(src, pivots, rows, probes, cells), "sources")
+    return Index(blocks, pivots, cells)
 
-    def parts(blocks: DataFrame, least: int, most_bytes: int) -> int:
-        number, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("vec")), F.lit(0))).head()
-        return max(1, min(number, max(least, -(-size // most_bytes))))
 
-    strips = parts(src_blocks, STRIPS, config.strip_bytes)
-    slices = parts(cand_blocks, SLICES, 4 * config.strip_bytes)
+def search_index(candidates: DataFrame, k: int, *, exclude: str | None = None, group: str | None = None,
+                 domain: str | None = None, config: EngineConfig = EngineConfig()) -> Index:
+    """Candidates made ready once for several searches by :func:`knn_edges` with the same ``k`` and options."""
+    prepared = _prepare(candidates, group if exclude == "group" else None, domain)
+    return _indexed(cut_lineage(_collapsed(prepared, k, exclude), "distinct"), config, True)
+
+
+def _block_rows(config: EngineConfig) -> int:
+    return max(1, min(config.block_rows, PACK_ROWS))
+
+
+def _grid(sources: tuple[int, int], candidates: tuple[int, int], strip_bytes: int) -> tuple[int, int]:
+    """Strips and slices, from the number of blocks and the bytes of both sides: of shapes of about as many tasks the one that shuffles least.
+
+    A source goes to every slice and a candidate to every strip, so that few sources
+    make few strips.
+    """
+    tasks = STRIPS * SLICES
+    shapes = [(min(strips, sources[0]), min(tasks // strips, candidates[0])) for strips in range(1, tasks + 1) if tasks % strips == 0]
+    most = max(strips * slices for strips, slices in shapes)
+    strips, slices = min((s for s in shapes if 2 * s[0] * s[1] >= most), key=lambda s: (s[0] * candidates[1] + s[1] * sources[1], s))
+    strips = min(sources[0], max(strips, -(-sources[1] // strip_bytes)))
+    slices = min(candidates[0], max(slices, -(-candidates[1] // (4 * strip_bytes))))
+    return max(1, strips), max(1, slices)
+
+
+def _strip_search(src: DataFrame, index: Index, k: int, by_group: bool, config: EngineConfig,
+                  probes: int | None) -> DataFrame:
+    """Strips of sources, slices of candidates, one pass: ``h1, h2, dom, grp, dst, sim``.
+
+    A block is skipped by sources whose k-th similarity so far it cannot reach;
+    with ``probes`` by those that have so many nearer cells.
+    """
+    pivots, cand_blocks = index.pivots, index.blocks
+    cells = None if probes is None else index.cells
+    src_blocks = cut_lineage(_source_blocks(src, pivots, _block_rows(config), probes, cells), "sources")
+
+    def extent(blocks: DataFrame) -> tuple[int, int]:
+        return tuple(blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("vec")), F.lit(0))).head())
+
+    strips, slices = _grid(extent(src_blocks), extent(cand_blocks), config.strip_bytes)
     spot = lambda count: F.pmod(F.xxhash64("dom", "mark"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     dealt = src_blocks.select(spot(strips).alias("strip"), every(slices).alias("slice"), F.lit(0).alias("side"), *BLOCK_NAMES).unionByName(
@@ -415,13 +454,14 @@ def _strip_search(src: DataFrame, cand: DataFrame, k: int, by_group: bool, confi
 
 def knn_edges(sources: DataFrame, candidates: DataFrame, k: int, *, exclude: str | None = None,
               group: str | None = None, domain: str | None = None, min_sim: float = -1.0,
-              config: EngineConfig = EngineConfig(), probes: int | None = None) -> DataFrame:
+              config: EngineConfig = EngineConfig(), probes: int | None = None, index: Index | None = None) -> DataFrame:
     """Edges ``(src, dst, sim)`` to the k most similar candidates of each source.
 
     Both inputs carry ``id`` (bigint) and ``embedding`` (array<double>).
     ``exclude="self"`` skips the source's own id, ``exclude="group"`` every
     candidate with the same ``group``. ``domain`` limits neighbours to an equal
-    value. Ties go to the lower id. ``probes`` makes the search approximate.
+    value. Ties go to the lower id. ``probes`` makes the search approximate. An
+    ``index`` of the candidates by :func:`search_index` saves preparing them again.
     """
     by_group = exclude == "group"
     need = k + 1 if exclude == "self" else k
@@ -434,26 +474,26 @@ def knn_edges(sources: DataFrame, candidates: DataFrame, k: int, *, exclude: str
         F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "dom", "grp", "vec"
     )
 
-    width = candidates.select(F.size("embedding").alias("d")).head(1)
-    row_bytes = 8 * (width[0]["d"] if width else 1) + 64
-    limit = max(1, config.broadcast_bytes // row_bytes)
-    cand, small = _collapsed(_prepare(candidates, group if by_group else None, domain), k, exclude), None
-    if probes is None:
+    join_keys = ["h1", "h2", "dom", "grp"] if by_group else ["h1", "h2", "dom"]
+    small = None
+    if index is None:
+        width = candidates.select(F.size("embedding").alias("d")).head(1)
+        row_bytes = 8 * (width[0]["d"] if width else 1) + 64
+        limit = max(1, config.broadcast_bytes // row_bytes)
+        cand = _collapsed(_prepare(candidates, group if by_group else None, domain), k, exclude)
         # Counted before anything is taken: by rows where that is enough, else by what copies leave.
-        fits = candidates.count() <= limit
+        fits = probes is None and candidates.count() <= limit
         if not fits:
-            cand = cut_lineage(cand, "candidates")
-            fits = cand.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).head()[0] <= limit
+            cand = cut_lineage(cand, "distinct")
+            fits = probes is None and cand.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).head()[0] <= limit
         if fits:
             small = cand.toArrow()
-    else:
-        cand = cut_lineage(cand, "candidates")
-
-    join_keys = ["h1", "h2", "dom", "grp"] if by_group else ["h1", "h2", "dom"]
+        else:
+            index = _indexed(cand, config, probes is not None)
     if small is not None:
         found = _broadcast_search(distinct, small, need, by_group)
     else:
-        found = _strip_search(distinct, cand, need, by_group, config, probes)
+        found = _strip_search(distinct, index, need, by_group, config, probes)
 
     back = src.select("id", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "dom", "grp")
     if not by_group:
@@ -476,13 +516,16 @@ def approximate_edges(sources: DataFrame, candidates: DataFrame, k: int, probes:
 
 
 def edges_for_recall(sources: DataFrame, candidates: DataFrame, k: int, target: float = 0.9, probes: int = 8,
-                     sample: int = 1000, **options) -> tuple[DataFrame, int]:
+                     sample: int = 1000, index: Index | None = None, min_sim: float = -1.0, **options) -> tuple[DataFrame, int]:
     """Approximate edges of all sources that hold about ``target`` of the exact ones, and the probes they took.
 
     The share of cells that a fixed number of probes opens falls as cells grow, so
     probes are doubled until the recall is enough, measured over ``sample`` sources
     drawn by hash; with all cells open it is 1. Then all sources are searched once.
+    All rounds read one index.
     """
+    index = index or search_index(candidates, k, **options)
+    options |= {"index": index, "min_sim": min_sim}
     tried = cut_lineage(sources.orderBy(F.xxhash64("id", F.lit("probes")), "id").limit(sample), "sample")
     exact = cut_lineage(knn_edges(tried, candidates, k, **options), "exact")
     while probes <= MAX_PIVOTS:

@@ -184,7 +184,8 @@ def _approximate(spark, root):
     nodes = nodes_of(spark, root)
     memory, new = nodes.where("is_memory"), nodes.where(~F.col("is_memory"))
     exact = cut_lineage(knn.knn_edges(new, memory, 7))
-    found = knn.edges_for_recall(new, memory, 7), (knn.approximate_edges(new, memory, 7, probes=1 << 30), 1 << 30)
+    index = knn.search_index(memory, 7)
+    found = knn.edges_for_recall(new, memory, 7, index=index), (knn.approximate_edges(new, memory, 7, probes=1 << 30, index=index), 1 << 30)
     return [knn.recall(exact, edges).withColumn("probes", F.lit(probes)) for edges, probes in found]
 
 

@@ -155,3 +155,35 @@ def test_strips_of_few_rows_and_groups_match_brute_force(spark):
     tight = EngineConfig(broadcast_bytes=1, block_rows=4, strip_bytes=512)  # ten vectors to a strip
     options, allowed = RULES["group"]
     same(got(knn.knn_edges(nodes, nodes, 5, config=tight, **options)), brute(rows, rows, 5, allowed))
+
+
+def test_rounds_of_probes_share_one_index(spark, monkeypatch):
+    """Each round once ranked, located, packed and stored all candidates again, and dealt them to strips of a few sources."""
+    made, grids = [], []
+    pack, grid = knn._candidate_blocks, getattr(knn, "_grid", None)
+    monkeypatch.setattr(knn, "_candidate_blocks", lambda *a: made.append(a) or pack(*a))
+    if grid:
+        monkeypatch.setattr(knn, "_grid", lambda *a: grids.append(grid(*a)) or grids[-1])
+    _, nodes = make_nodes(spark, n=300, dim=16, copies=0)
+    found, probes = knn.edges_for_recall(nodes, nodes, 4, sample=20, exclude="self", config=EngineConfig(block_rows=8))
+    assert probes > 8 and len(made) == 1
+    assert max(s for s, _ in grids[:-1]) <= 2 < grids[-1][0]
+    exact = knn.knn_edges(nodes, nodes, 4, exclude="self")
+    assert knn.recall(exact, found).first()["recall"] >= 0.8
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_an_index_serves_exact_and_approximate_searches(spark, rule):
+    rows, nodes = make_nodes(spark)
+    options, allowed = RULES[rule]
+    index = knn.search_index(nodes, 5, config=BLOCKS, **options)
+    expected = brute(rows, rows, 5, allowed)
+    for probes in (None, knn.MAX_PIVOTS):
+        same(got(knn.knn_edges(nodes, nodes, 5, config=BLOCKS, probes=probes, index=index, **options)), expected)
+
+
+def test_shapes_of_the_grid():
+    alike, few, large = knn._grid((400, 1 << 26), (400, 1 << 26), 1 << 26), knn._grid((4, 1 << 19), (2000, 1 << 28), 1 << 26), knn._grid(
+        (9000, 1 << 30), (9000, 1 << 30), 1 << 26)
+    assert alike == (knn.STRIPS, knn.SLICES) and few == (1, knn.STRIPS * knn.SLICES)
+    assert large[0] == 16 and large[1] >= 4 and knn._grid((0, 0), (0, 0), 1) == (1, 1)
