@@ -64,8 +64,9 @@ def validation_batches(df: DataFrame, batch: str, train: str = "is_train") -> Da
     return df.where(~F.coalesce(F.col(train), F.lit(True))).select(batch).distinct()
 
 
-def gate_batches(df: DataFrame, batch: str, train: str = "is_train") -> DataFrame:
-    gated = validation_batches(df, batch, train).withColumn("validation", F.lit(True))
+def gate_batches(df: DataFrame, batch: str, train: str = "is_train", rows: DataFrame | None = None) -> DataFrame:
+    """Flags validation batches, found in ``rows`` where ``df`` was made from them at some cost."""
+    gated = validation_batches(df if rows is None else rows, batch, train).withColumn("validation", F.lit(True))
     return df.join(gated, batch, "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
 
 

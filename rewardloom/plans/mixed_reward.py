@@ -66,30 +66,29 @@ def prompt_table(scored: DataFrame, gt_ids: DataFrame, reference_families: bool
     """One row per prompt group: route, representative query and consensus.
 
     The first step counts equal answers with a hash aggregate over plain keys, so
-    only distinct answers reach the later steps. Routing, the validation gate and
-    the id join then run on prompts, not on rollouts.
+    only distinct answers reach the later steps. Routing and the id join then run on
+    prompts, not on rollouts; the validation gate needs the batches of the rollouts alone.
     """
     votes = scored.withColumn("_rounded", F.round("answer", 2)).groupBy(
-        *GROUP, "_rounded", "query_id", "data_source", "index", "problem_id", "is_train"
+        *GROUP, "_rounded", "query_id", "data_source", "index", "problem_id"
     ).agg(F.count("*").alias("_votes"), F.min("resp_idx").alias("_first"))
     per_answer = votes.groupBy(*GROUP, "_rounded").agg(
         F.sum("_votes").alias("_votes"),
         F.min(F.struct("query_id", "_first", "data_source", "index", "problem_id")).alias("head"),
-        F.bool_and("is_train").alias("is_train"),
     )
     rank = F.when(F.col("_rounded").isNotNull(), F.struct(
         F.col("_votes"), -F.col("head.query_id"), -F.col("head._first")))
     prompts = per_answer.groupBy(*GROUP).agg(
         F.min("head").alias("head"), F.max_by("_rounded", rank).alias("consensus"),
-        F.bool_and("is_train").alias("is_train"),
     )
     source = F.col("head.data_source")
     named = prompts.select(
-        *GROUP, F.col("head.query_id").alias("node"), "consensus", "is_train",
+        *GROUP, F.col("head.query_id").alias("node"), "consensus",
         dataset_name(source).alias("dataset"), route_family(source).alias("family"),
         query_identifier(source, F.col("head.index"), F.col("head.problem_id")).alias("identifier"),
     )
-    gated = gate_batches(with_gt_flag(named, gt_ids, ["dataset", "identifier"]), "batch_id")
+    flagged = with_gt_flag(named, gt_ids, ["dataset", "identifier"])
+    gated = gate_batches(flagged, "batch_id", rows=scored)
     use_gt = F.col("in_gt")
     if reference_families:
         use_gt = use_gt & F.col("family").isNotNull()
@@ -110,30 +109,39 @@ def _keyed(vectors: DataFrame) -> DataFrame:
         "h1": F.xxhash64("domain", "embedding"), "h2": F.xxhash64(F.lit("v"), F.reverse("embedding"), "domain")})
 
 
-def _graph_nodes(prompts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, route, h1, h2`` of the prompts' queries, and ``h1, h2, domain, embedding`` once for all that are equal.
+def _with_vectors(prompts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prompts with the vectors of their node, and ``h1, h2, domain, embedding`` once for all that are equal.
 
-    Many queries can share a vector, so only its key goes with each of them.
+    Many queries can share a vector, so only its key goes with each of them: ``held``
+    lists the keys of a node's vectors, mostly one, and ``s1, s2`` is the key of the list.
     """
     keyed = _keyed(vectors)
-    nodes = prompts.select(F.col("node").alias("id"), "route").join(
-        keyed.select(F.col("query_id").alias("id"), "h1", "h2"), "id")
-    return nodes, keyed.groupBy("h1", "h2").agg(F.first("domain").alias("domain"), F.first("embedding").alias("embedding"))
+    held = keyed.where(F.col("query_id").isNotNull()).groupBy(F.col("query_id").alias("node")).agg(
+        F.sort_array(F.collect_list(F.struct("h1", "h2"))).alias("held"))
+    listed = held.withColumns({"s1": F.xxhash64("held"), "s2": F.xxhash64(F.lit("s"), F.reverse("held"))})
+    return prompts.join(listed, "node", "left"), keyed.groupBy("h1", "h2").agg(
+        F.first("domain").alias("domain"), F.first("embedding").alias("embedding"))
 
 
-def _remembered(scored: DataFrame, prompts: DataFrame, nodes: DataFrame, distinct: DataFrame, features: Column) -> GraphMemory:
-    labelled = scored.join(prompts.where(F.col("route") == "gt"), GROUP).select(
+def _nodes(held: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Query nodes with each of their vectors."""
+    each = held.select("id", F.explode("held").alias("v")).select("id", "v.h1", "v.h2")
+    return each.join(distinct, ["h1", "h2"]).select("id", "domain", "embedding")
+
+
+def _remembered(scored: DataFrame, prompts: DataFrame, distinct: DataFrame, features: Column) -> GraphMemory:
+    known = prompts.where(F.col("route") == "gt")
+    labelled = scored.join(known.select(*GROUP, "node", "consensus"), GROUP).select(
         F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
-    known = nodes.where(F.col("route") == "gt").join(distinct, ["h1", "h2"])
-    return GraphMemory(labelled, known.select("id", "domain", "embedding"))
+    return GraphMemory(labelled, _nodes(known.select(F.col("node").alias("id"), "held"), distinct))
 
 
 def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, config: EngineConfig = EngineConfig(),
                  reference_families: bool = True) -> GraphMemory:
     """The ground-truth-routed part of labelled rollouts, written once, as static memory of later jobs."""
     scored = cut_lineage(scored_rollouts(rollouts), "scored")
-    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
-    memory = _remembered(scored, prompts, *_graph_nodes(prompts, vectors), unit_features(config, FEATURES))
+    prompts, distinct = _with_vectors(prompt_table(scored, gt_ids, reference_families), vectors)
+    memory = _remembered(scored, cut_lineage(prompts, "prompts"), distinct, unit_features(config, FEATURES))
     return GraphMemory(cut_lineage(memory.rows, "memory"), cut_lineage(memory.nodes, "memory-nodes"))
 
 
@@ -156,24 +164,25 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
     # Both tables feed several branches; the scored one is narrow (no texts), so
     # writing it once is cheaper than parsing every response per branch.
     scored = cut_lineage(scored_rollouts(rollouts, describe), "scored")
-    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families), "prompts")
+    # The search, its size check and the memory all read the prompts and the vectors.
+    prompts, distinct = _with_vectors(prompt_table(scored, gt_ids, reference_families), vectors)
+    prompts, distinct = cut_lineage(prompts, "prompts"), cut_lineage(distinct, "vectors")
     features = unit_features(config, length)
-    # The search, its size check and the memory all read the nodes and the vectors.
-    nodes, distinct = _graph_nodes(prompts, vectors)
-    nodes, distinct = cut_lineage(nodes, "nodes"), cut_lineage(distinct, "vectors")
-    memory = memory or _remembered(scored, prompts, nodes, distinct, features)
+    memory = memory or _remembered(scored, prompts, distinct, features)
     # Equal vectors have equal neighbours: one node searches for all, and sums are made once.
-    open_nodes = nodes.where(F.col("route") == "graph")
-    first = open_nodes.groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    on_route = (F.col("route") == "graph") & F.col("held").isNotNull()
+    first = prompts.where(on_route).groupBy("s1", "s2").agg(F.min("node").alias("id"), F.first("held").alias("held"))
     edges = connect(
-        first.join(distinct, ["h1", "h2"]).select("id", F.lit("graph").alias("route"), "embedding", "domain"),
+        _nodes(first, distinct).withColumn("route", F.lit("graph")),
         memory.nodes, config.k, domain="domain" if config.domain_filter else None, config=config,
     )
-    sums = first.withColumnRenamed("id", "query_id").join(neighbour_sums(memory.rows, edges, length), "query_id").drop("query_id")
+    sums = first.select("s1", "s2", F.col("id").alias("query_id")).join(
+        neighbour_sums(memory.rows, edges, length), "query_id").drop("query_id")
     # Neighbour sums join the prompts first: the rollouts then meet one table once.
-    each = open_nodes.join(sums, ["h1", "h2"]).groupBy(F.col("id").alias("node")).agg(
-        F.sum("n").alias("n"), F.sum("r").alias("r"), sum_vectors(F.col("u"), length).alias("u"), sum_vectors(F.col("v"), length).alias("v"))
-    informed = prompts.join(each, "node", "left")
+    # Prompts without a say in this get keys of their own, so that none is frequent.
+    informed = prompts.select(
+        *GROUP, "consensus", "route", F.when(on_route, F.col("s1")).otherwise(F.xxhash64(*GROUP)).alias("s1"),
+        F.when(on_route, F.col("s2")).otherwise(F.lit(0)).alias("s2")).join(sums, ["s1", "s2"], "left")
     inferred = scored.join(informed, GROUP).withColumn("features", features).withColumn(
         "prob", F.when(F.col("route") == "graph", probability(F.col("features"), length))
     )

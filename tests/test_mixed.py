@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.config import EngineConfig
 from rewardloom.operators.knn import knn_edges
-from rewardloom.plans.mixed_reward import FEATURES, GraphMemory, graph_memory, mixed_reward
+from rewardloom.plans.mixed_reward import FEATURES, GraphMemory, graph_memory, mixed_reward, prompt_table
 
 
 def run(spark, rows, gt, vectors, **options):
@@ -140,3 +140,24 @@ def test_equal_vectors_search_once(spark):
     got = run(spark, rows, [("gsm8k", "1")], vectors, connect=connect)
     assert sorted(searched) == [2, 5]
     assert got[2, 0] == got[3, 0] == got[4, 0] and got[2, 0][0] == got[5, 0][0] == "graph"
+
+
+def test_second_vector_of_one_query_stays_its_own(spark):
+    known = [(1, "gsm8k", [1.0, 0.0]), (4, "gsm8k", [0.0, 1.0])]
+    alone = [*known, *[(q, "gsm8k", [0.9, 0.1]) for q in (2, 3)]]
+    rows = math_rows(1, ["1", "1"]) + math_rows(4, ["7", "1"]) + math_rows(2, ["1", "7"]) + math_rows(3, ["1", "7"])
+    gt = [("gsm8k", "1"), ("gsm8k", "4")]
+    plain = run(spark, rows, gt, alone)
+    more = run(spark, rows, gt, [*alone, (2, "gsm8k", [0.1, 0.9])])
+    assert [more[3, i] for i in range(2)] == [plain[3, i] for i in range(2)]
+    assert more[2, 0][2] != plain[2, 0][2]
+
+
+def test_gate_reads_the_rollouts_not_the_votes(spark):
+    scored = spark.createDataFrame(
+        [(0, "a", 1, 1, "gsm8k", "1", None, True, 1.0), (0, "b", 2, 1, "gsm8k", "2", None, False, 2.0), (1, "c", 3, 1, "gsm8k", "3", None, True, 1.0)],
+        "batch_id bigint, prompt_key string, query_id bigint, resp_idx bigint, data_source string, index string, problem_id string, is_train boolean, answer double")
+    prompts = prompt_table(scored, spark.createDataFrame([("gsm8k", "3")], "dataset string, identifier string"))
+    assert {r["prompt_key"]: r["route"] for r in prompts.collect()} == {"a": "validation", "b": "validation", "c": "gt"}
+    plan = prompts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [batch_id") == 4  # votes, answers, prompts, and the batches of the gate
