@@ -112,20 +112,24 @@ def _keyed(vectors: DataFrame) -> DataFrame:
 def _with_vectors(prompts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prompts with the vectors of their node, and ``h1, h2, domain, embedding`` once for all that are equal.
 
-    Many queries can share a vector, so only its key goes with each of them: ``held``
-    lists the keys of a node's vectors, mostly one, and ``s1, s2`` is the key of the list.
+    Many queries can share a vector, so only its key goes with each of them as ``s1, s2``;
+    a node of several vectors has the key of their list there, and the list in ``held``.
     """
     keyed = _keyed(vectors)
     held = keyed.where(F.col("query_id").isNotNull()).groupBy(F.col("query_id").alias("node")).agg(
         F.sort_array(F.collect_list(F.struct("h1", "h2"))).alias("held"))
-    listed = held.withColumns({"s1": F.xxhash64("held"), "s2": F.xxhash64(F.lit("s"), F.reverse("held"))})
+    only, several = F.get("held", 0), F.size("held") > 1
+    listed = held.select(
+        "node", F.when(several, F.xxhash64("held")).otherwise(only["h1"]).alias("s1"),
+        F.when(several, F.xxhash64(F.lit("s"), F.reverse("held"))).otherwise(only["h2"]).alias("s2"), F.when(several, F.col("held")).alias("held"))
     return prompts.join(listed, "node", "left"), keyed.groupBy("h1", "h2").agg(
         F.first("domain").alias("domain"), F.first("embedding").alias("embedding"))
 
 
-def _nodes(held: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Query nodes with each of their vectors."""
-    each = held.select("id", F.explode("held").alias("v")).select("id", "v.h1", "v.h2")
+def _nodes(named: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Query nodes ``id, s1, s2, held`` with each of their vectors."""
+    only = F.array(F.struct(F.col("s1").alias("h1"), F.col("s2").alias("h2")))
+    each = named.where(F.col("s1").isNotNull()).select("id", F.explode(F.coalesce("held", only)).alias("v")).select("id", "v.h1", "v.h2")
     return each.join(distinct, ["h1", "h2"]).select("id", "domain", "embedding")
 
 
@@ -133,7 +137,7 @@ def _remembered(scored: DataFrame, prompts: DataFrame, distinct: DataFrame, feat
     known = prompts.where(F.col("route") == "gt")
     labelled = scored.join(known.select(*GROUP, "node", "consensus"), GROUP).select(
         F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
-    return GraphMemory(labelled, _nodes(known.select(F.col("node").alias("id"), "held"), distinct))
+    return GraphMemory(labelled, _nodes(known.withColumnRenamed("node", "id"), distinct))
 
 
 def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, config: EngineConfig = EngineConfig(),
@@ -170,8 +174,8 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
     features = unit_features(config, length)
     memory = memory or _remembered(scored, prompts, distinct, features)
     # Equal vectors have equal neighbours: one node searches for all, and sums are made once.
-    on_route = (F.col("route") == "graph") & F.col("held").isNotNull()
-    first = prompts.where(on_route).groupBy("s1", "s2").agg(F.min("node").alias("id"), F.first("held").alias("held"))
+    on_route = (F.col("route") == "graph") & F.col("s1").isNotNull()
+    first = cut_lineage(prompts.where(on_route).groupBy("s1", "s2").agg(F.min("node").alias("id"), F.first("held").alias("held")), "first")
     edges = connect(
         _nodes(first, distinct).withColumn("route", F.lit("graph")),
         memory.nodes, config.k, domain="domain" if config.domain_filter else None, config=config,
