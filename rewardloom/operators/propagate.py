@@ -10,8 +10,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rewardloom.functions.let import let
 from rewardloom.functions.numeric import sigmoid
-from rewardloom.functions.vectors import dot, relu, short_dot, sum_vectors
+from rewardloom.functions.vectors import dot, relu, sum_vectors
 from rewardloom.session import cut_lineage
 
 
@@ -28,7 +29,11 @@ def memory_sums(memory: DataFrame, query: str, length: int) -> DataFrame:
 
 def neighbour_sums(memory: DataFrame, edges: DataFrame, length: int, query: str = "query_id") -> DataFrame:
     """Similarity-weighted sums over the labelled neighbours of each query."""
-    sums = memory_sums(memory, query, length)
+    return weighted_sums(memory_sums(memory, query, length), edges, length, query)
+
+
+def weighted_sums(sums: DataFrame, edges: DataFrame, length: int, query: str = "query_id") -> DataFrame:
+    """:func:`neighbour_sums` from the sums of :func:`memory_sums`."""
     w = F.greatest(F.col("sim"), F.lit(0.0))
     return edges.join(sums.withColumnRenamed(query, "dst"), "dst").groupBy(F.col("src").alias(query)).agg(
         F.sum(w * F.col("n")).alias("n"),
@@ -38,15 +43,17 @@ def neighbour_sums(memory: DataFrame, edges: DataFrame, length: int, query: str
     )
 
 
-def probability(features: Column, length: int) -> Column:
+def probability(features: Column) -> Column:
     """Probability of a rollout from its query's neighbour sums.
 
     Nine decimals: sums come in any order, and equal ones must meet the threshold
-    alike. Null without a usable neighbour.
+    alike. Null without a usable neighbour. Products written out element by element
+    make a method too long to be compiled, so they are lambdas here.
     """
-    top = F.col("r") + short_dot(features, F.col("v"), length)
-    bottom = F.col("n") + short_dot(features, F.col("u"), length)
-    return F.when(bottom > 0, F.round(top / bottom, 9))
+    top = F.col("r") + dot(features, F.col("v"))
+    bottom = F.col("n") + dot(features, F.col("u"))
+    return let(F.struct(top.alias("top"), bottom.alias("bottom")),
+               lambda x: F.when(x["bottom"] > 0, F.round(x["top"] / x["bottom"], 9)))
 
 
 def propagate(new: DataFrame, memory: DataFrame, edges: DataFrame, length: int, query: str = "query_id",
@@ -63,7 +70,7 @@ def propagate(new: DataFrame, memory: DataFrame, edges: DataFrame, length: int,
     Rollouts without a usable neighbour keep a null probability.
     """
     joined = new.join(neighbour_sums(memory, edges, length, query), query, "left")
-    inferred = joined.withColumn("prob", probability(F.col("features"), length)).drop("n", "r", "u", "v")
+    inferred = joined.withColumn("prob", probability(F.col("features"))).drop("n", "r", "u", "v")
     return inferred.withColumn(
         "reward", F.when(F.col("prob") > threshold, 1.0).when(F.col("prob").isNotNull(), 0.0)
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,11 @@ from rewardloom.functions.numeric import numeric_answer
 from rewardloom.functions.text import split_scored
 from rewardloom.functions.vectors import short_unit, sum_vectors, word_vectors
 from rewardloom.operators.features import feature_vector
-from rewardloom.operators.knn import knn_edges
-from rewardloom.operators.propagate import neighbour_sums, probability
+from rewardloom.operators.knn import knn_edges, search_index
+from rewardloom.operators.propagate import memory_sums, probability, weighted_sums
 from rewardloom.operators.routing import answer_or, entry, gate_batches, is_train, parse_extra, prompt_key, with_gt_flag
 from rewardloom.operators.scoring import gt_reward
-from rewardloom.session import cut_lineage
+from rewardloom.session import cut_lineage, work_folder
 
 TEXT = 8                  # places of the think and of the answer vector
 FEATURES = 3 + 2 * TEXT
@@ -109,12 +111,24 @@ def _keyed(vectors: DataFrame) -> DataFrame:
         "h1": F.xxhash64("domain", "embedding"), "h2": F.xxhash64(F.lit("v"), F.reverse("embedding"), "domain")})
 
 
-def _with_vectors(prompts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Prompts with the vectors of their node, and ``h1, h2, domain, embedding`` once for all that are equal.
+@dataclass(frozen=True)
+class KeyedVectors:
+    """``node, s1, s2, held`` of every query with vectors, and ``h1, h2, domain, embedding`` once for all that are equal.
 
     Many queries can share a vector, so only its key goes with each of them as ``s1, s2``;
     a node of several vectors has the key of their list there, and the list in ``held``.
     """
+
+    listed: DataFrame
+    distinct: DataFrame
+
+    def stored(self) -> KeyedVectors:
+        """The same, written once for all jobs that read it."""
+        return KeyedVectors(cut_lineage(self.listed, "keys"), cut_lineage(self.distinct, "vectors"))
+
+
+def keyed_vectors(vectors: DataFrame) -> KeyedVectors:
+    """From (query_id, data_source, embedding)."""
     keyed = _keyed(vectors)
     held = keyed.where(F.col("query_id").isNotNull()).groupBy(F.col("query_id").alias("node")).agg(
         F.sort_array(F.collect_list(F.struct("h1", "h2"))).alias("held"))
@@ -122,8 +136,8 @@ def _with_vectors(prompts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, Da
     listed = held.select(
         "node", F.when(several, F.xxhash64("held")).otherwise(only["h1"]).alias("s1"),
         F.when(several, F.xxhash64(F.lit("s"), F.reverse("held"))).otherwise(only["h2"]).alias("s2"), F.when(several, F.col("held")).alias("held"))
-    return prompts.join(listed, "node", "left"), keyed.groupBy("h1", "h2").agg(
-        F.first("domain").alias("domain"), F.first("embedding").alias("embedding"))
+    return KeyedVectors(listed, keyed.groupBy("h1", "h2").agg(
+        F.first("domain").alias("domain"), F.first("embedding").alias("embedding")))
 
 
 def _nodes(named: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -140,24 +154,72 @@ def _remembered(scored: DataFrame, prompts: DataFrame, distinct: DataFrame, feat
     return GraphMemory(labelled, _nodes(known.withColumnRenamed("node", "id"), distinct))
 
 
-def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, config: EngineConfig = EngineConfig(),
+def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame | KeyedVectors, config: EngineConfig = EngineConfig(),
                  reference_families: bool = True) -> GraphMemory:
     """The ground-truth-routed part of labelled rollouts, written once, as static memory of later jobs."""
+    keyed = vectors if isinstance(vectors, KeyedVectors) else keyed_vectors(vectors)
     scored = cut_lineage(scored_rollouts(rollouts), "scored")
-    prompts, distinct = _with_vectors(prompt_table(scored, gt_ids, reference_families), vectors)
-    memory = _remembered(scored, cut_lineage(prompts, "prompts"), distinct, unit_features(config, FEATURES))
+    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families).join(keyed.listed, "node", "left"), "prompts")
+    memory = _remembered(scored, prompts, keyed.distinct, unit_features(config, FEATURES))
     return GraphMemory(cut_lineage(memory.rows, "memory"), cut_lineage(memory.nodes, "memory-nodes"))
 
 
-def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
-                 config: EngineConfig = EngineConfig(), memory: GraphMemory | None = None,
+def _key_sums(first: DataFrame, distinct: DataFrame, nodes: DataFrame, sums: DataFrame, length: int,
+              config: EngineConfig, connect: Callable[..., DataFrame]) -> DataFrame:
+    """Neighbour sums of each key ``s1, s2``: the node of ``first`` searches for all that share it."""
+    edges = connect(
+        _nodes(first, distinct).withColumn("route", F.lit("graph")),
+        nodes, config.k, domain="domain" if config.domain_filter else None, config=config,
+    )
+    return first.select("s1", "s2", F.col("id").alias("query_id")).join(
+        weighted_sums(sums, edges, length), "query_id").drop("query_id")
+
+
+class MemorySearch:
+    """What jobs against one memory share, stored once, so that a job pays for its own rows alone.
+
+    That is the keys of the query vectors, the memory ready to be searched, and the sums
+    of its rollouts by query. A vector is searched by the first job that meets it; its
+    neighbour sums are kept for the later ones, with nulls where nothing was found. They
+    come from the memory alone, so a job that is repeated gets the same.
+    """
+
+    def __init__(self, vectors: DataFrame | KeyedVectors, memory: GraphMemory, config: EngineConfig = EngineConfig(),
+                 described: int = 2 * TEXT):
+        self.keyed = vectors if isinstance(vectors, KeyedVectors) else keyed_vectors(vectors).stored()
+        self.memory, self.config, self.length = memory, config, 3 + described
+        self.sums = cut_lineage(memory_sums(memory.rows, "query_id", self.length), "memory-sums")
+        self.index = search_index(memory.nodes, config.k, domain="domain" if config.domain_filter else None, config=config)
+        self.folder = work_folder(memory.rows.sparkSession)
+        self.found: list[str] = []
+
+    def key_sums(self, first: DataFrame, connect: Callable[..., DataFrame]) -> DataFrame:
+        """Neighbour sums of the keys in ``first`` and of all that were asked for before."""
+        spark = self.memory.rows.sparkSession
+        read = lambda: spark.read.schema(self.schema).parquet(*self.found)
+        if self.found:
+            first = cut_lineage(first.join(read().select("s1", "s2"), ["s1", "s2"], "left_anti"), "unsearched")
+        if not self.found or not first.isEmpty():
+            sums = _key_sums(first, self.keyed.distinct, self.memory.nodes, self.sums, self.length, self.config,
+                             partial(connect, index=self.index))
+            sums = first.select("s1", "s2").join(sums, ["s1", "s2"], "left")
+            path = f"{self.folder}/key-sums-{uuid.uuid4().hex}"
+            sums.write.parquet(path)
+            self.schema = sums.schema
+            self.found.append(path)
+        return read()
+
+
+def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame | KeyedVectors,
+                 config: EngineConfig = EngineConfig(), memory: GraphMemory | MemorySearch | None = None,
                  reference_families: bool = True, describe: Callable[[Column], Column] = response_features,
                  described: int = 2 * TEXT, connect: Callable[..., DataFrame] = knn_edges) -> DataFrame:
     """Reward per rollout with its source: ``gt``, ``graph``, ``validation``, ``gt_fallback``.
 
     ``vectors`` are (query_id, data_source, embedding). The memory of the graph
     branch is the ground-truth-routed part of the input unless one is given; then
-    a prompt's reward depends on its own batch and the memory alone. Rollouts no
+    a prompt's reward depends on its own batch and the memory alone. Several jobs
+    against one memory give a :class:`MemorySearch` of it and its ``keyed`` vectors. Rollouts no
     neighbour speaks for fall back to ground truth, as does a whole validation batch.
 
     ``describe`` turns a response into ``described`` numbers, which join the answer
@@ -169,26 +231,25 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame,
     # writing it once is cheaper than parsing every response per branch.
     scored = cut_lineage(scored_rollouts(rollouts, describe), "scored")
     # The search, its size check and the memory all read the prompts and the vectors.
-    prompts, distinct = _with_vectors(prompt_table(scored, gt_ids, reference_families), vectors)
-    prompts, distinct = cut_lineage(prompts, "prompts"), cut_lineage(distinct, "vectors")
+    keyed = vectors if isinstance(vectors, KeyedVectors) else keyed_vectors(vectors)
+    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families).join(keyed.listed, "node", "left"), "prompts")
     features = unit_features(config, length)
-    memory = memory or _remembered(scored, prompts, distinct, features)
     # Equal vectors have equal neighbours: one node searches for all, and sums are made once.
     on_route = (F.col("route") == "graph") & F.col("s1").isNotNull()
     first = cut_lineage(prompts.where(on_route).groupBy("s1", "s2").agg(F.min("node").alias("id"), F.first("held").alias("held")), "first")
-    edges = connect(
-        _nodes(first, distinct).withColumn("route", F.lit("graph")),
-        memory.nodes, config.k, domain="domain" if config.domain_filter else None, config=config,
-    )
-    sums = first.select("s1", "s2", F.col("id").alias("query_id")).join(
-        neighbour_sums(memory.rows, edges, length), "query_id").drop("query_id")
+    if isinstance(memory, MemorySearch):
+        sums = memory.key_sums(first, connect)
+    else:
+        distinct = keyed.distinct if isinstance(vectors, KeyedVectors) else cut_lineage(keyed.distinct, "vectors")
+        memory = memory or _remembered(scored, prompts, distinct, features)
+        sums = _key_sums(first, distinct, memory.nodes, memory_sums(memory.rows, "query_id", length), length, config, connect)
     # Neighbour sums join the prompts first: the rollouts then meet one table once.
     # Prompts without a say in this get keys of their own, so that none is frequent.
     informed = prompts.select(
         *GROUP, "consensus", "route", F.when(on_route, F.col("s1")).otherwise(F.xxhash64(*GROUP)).alias("s1"),
         F.when(on_route, F.col("s2")).otherwise(F.lit(0)).alias("s2")).join(sums, ["s1", "s2"], "left")
     inferred = scored.join(informed, GROUP).withColumn("features", features).withColumn(
-        "prob", F.when(F.col("route") == "graph", probability(F.col("features"), length))
+        "prob", F.when(F.col("route") == "graph", probability(F.col("features")))
     )
     on_graph = F.col("prob").isNotNull()
     graph_reward = F.when(F.col("prob") > config.threshold, 1.0).otherwise(0.0)

@@ -12,6 +12,9 @@ from rewardloom.sources import feeds
 from rewardloom.streaming import outcomes, scoring as streams
 
 
+PARTS = 4  # micro-batches that the rollout files come in
+
+
 def rollout_stream(spark, root):
     return feeds.shape_rollouts(feeds.stream_of(spark, root, "lineitem.parquet"), feeds.queries(spark, root))
 
@@ -41,9 +44,12 @@ SELECT data_source, reward_source, count(*) AS n, round(avg(reward), 6) AS mean_
 def _(spark, root):
     rows, ids, vectors = feeds.rollouts_with_extra(spark, root), feeds.gt_ids(spark, root), feeds.query_vectors(spark, root)
     folder = streams.new_folder(rows, "rollout-files")
-    rows.repartition(4, "batch_id").write.parquet(folder)  # a batch arrives in one file, the stream in several
-    stream = feeds.stream_of(spark, folder)
-    rewards = streams.mixed_stream(stream, ids, vectors, mixed.graph_memory(rows, ids, vectors))
+    # A batch arrives in one file, the stream in four parts of as many files as there are cores.
+    rows.repartition(PARTS * spark.sparkContext.defaultParallelism, "batch_id").write.parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    stream = feeds.stream_of(spark, folder, files_per_batch=max(1, -(-len(rows.inputFiles()) // PARTS)))
+    keyed = mixed.keyed_vectors(vectors).stored()
+    rewards = streams.mixed_stream(stream, ids, keyed, mixed.graph_memory(rows, ids, keyed))
     return rewards.groupBy("data_source", "reward_source").agg(
         F.count("*").alias("n"), r6(F.avg("reward")).alias("mean_reward"), r6(F.avg(r6(F.col("prob")))).alias("mean_prob"))
 

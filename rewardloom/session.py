@@ -76,13 +76,18 @@ def scratch_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def work_folder(spark: SparkSession) -> str:
+    """Where cut tables go just now: the scratch folder in use, else the shared one."""
+    return _SCRATCH.get() or shared_folder(spark)
+
+
+def cut_lineage(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it back.
 
     Lost executors then recompute nothing above it, several readers share it,
     and each of them reads only the columns it needs. Inside :func:`scratch_folder`
-    the table goes into that job's folder, and with it.
+    the table goes into that job's folder, and with it, unless ``folder`` names another.
     """
-    path = f"{_SCRATCH.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

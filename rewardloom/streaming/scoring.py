@@ -12,8 +12,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from rewardloom.config import EngineConfig
 from rewardloom.functions.domains import scoring_domain
 from rewardloom.operators.scoring import score_gt
-from rewardloom.plans.mixed_reward import GraphMemory, mixed_reward
-from rewardloom.session import scratch_folder, shared_folder
+from rewardloom.plans.mixed_reward import GraphMemory, KeyedVectors, MemorySearch, mixed_reward
+from rewardloom.session import cut_lineage, scratch_folder, shared_folder
 
 
 def score_stream(rollouts: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def reward_rate(rollouts: DataFrame, width: str = "1 day", delay: str = "1 hour"
     )
 
 
-def mixed_batches(gt_ids: DataFrame, vectors: DataFrame, folder: str, memory: GraphMemory,
+def mixed_batches(gt_ids: DataFrame, vectors: DataFrame | KeyedVectors, folder: str, memory: GraphMemory,
                   config: EngineConfig = EngineConfig()) -> Callable[[DataFrame, int], None]:
     """A micro-batch function: mixed reward of one batch against static memory.
 
@@ -52,11 +52,14 @@ def mixed_batches(gt_ids: DataFrame, vectors: DataFrame, folder: str, memory: Gr
 
     Every batch writes its own folder in overwrite mode, so a batch repeated
     after a failure leaves no double rows. Its intermediate tables go with it.
+    What all batches read of the static tables is made once, and a vector that an
+    earlier batch has searched is not searched again.
     """
+    ids, search = cut_lineage(gt_ids, "gt-ids"), MemorySearch(vectors, memory, config)
 
     def score(batch: DataFrame, batch_id: int) -> None:
         with scratch_folder(batch.sparkSession):
-            rewards = mixed_reward(batch, gt_ids, vectors, config, memory)
+            rewards = mixed_reward(batch, ids, search.keyed, config, search)
             rewards.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return score
@@ -102,7 +105,7 @@ def latest_state(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return latest.select(*keys, "latest.*")
 
 
-def mixed_stream(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame, memory: GraphMemory, name: str = "mixed",
+def mixed_stream(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame | KeyedVectors, memory: GraphMemory, name: str = "mixed",
                  config: EngineConfig = EngineConfig()) -> DataFrame:
     """Drains a rollout stream through :func:`mixed_batches`."""
     folder = new_folder(rollouts, name)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rewardloom.config import EngineConfig
 from rewardloom.operators.knn import knn_edges
+from rewardloom.plans import mixed_reward as mixed
 from rewardloom.plans.mixed_reward import FEATURES, GraphMemory, graph_memory, mixed_reward, prompt_table
+from rewardloom.streaming import scoring
 
 
 def run(spark, rows, gt, vectors, **options):
@@ -161,3 +163,42 @@ def test_gate_reads_the_rollouts_not_the_votes(spark):
     assert {r["prompt_key"]: r["route"] for r in prompts.collect()} == {"a": "validation", "b": "validation", "c": "gt"}
     plan = prompts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [batch_id") == 4  # votes, answers, prompts, and the batches of the gate
+
+
+def test_batches_of_a_stream_search_a_vector_once(spark, monkeypatch):
+    """Each micro-batch once keyed all vectors, summed the whole memory and searched all its vectors again."""
+    vectors = [(q, "gsm8k", [1.0, 0.1 * (q % 3)]) for q in range(1, 10)]
+    rows = [r for q in range(1, 10) for r in math_rows(q, ["1", "2", "1"], batch=q % 4)]
+    rollouts = spark.createDataFrame(
+        [(s, q, r, t, g, json.dumps(e), b) for s, q, r, t, g, e, b in rows],
+        "data_source string, query_id bigint, resp_idx bigint, response string, ground_truth string, extra_info string, batch_id bigint")
+    ids = spark.createDataFrame([("gsm8k", "1"), ("gsm8k", "2")], "dataset string, identifier string")
+    nodes = spark.createDataFrame(vectors, "query_id bigint, data_source string, embedding array<double>")
+    memory = graph_memory(rollouts, ids, nodes)
+    whole = {tuple(r) for r in mixed_reward(rollouts, ids, nodes, memory=memory).collect()}
+    searched, find = [], mixed._nodes
+
+    def nodes_of(first, distinct):
+        searched.extend(r["id"] for r in first.collect())
+        return find(first, distinct)
+
+    monkeypatch.setattr(mixed, "_nodes", nodes_of)
+    folder = scoring.new_folder(rollouts, "batches")
+    score = scoring.mixed_batches(ids, nodes, folder, memory)
+    for batch in [0, 1, 2, 2, 3]:  # one of them again, as after a failure
+        score(rollouts.where(F.col("batch_id") == batch), batch)
+    found = spark.read.parquet(folder).drop("batch")
+    assert {tuple(r) for r in found.collect()} == whole and found.count() == 27
+    assert len(searched) == 3 and {q % 3 for q in searched} == {0, 1, 2}
+
+
+def test_batches_without_a_known_vector(spark):
+    rows = spark.createDataFrame([("gsm8k", q, 0, "#### 1", "1", json.dumps({"index": q}), q) for q in (7, 8)],
+        "data_source string, query_id bigint, resp_idx bigint, response string, ground_truth string, extra_info string, batch_id bigint")
+    ids = spark.createDataFrame([("gsm8k", "1")], "dataset string, identifier string")
+    nodes = spark.createDataFrame(VECTORS, "query_id bigint, data_source string, embedding array<double>")
+    folder = scoring.new_folder(rows, "batches")
+    score = scoring.mixed_batches(ids, nodes, folder, graph_memory(rows, ids, nodes))
+    for batch in (7, 8):
+        score(rows.where(F.col("batch_id") == batch), batch)
+    assert {r["reward_source"] for r in spark.read.parquet(folder).collect()} == {"gt_fallback"}
