@@ -187,3 +187,20 @@ def test_shapes_of_the_grid():
         (9000, 1 << 30), (9000, 1 << 30), 1 << 26)
     assert alike == (knn.STRIPS, knn.SLICES) and few == (1, knn.STRIPS * knn.SLICES)
     assert large[0] == 16 and large[1] >= 4 and knn._grid((0, 0), (0, 0), 1) == (1, 1)
+
+
+def test_first_edges_of_descent_do_not_pass_the_driver(spark):
+    """Spark took the 24 rows of each node for one and broadcast them all."""
+    edges = descent._random_edges(spark.range(700).select("id"), 24, 42)
+    assert edges.distinct().count() == 700 * 24 and edges.where("src = dst").count() == 0
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    small = descent._random_edges(spark.range(5).select("id"), 24, 42)
+    assert {tuple(r) for r in small.collect()} == {(a, b) for a in range(5) for b in range(5) if a != b}
+
+
+def test_recall_reads_the_edges_of_its_sources_alone(spark):
+    _, nodes = make_nodes(spark, n=200, dim=8, copies=0)
+    edges = knn.knn_edges(nodes, nodes, 5, exclude="self")
+    measured = descent.sampled_recall(nodes, edges, 5, sources=12)
+    assert tuple(measured.first()) == (60, 60, 1.0)
+    assert " INSET " in measured._jdf.queryExecution().optimizedPlan().toString()  # of the edges
