@@ -20,7 +20,7 @@ from rewardloom.operators.knn import knn_edges, search_index
 from rewardloom.operators.propagate import memory_sums, probability, weighted_sums
 from rewardloom.operators.routing import answer_or, entry, gate_batches, is_train, parse_extra, prompt_key, with_gt_flag
 from rewardloom.operators.scoring import gt_reward
-from rewardloom.session import cut_lineage, work_folder
+from rewardloom.session import cut_lineage, scratch_folder, store, work_folder
 
 TEXT = 8                  # places of the think and of the answer vector
 FEATURES = 3 + 2 * TEXT
@@ -147,21 +147,24 @@ def _nodes(named: DataFrame, distinct: DataFrame) -> DataFrame:
     return each.join(distinct, ["h1", "h2"]).select("id", "domain", "embedding")
 
 
-def _remembered(scored: DataFrame, prompts: DataFrame, distinct: DataFrame, features: Column) -> GraphMemory:
-    known = prompts.where(F.col("route") == "gt")
-    labelled = scored.join(known.select(*GROUP, "node", "consensus"), GROUP).select(
-        F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
-    return GraphMemory(labelled, _nodes(known.withColumnRenamed("node", "id"), distinct))
+def _remembered(labelled: DataFrame, prompts: DataFrame, distinct: DataFrame, features: Column) -> GraphMemory:
+    """From the rollouts on the ground-truth route, with their ``node`` and ``consensus``."""
+    rows = labelled.select(F.col("node").alias("query_id"), features.alias("features"), F.col("gt_reward").alias("reward"))
+    known = prompts.where(F.col("route") == "gt").withColumnRenamed("node", "id")
+    return GraphMemory(rows, _nodes(known, distinct))
 
 
 def graph_memory(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame | KeyedVectors, config: EngineConfig = EngineConfig(),
                  reference_families: bool = True) -> GraphMemory:
     """The ground-truth-routed part of labelled rollouts, written once, as static memory of later jobs."""
+    spark, folder = rollouts.sparkSession, work_folder(rollouts.sparkSession)
     keyed = vectors if isinstance(vectors, KeyedVectors) else keyed_vectors(vectors)
-    scored = cut_lineage(scored_rollouts(rollouts), "scored")
-    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families).join(keyed.listed, "node", "left"), "prompts")
-    memory = _remembered(scored, prompts, keyed.distinct, unit_features(config, FEATURES))
-    return GraphMemory(cut_lineage(memory.rows, "memory"), cut_lineage(memory.nodes, "memory-nodes"))
+    with scratch_folder(spark):
+        scored = cut_lineage(scored_rollouts(rollouts), "scored")
+        prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families).join(keyed.listed, "node", "left"), "prompts")
+        known = prompts.where(F.col("route") == "gt").select(*GROUP, "node", "consensus")
+        memory = _remembered(scored.join(known, GROUP), prompts, keyed.distinct, unit_features(config, FEATURES))
+        return GraphMemory(cut_lineage(memory.rows, "memory", folder), cut_lineage(memory.nodes, "memory-nodes", folder))
 
 
 def _key_sums(first: DataFrame, distinct: DataFrame, nodes: DataFrame, sums: DataFrame, length: int,
@@ -204,8 +207,7 @@ class MemorySearch:
                              partial(connect, index=self.index))
             sums = first.select("s1", "s2").join(sums, ["s1", "s2"], "left")
             path = f"{self.folder}/key-sums-{uuid.uuid4().hex}"
-            sums.write.parquet(path)
-            self.schema = sums.schema
+            self.schema = store(sums, path).schema
             self.found.append(path)
         return read()
 
@@ -227,30 +229,38 @@ def mixed_reward(rollouts: DataFrame, gt_ids: DataFrame, vectors: DataFrame | Ke
     takes what :func:`knn_edges` takes. Both can be replaced.
     """
     length = 3 + described
-    # Both tables feed several branches; the scored one is narrow (no texts), so
-    # writing it once is cheaper than parsing every response per branch.
-    scored = cut_lineage(scored_rollouts(rollouts, describe), "scored")
-    # The search, its size check and the memory all read the prompts and the vectors.
-    keyed = vectors if isinstance(vectors, KeyedVectors) else keyed_vectors(vectors)
-    prompts = cut_lineage(prompt_table(scored, gt_ids, reference_families).join(keyed.listed, "node", "left"), "prompts")
     features = unit_features(config, length)
-    # Equal vectors have equal neighbours: one node searches for all, and sums are made once.
+    spark, folder = rollouts.sparkSession, work_folder(rollouts.sparkSession)
+    keyed = vectors if isinstance(vectors, KeyedVectors) else keyed_vectors(vectors)
     on_route = (F.col("route") == "graph") & F.col("s1").isNotNull()
-    first = cut_lineage(prompts.where(on_route).groupBy("s1", "s2").agg(F.min("node").alias("id"), F.first("held").alias("held")), "first")
-    if isinstance(memory, MemorySearch):
-        sums = memory.key_sums(first, connect)
-    else:
-        distinct = keyed.distinct if isinstance(vectors, KeyedVectors) else cut_lineage(keyed.distinct, "vectors")
-        memory = memory or _remembered(scored, prompts, distinct, features)
-        sums = _key_sums(first, distinct, memory.nodes, memory_sums(memory.rows, "query_id", length), length, config, connect)
-    # Neighbour sums join the prompts first: the rollouts then meet one table once.
-    # Prompts without a say in this get keys of their own, so that none is frequent.
-    informed = prompts.select(
-        *GROUP, "consensus", "route", F.when(on_route, F.col("s1")).otherwise(F.xxhash64(*GROUP)).alias("s1"),
-        F.when(on_route, F.col("s2")).otherwise(F.lit(0)).alias("s2")).join(sums, ["s1", "s2"], "left")
-    inferred = scored.join(informed, GROUP).withColumn("features", features).withColumn(
-        "prob", F.when(F.col("route") == "graph", probability(F.col("features")))
-    )
+    # The result reads two of the tables cut in here, the others go as soon as nothing needs them.
+    with scratch_folder(spark) as job:
+        with scratch_folder(spark):
+            # The scored table feeds several branches; it is narrow (no texts), so writing it
+            # once is cheaper than parsing every response per branch.
+            scored = cut_lineage(scored_rollouts(rollouts, describe), "scored")
+            routed = cut_lineage(prompt_table(scored, gt_ids, reference_families), "routed")
+            # The search, its size check and the memory all read the prompts and the vectors.
+            prompts = cut_lineage(routed.join(keyed.listed, "node", "left"), "prompts", job)
+            # The rollouts meet their prompts once, for the memory and the result.
+            said = prompts.select(*GROUP, "node", "consensus", "route", *[F.when(on_route, F.col(c)).alias(c) for c in ("s1", "s2")])
+            placed = cut_lineage(scored.join(said, GROUP).select(
+                "data_source", "query_id", "resp_idx", "domain", "gt_reward", "answer", "said", "consensus", "route", "s1", "s2",
+                F.when(F.col("route") == "gt", F.col("node")).alias("node")), "placed", folder)
+        # Equal vectors have equal neighbours: one node searches for all, and sums are made once.
+        first = cut_lineage(prompts.where(on_route).groupBy("s1", "s2").agg(F.min("node").alias("id"), F.first("held").alias("held")), "first")
+        if isinstance(memory, MemorySearch):
+            sums = memory.key_sums(first, connect)
+        else:
+            distinct = keyed.distinct if isinstance(vectors, KeyedVectors) else cut_lineage(keyed.distinct, "vectors")
+            memory = memory or _remembered(placed.where(F.col("route") == "gt"), prompts, distinct, features)
+            known = cut_lineage(memory_sums(memory.rows, "query_id", length), "memory-sums")
+            sums = cut_lineage(_key_sums(first, distinct, memory.nodes, known, length, config, connect), "sums", folder)
+    # Only rollouts with a say in this are dealt by key; the others stay where they are.
+    columns = ["data_source", "query_id", "resp_idx", "gt_reward", "route", "prob"]
+    asked = placed.where(F.col("s1").isNotNull()).join(sums, ["s1", "s2"], "left").withColumn("features", features)
+    silent = placed.where(F.col("s1").isNull()).withColumn("prob", F.lit(None).cast("double"))
+    inferred = asked.withColumn("prob", probability(F.col("features"))).select(*columns).unionByName(silent.select(*columns))
     on_graph = F.col("prob").isNotNull()
     graph_reward = F.when(F.col("prob") > config.threshold, 1.0).otherwise(0.0)
     return inferred.select(

@@ -81,6 +81,26 @@ def work_folder(spark: SparkSession) -> str:
     return _SCRATCH.get() or shared_folder(spark)
 
 
+#: Spark's setting that removes the shuffles of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table and reads it back.
+
+    The shuffles made for it go once it is there; else they stay on the executors'
+    disks until the driver happens to collect its garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it back.
 
@@ -88,6 +108,4 @@ def cut_lineage(df: DataFrame, name: str = "cut", folder: str | None = None) ->
     and each of them reads only the columns it needs. Inside :func:`scratch_folder`
     the table goes into that job's folder, and with it, unless ``folder`` names another.
     """
-    path = f"{folder or work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return store(df, f"{folder or work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")

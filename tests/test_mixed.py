@@ -1,6 +1,7 @@
 """The mixed reward on hand-made rollouts."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from rewardloom.config import EngineConfig
 from rewardloom.operators.knn import knn_edges
 from rewardloom.plans import mixed_reward as mixed
 from rewardloom.plans.mixed_reward import FEATURES, GraphMemory, graph_memory, mixed_reward, prompt_table
+from rewardloom.session import scratch_folder
 from rewardloom.streaming import scoring
 
 
@@ -202,3 +204,21 @@ def test_batches_without_a_known_vector(spark):
     for batch in (7, 8):
         score(rows.where(F.col("batch_id") == batch), batch)
     assert {r["reward_source"] for r in spark.read.parquet(folder).collect()} == {"gt_fallback"}
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_result_leaves_two_tables(spark, given):
+    """Scored rollouts, prompts and vectors once stayed on disk beside all shuffles until the result was written."""
+    rows = [r for q in range(1, 4) for r in math_rows(q, ["1", "7"])]
+    rollouts = spark.createDataFrame(
+        [(s, q, r, t, g, json.dumps(e), b) for s, q, r, t, g, e, b in rows],
+        "data_source string, query_id bigint, resp_idx bigint, response string, ground_truth string, extra_info string, batch_id bigint")
+    ids = spark.createDataFrame([("gsm8k", "1")], "dataset string, identifier string")
+    nodes = spark.createDataFrame(VECTORS, "query_id bigint, data_source string, embedding array<double>")
+    memory = graph_memory(rollouts, ids, nodes) if given else None
+    with scratch_folder(spark) as folder:
+        result = mixed_reward(rollouts, ids, nodes, memory=memory)
+        tables = os.listdir(folder.removeprefix("file:"))
+        assert sorted(name.split("-")[0] for name in tables) == ["placed", "sums"]
+        found = {(r["query_id"], r["resp_idx"]): tuple(r)[3:] for r in result.collect()}
+    assert found == {k: (v[1], v[0], v[2]) for k, v in run(spark, rows, [("gsm8k", "1")], VECTORS).items()}

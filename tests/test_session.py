@@ -3,9 +3,11 @@
 import os
 import subprocess
 import sys
+import time
 
 from pyspark.sql import functions as F
 
+from rewardloom import session
 from rewardloom.operators import sampling
 from rewardloom.session import cut_lineage, scratch_folder
 
@@ -21,9 +23,30 @@ def test_a_job_leaves_no_tables(spark):
     assert cut_lineage(spark.range(2)).count() == 2
 
 
+def test_shuffles_of_a_cut_table_are_removed(spark):
+    """They once stayed until the driver collected its garbage, so that those of all steps filled the disks together."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    rows = spark.range(5000).groupBy((F.col("id") % 997).alias("k")).agg(F.max("id").alias("v"))
+    rows.collect()
+    before = held()
+    table = cut_lineage(rows.join(spark.range(990).withColumnRenamed("id", "k").hint("merge"), "k"))
+    deadline = time.time() + 20
+    while held() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert before and not held() - before and table.count() == 990
+    assert spark.conf.get(session.CLEANUP) == "false"
+
+
 def test_workers_need_no_package(tmp_path):
     code = f"""
 import sys
+import time
 sys.path.insert(0, {REPO!r})
 from rewardloom.session import build_session
 from rewardloom.operators.knn import knn_edges
