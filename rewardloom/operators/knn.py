@@ -395,7 +395,8 @@ def _grid(sources: tuple[int, int], candidates: tuple[int, int], strip_bytes: in
     make few strips.
     """
     tasks = STRIPS * SLICES
-    shapes = [(min(strips, sources[0]), min(tasks // strips, candidates[0])) for strips in range(1, tasks + 1) if tasks % strips == 0]
+    shapes = [(min(strips, sources[0]), min(tasks // strips, candidates[0]))
+              for strips in range(1, min(tasks, max(1, sources[0])) + 1) if tasks % strips == 0]
     most = max(strips * slices for strips, slices in shapes)
     strips, slices = min((s for s in shapes if 2 * s[0] * s[1] >= most), key=lambda s: (s[0] * candidates[1] + s[1] * sources[1], s))
     strips = min(sources[0], max(strips, -(-sources[1] // strip_bytes)))

@@ -204,3 +204,8 @@ def test_recall_reads_the_edges_of_its_sources_alone(spark):
     measured = descent.sampled_recall(nodes, edges, 5, sources=12)
     assert tuple(measured.first()) == (60, 60, 1.0)
     assert " INSET " in measured._jdf.queryExecution().optimizedPlan().toString()  # of the edges
+
+
+def test_few_blocks_of_sources_leave_no_task_idle():
+    """Three blocks of sources once made three strips of eight slices, half the tasks that two strips make."""
+    assert knn._grid((3, 20 * 128), (50, 299 * 128), 1 << 26) == (2, 24)
