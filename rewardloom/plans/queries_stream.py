@@ -8,6 +8,7 @@ from rewardloom.plans import mixed_reward as mixed
 from rewardloom.plans.queries_reward import IS_QA, MIXED_SQL, duck_math_correct
 from rewardloom.plans.queries_text import duck_boxed, duck_hash_answer, duck_letter
 from rewardloom.plans.registry import ROLLOUTS, query, r6
+from rewardloom.session import store
 from rewardloom.sources import feeds
 from rewardloom.streaming import outcomes, scoring as streams
 
@@ -45,8 +46,7 @@ def _(spark, root):
     rows, ids, vectors = feeds.rollouts_with_extra(spark, root), feeds.gt_ids(spark, root), feeds.query_vectors(spark, root)
     folder = streams.new_folder(rows, "rollout-files")
     # A batch arrives in one file, the stream in four parts of as many files as there are cores.
-    rows.repartition(PARTS * spark.sparkContext.defaultParallelism, "batch_id").write.parquet(folder)
-    rows = spark.read.schema(rows.schema).parquet(folder)
+    rows = store(rows.repartition(PARTS * spark.sparkContext.defaultParallelism, "batch_id"), folder)
     stream = feeds.stream_of(spark, folder, files_per_batch=max(1, -(-len(rows.inputFiles()) // PARTS)))
     keyed = mixed.keyed_vectors(vectors).stored()
     rewards = streams.mixed_stream(stream, ids, keyed, mixed.graph_memory(rows, ids, keyed))
